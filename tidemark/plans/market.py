@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.grid import to_grid
+from tidemark.operators.history import history
+from tidemark.operators.sequence import exact_median
+from tidemark.operators.spikes import implausible, stuck_runs
 from tidemark.operators.trailing import Days, Sessions, trailing_totals
-from tidemark.session import finite
-from tidemark.sources.tables import calendar, canonical_code, current_readings, on_session, read
+from tidemark.operators.validity import as_known
+from tidemark.session import finite, micros
+from tidemark.sources.tables import calendar, canonical_code, current_readings, on_session, plain_name, read, traded
 
 #: Problem 1: the trailing windows, and the deviations above which a stored value is wrong.
 WINDOWS = [Days(7, "7d"), Days(30, "30d"), Sessions(20, "20s")]
@@ -62,3 +67,99 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong_mom = F.abs(F.col("_momentum_20d") - F.coalesce("compound_20s", F.lit(0.0))) > RATE_TOLERANCE
     fields = F.array_compact(F.array(F.when(wrong_adv, "adv20"), F.when(wrong_vol, "volatility_20d"), F.when(wrong_mom, "momentum_20d")))
     return off.select("liq_id", F.explode(fields).alias("field")).distinct()
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "event_panel").select("event_id", canonical_code("code").alias("code"), "report_date", "actual_disclosure_date", micros("tradable_ts").alias("at"))
+    return events.where("event_id IS NOT NULL AND at IS NOT NULL").distinct()
+
+
+def p3_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the ST state and the correction answer known at its ``tradable_ts``; NULL if nothing was known."""
+    found = p3_found(spark, sf_dir)
+    st = found.where("attr = 'st'").select("event_id", F.col("row_id").alias("st_row"))
+    fix = found.where("attr = 'correction'").select("event_id", F.col("row_id").alias("scan_row"))
+    states = read(spark, sf_dir, "sample_audit").select(F.col("序号").alias("st_row"), F.col("当时ST").alias("is_st")).dropDuplicates(["st_row"])
+    answers = read(spark, sf_dir, "correction_scan").select(F.col("scan_id").alias("scan_row"), "report_corrected").dropDuplicates(["scan_row"])
+    return _events(spark, sf_dir).select("event_id").join(st, "event_id", "left").join(states, "st_row", "left").join(fix, "event_id", "left").join(answers, "scan_row", "left").select("event_id", "st_row", "is_st", "scan_row", "report_corrected")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``sample_audit`` and ``correction_scan`` that held at each event as it was known at its ``tradable_ts``."""
+    events = _events(spark, sf_dir)
+    states = read(spark, sf_dir, "sample_audit").where(F.col("当时ST").isNotNull()).select(canonical_code("股票代码").alias("code"), F.col("实际披露日").alias("stated"), micros("audit_ts").alias("known"), F.col("序号").cast("bigint").alias("row_id"))
+    st = as_known(events.select("event_id", "code", "at", "actual_disclosure_date"), states, ["code"], "at", "known", "row_id", "actual_disclosure_date", "stated")
+    scans = read(spark, sf_dir, "correction_scan").where("report_corrected IS NOT NULL").select(canonical_code("code").alias("code"), "report_date", micros("scan_ts").alias("known"), F.col("scan_id").cast("bigint").alias("row_id"))
+    fix = as_known(events.select("event_id", "code", "report_date", "at"), scans, ["code", "report_date"], "at", "known", "row_id")
+    one = lambda df, attr: df.select("event_id", F.lit(attr).alias("attr"), "row_id")
+    return one(st, "st").unionByName(one(fix, "correction")).distinct()
+
+
+def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = traded(current_readings(read(spark, sf_dir, "prices"), ["price_id", "close", "volume"]))
+    return held.join(calendar(spark, sf_dir), F.col("date").cast("date") == F.col("session_date"), "left_semi")
+
+
+def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per code and session between its first and last traded reading, filled and marked where it had none."""
+    return to_grid(_traded(spark, sf_dir), "code", "date", "close", "volume", calendar(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that the grid had to fill."""
+    return p5_grid(spark, sf_dir).where("status = 'filled'").select("code", F.date_format("session_date", "yyyy-MM-dd").alias("session_date"))
+
+
+#: Problem 6: physical limits of a close, the spike threshold in median changes, the least stuck runs, the band of limit ratios.
+LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, STUCK_LIMITS, STUCK_ACTIONS, RATIO_BAND = 0.0, 1e6, 12.0, 6, 6, 4, 0.03
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = read(spark, sf_dir, "feed").select(F.col("quote_id").cast("bigint").alias("quote_id"), canonical_code("code").alias("code"), "date", finite("limit_up").alias("limit_up"), finite("limit_down").alias("limit_down"), "suspended", "corporate_action")
+    return quotes.where("suspended = false AND code IS NOT NULL AND date IS NOT NULL").drop("suspended").distinct()
+
+
+def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible reading with its reasons; outliers are sought again after those found are taken out (3 passes)."""
+    flags = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES)
+    return flags.select("code", F.col("price_id").alias("row_id"), "close", "reason").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged rows of ``prices`` and ``feed``. One pass, as the cases are those of the series with only impossible closes left out."""
+    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, passes=1)
+    quotes = _quotes(spark, sf_dir)
+    ratio = quotes.withColumn("_ratio", F.try_divide("limit_up", "limit_down"))
+    usual = exact_median(ratio.select("code", "_ratio"), ["code"], "_ratio", "_usual")
+    off = ratio.join(usual, "code", "left").where((F.col("limit_up") <= 0) | (F.abs(F.col("_ratio") / F.col("_usual") - 1) > RATIO_BAND))
+    order = ["date", "quote_id"]
+    still = stuck_runs(quotes, ["code"], order, ["limit_up", "limit_down"], STUCK_LIMITS)
+    actions = stuck_runs(quotes.withColumn("_action", F.when(F.col("corporate_action"), True)), ["code"], order, ["_action"], STUCK_ACTIONS)
+    one = lambda df, tbl, row: df.select(F.lit(tbl).alias("tbl"), F.col(row).cast("bigint").alias("row_id"))
+    rows = one(prices, "prices", "price_id")
+    for part in (off, still, actions):
+        rows = rows.unionByName(one(part, "feed", "quote_id"))
+    return rows.distinct()
+
+
+#: Problem 7: snapshots are taken by month.
+MONTHLY = "year(_at) * 12 + month(_at)"
+
+
+def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every attribute with the period it was valid (NULL end: still valid)."""
+    audits = read(spark, sf_dir, "sample_audit")
+    names = audits.select(canonical_code("股票代码").alias("entity"), F.col("audit_ts").alias("at"), plain_name("当前简称").alias("value"))
+    told = audits.select(canonical_code("股票代码").alias("entity"), F.col("实际披露日").alias("at"), "audit_ts", plain_name("披露日当时简称").alias("value")).where("value IS NOT NULL AND at IS NOT NULL")
+    told = told.groupBy("entity", "at").agg(F.max(F.struct("audit_ts", "value"))["value"].alias("value"))
+    basis = read(spark, sf_dir, "data_audit").select(F.date_format("report_date", "yyyy-MM-dd").alias("entity"), F.col("run_ts").alias("at"), F.col("st_basis_sh_current").cast("string").alias("value"))
+    parts = []
+    for attr, rows in (("name", names), ("name_at_disclosure", told), ("st_basis_sh_current", basis)):
+        found = history(rows, "entity", "at", "value", MONTHLY)
+        day = lambda c: F.date_format(F.col(c).cast("date"), "yyyy-MM-dd")
+        parts.append(found.select("entity", F.lit(attr).alias("attr"), "value", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"), "current"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_versions(spark, sf_dir).select("entity", "attr", "valid_from").distinct()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tidemark.plans import market
+from tidemark.sources.tables import PLAIN_FORMS, WIDE_FORMS
 
-QUERIES = {name: getattr(market, name) for name in ("p1_found", "p1_trailing")}
+QUERIES = {name: getattr(market, name) for name in ("p1_found", "p1_trailing", "p3_found", "p3_known", "p5_found", "p5_grid", "p6_found", "p6_flags", "p7_found", "p7_versions")}
 
 #: Current readings in canonical form, as SQL.
 READINGS = r"""
@@ -24,4 +25,39 @@ SELECT DISTINCT liq_id, field FROM (
 SELECT liq_id, 'adv20' AS field FROM held WHERE abs(adv20 - adv) > 0.005 * adv
 UNION ALL SELECT liq_id, 'volatility_20d' FROM held WHERE n >= 10 AND abs(volatility_20d - vol) > 0.0005
 UNION ALL SELECT liq_id, 'momentum_20d' FROM held WHERE abs(momentum_20d - coalesce(mom, 0)) > 0.0005)""",
+    "p3_found": """WITH ev AS (SELECT DISTINCT event_id, code, report_date, actual_disclosure_date, tradable_ts FROM event_panel WHERE tradable_ts IS NOT NULL)
+SELECT event_id, 'st' AS attr, "序号" AS row_id FROM ev JOIN sample_audit a ON a."股票代码" = ev.code AND a."当时ST" IS NOT NULL AND a."实际披露日" <= ev.actual_disclosure_date AND a.audit_ts <= ev.tradable_ts
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY "实际披露日" DESC, audit_ts DESC, "序号" DESC) = 1
+UNION ALL SELECT event_id, 'correction', scan_id FROM ev JOIN correction_scan s ON s.code = ev.code AND s.report_date = ev.report_date AND s.scan_ts <= ev.tradable_ts AND s.report_corrected IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY scan_ts DESC, scan_id DESC) = 1""",
+    "p5_found": f"""WITH {READINGS},
+t AS (SELECT DISTINCT code, session_idx FROM sess WHERE close IS NOT NULL AND volume > 0),
+span AS (SELECT code, min(session_idx) AS a, max(session_idx) AS b FROM t GROUP BY code)
+SELECT span.code, strftime(c.session_date, '%Y-%m-%d') AS session_date FROM span JOIN trade_calendar c ON c.session_idx BETWEEN a AND b ANTI JOIN t ON t.code = span.code AND t.session_idx = c.session_idx""",
+    "p6_found": f"""WITH {READINGS},
+t AS (SELECT code, date, price_id, close FROM sess WHERE close IS NOT NULL AND volume > 0),
+runs AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date, price_id) - row_number() OVER (PARTITION BY code, close ORDER BY date, price_id) AS g FROM t),
+stuck AS (SELECT price_id FROM runs QUALIFY count(*) OVER (PARTITION BY code, close, g) >= 6),
+ok AS (SELECT code, date, price_id, ln(close) AS x FROM t WHERE close > 0 AND close <= 1000000),
+e AS (SELECT *, x - lag(x) OVER w AS b, x - lead(x) OVER w AS f FROM ok WINDOW w AS (PARTITION BY code ORDER BY date, price_id)),
+med AS (SELECT code, 12 * median(abs(b)) AS lim FROM e GROUP BY code),
+near AS (SELECT e.*, lim, lead(f) OVER w AS f2, lag(b) OVER w AS b2 FROM e JOIN med USING (code) WINDOW w AS (PARTITION BY code ORDER BY date, price_id)),
+spike AS (SELECT price_id FROM near WHERE (b > lim AND f > lim) OR (b < -lim AND f < -lim) OR (b > lim AND f2 > lim) OR (b < -lim AND f2 < -lim) OR (b2 > lim AND f > lim) OR (b2 < -lim AND f < -lim)),
+q AS (SELECT DISTINCT quote_id, lpad(regexp_replace(translate(code, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), 6, '0') AS code, date, limit_up, limit_down, corporate_action FROM feed WHERE suspended = false),
+qm AS (SELECT code, median(limit_up / nullif(limit_down, 0)) AS usual FROM q GROUP BY code),
+qr AS (SELECT *, row_number() OVER o - row_number() OVER (PARTITION BY code, limit_up, limit_down ORDER BY date, quote_id) AS g, row_number() OVER o - row_number() OVER (PARTITION BY code, corporate_action ORDER BY date, quote_id) AS h FROM q WINDOW o AS (PARTITION BY code ORDER BY date, quote_id)),
+qn AS (SELECT *, count(*) OVER (PARTITION BY code, limit_up, limit_down, g) AS n, count(*) OVER (PARTITION BY code, corporate_action, h) AS m FROM qr)
+SELECT DISTINCT tbl, row_id FROM (
+SELECT 'prices' AS tbl, price_id AS row_id FROM t WHERE close <= 0 OR close > 1000000
+UNION ALL SELECT 'prices', price_id FROM stuck UNION ALL SELECT 'prices', price_id FROM spike
+UNION ALL SELECT 'feed', quote_id FROM q JOIN qm USING (code) WHERE limit_up <= 0 OR abs(limit_up / nullif(limit_down, 0) / usual - 1) > 0.03
+UNION ALL SELECT 'feed', quote_id FROM qn WHERE (n >= 6 AND limit_up IS NOT NULL AND limit_down IS NOT NULL) OR (m >= 4 AND corporate_action))""",
+    "p7_found": r"""WITH a AS (SELECT DISTINCT * FROM sample_audit),
+obs AS (SELECT "股票代码" AS entity, 'name' AS attr, audit_ts AS seen, lower(regexp_replace(translate("当前简称", 'WIDE', 'PLAIN'), '\s+', '', 'g')) AS v FROM a
+UNION ALL SELECT * FROM (SELECT "股票代码", 'name_at_disclosure', CAST("实际披露日" AS TIMESTAMP), lower(regexp_replace(translate("披露日当时简称", 'WIDE', 'PLAIN'), '\s+', '', 'g')) AS v FROM a WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY "股票代码", "实际披露日" ORDER BY audit_ts DESC, v DESC) = 1)
+UNION ALL SELECT strftime(report_date, '%Y-%m-%d'), 'st_basis_sh_current', run_ts, CAST(st_basis_sh_current AS VARCHAR) FROM data_audit),
+said AS (SELECT * FROM obs WHERE v IS NOT NULL AND v <> ''),
+steps AS (SELECT *, lag(v) OVER (PARTITION BY entity, attr ORDER BY seen, v) AS p FROM said)
+SELECT DISTINCT entity, attr, strftime(seen, '%Y-%m-%d') AS valid_from FROM steps WHERE p IS NULL OR p <> v""",
 }
+SQL["p7_found"] = SQL["p7_found"].replace("'WIDE'", f"'{WIDE_FORMS}'").replace("'PLAIN'", "'" + PLAIN_FORMS.replace("'", "''") + "'")
