@@ -53,8 +53,8 @@ UNION ALL SELECT 'prices', price_id FROM stuck UNION ALL SELECT 'prices', price_
 UNION ALL SELECT 'feed', quote_id FROM q JOIN qm USING (code) WHERE limit_up <= 0 OR abs(limit_up / nullif(limit_down, 0) / usual - 1) > 0.03
 UNION ALL SELECT 'feed', quote_id FROM qn WHERE (n >= 6 AND limit_up IS NOT NULL AND limit_down IS NOT NULL) OR (m >= 4 AND corporate_action))""",
     "p7_found": r"""WITH a AS (SELECT DISTINCT * FROM sample_audit),
-obs AS (SELECT "股票代码" AS entity, 'name' AS attr, audit_ts AS seen, lower(regexp_replace(translate("当前简称", 'WIDE', 'PLAIN'), '\s+', '', 'g')) AS v FROM a
-UNION ALL SELECT * FROM (SELECT "股票代码", 'name_at_disclosure', CAST("实际披露日" AS TIMESTAMP), lower(regexp_replace(translate("披露日当时简称", 'WIDE', 'PLAIN'), '\s+', '', 'g')) AS v FROM a WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY "股票代码", "实际披露日" ORDER BY audit_ts DESC, v DESC) = 1)
+obs AS (SELECT "股票代码" AS entity, 'name' AS attr, audit_ts AS seen, lower(regexp_replace(translate("当前简称", 'WIDE', 'PLAIN'), '[\s\p{Z}]+', '', 'g')) AS v FROM a
+UNION ALL SELECT * FROM (SELECT "股票代码", 'name_at_disclosure', CAST("实际披露日" AS TIMESTAMP), lower(regexp_replace(translate("披露日当时简称", 'WIDE', 'PLAIN'), '[\s\p{Z}]+', '', 'g')) AS v FROM a WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY "股票代码", "实际披露日" ORDER BY audit_ts DESC, v DESC) = 1)
 UNION ALL SELECT strftime(report_date, '%Y-%m-%d'), 'st_basis_sh_current', run_ts, CAST(st_basis_sh_current AS VARCHAR) FROM data_audit),
 said AS (SELECT * FROM obs WHERE v IS NOT NULL AND v <> ''),
 steps AS (SELECT *, lag(v) OVER (PARTITION BY entity, attr ORDER BY seen, v) AS p FROM said)
