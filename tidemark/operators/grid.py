@@ -20,16 +20,16 @@ from tidemark.session import finite, micros
 DAY_MICROS = 86_400_000_000
 
 
-def to_grid(readings: DataFrame, entity: str, ts: str, value: str, amount: str, sessions: DataFrame, small: int = SMALL_KEY) -> DataFrame:
+def to_grid(readings: DataFrame, entity: str, ts: str, value: str, amount: str, sessions: DataFrame, small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
     """One row per entity and session from its first to its last reading; the cell of a session is its whole day.
 
     Columns: entity, session_date, n_readings, last_value (the latest in the cell, else carried), mean_value
     (time-weighted), total_amount (NULL without a reading), coverage (0 to 1), status ('observed' or 'filled').
     Readings must lie on sessions. Only the interval ends move between neighbours; entities with many readings are cut
-    into chunks, and the cells are summed up with a partial aggregate.
+    into chunks, and the cells are summed up with a partial aggregate. ``hot`` names the hashes of such entities if known.
     """
     found = readings.select(F.col(entity).alias("_e"), micros(ts).alias("_from"), finite(value).alias("_v"), finite(amount).alias("_a")).where("_e IS NOT NULL AND _from IS NOT NULL AND _v IS NOT NULL")
-    steps = versions(found.groupBy("_e", "_from").agg(F.max("_v").alias("_v"), F.sum("_a").alias("_a")), ["_e"], "_from", small=small)
+    steps = versions(found.groupBy("_e", "_from").agg(F.max("_v").alias("_v"), F.sum("_a").alias("_a")), ["_e"], "_from", small=small, hot=hot)
     day = sessions.select(F.unix_date("session_date").alias("_day"), F.col("session_idx").alias("_idx"))
     start, stop = day.withColumnsRenamed({"_day": "_d0", "_idx": "_i0"}), day.withColumnsRenamed({"_day": "_d1", "_idx": "_i1"})
     per_day = F.lit(DAY_MICROS)

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked
+from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, hot_hashes
+from tidemark.session import settle
 
 #: Leaves of the tree and children of a node: 16 ^ LEVELS buckets.
 FAN_BITS, LEVELS = 4, 3
@@ -62,11 +63,11 @@ def history(rows: DataFrame, key: str, at: str, value: str, period: str, small:
     ends = seen.groupBy("_key", "_period").agg(F.max(F.struct("_at", "_value")).alias("_last"))
     ends = ends.withColumn("_next", F.lead("_period").over(Window.partitionBy("_key").orderBy("_period"))).where("_next IS NOT NULL")
     carried = ends.select("_key", F.col("_last._at").alias("_at"), F.col("_last._value").alias("_value"), F.col("_next").alias("_period"), F.lit(False).alias("_new"))
-    compared = inside.select("_key", "_at", "_value", "_period", F.lit(True).alias("_new")).unionByName(carried)
+    compared = settle(inside.select("_key", "_at", "_value", "_period", F.lit(True).alias("_new")).unionByName(carried))
     cut = chunked(compared, ["_key", "_period"], [F.col("_at")], 1, small)
     w = chunk_window(["_key", "_period"], [F.col("_at")])
     starts = cut.withColumn("_before", F.lag("_value").over(w)).where("_own AND _new").where("NOT (_value <=> _before)").select("_key", "_at", "_value")
-    cut = chunked(starts, ["_key"], [F.col("_at")], 1, small)
+    cut = chunked(starts, ["_key"], [F.col("_at")], 1, small, hot=hot_hashes(compared, ["_key"], small))
     until = F.lead("_at").over(chunk_window(["_key"], [F.col("_at")]))
     versions = cut.withColumn("valid_to", until).where("_own")
     return versions.select(F.col("_key").alias(key), F.col("_value").alias(value), F.col("_at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("current"))

@@ -75,15 +75,15 @@ def outliers(rows: DataFrame, key: str, order: list[str], value: str, times: flo
     return found
 
 
-def implausible(rows: DataFrame, key: str, order: list[str], value: str, above: float, most: float, times: float, run: int, passes: int = 3, phi: float | None = 1.0, small: int = SMALL_KEY) -> DataFrame:
+def implausible(rows: DataFrame, key: str, order: list[str], value: str, above: float, most: float, times: float, run: int, passes: int = 3, phi: float | None = 1.0, small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
     """All flags: the input columns and ``reason`` ('limit', 'spike', 'stuck'), a row per reading and reason.
 
     ``above``/``most`` are the physical limits (above < value <= most), ``times`` the spike threshold in scales,
-    ``run`` the least length of a stuck run.
+    ``run`` the least length of a stuck run, ``hot`` the hashes of sources with many rows if known.
     """
     good = rows.withColumn(value, finite(value)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [key, order[0], value]))
     possible = (F.col(value) > above) & (F.col(value) <= most)
-    hot = hot_hashes(good, [key], small)
+    hot = hot_hashes(good, [key], small) if hot is None else hot
     limit = good.where(~possible).withColumn("reason", F.lit("limit"))
     spikes = outliers(good.where(possible), key, order, value, times, passes, phi, small, hot).where("kind = 'outlier'").drop("kind", "in_pass").withColumn("reason", F.lit("spike"))
     stuck = stuck_runs(good, [key], order, [value], run, small, hot).withColumn("reason", F.lit("stuck"))

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked
 
 
-def versions(facts: DataFrame, keys: list[str], since: str, until: str = "_until", small: int = SMALL_KEY) -> DataFrame:
+def versions(facts: DataFrame, keys: list[str], since: str, until: str = "_until", small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
     """Half-open validity [since, until) of successive facts of a key; the last one is open (NULL). ``since`` must be unique in its key."""
-    cut = chunked(facts, keys, [F.col(since)], 1, small)
+    cut = chunked(facts, keys, [F.col(since)], 1, small, hot=hot)
     return cut.withColumn(until, F.lead(since).over(chunk_window(keys, [F.col(since)]))).where("_own").drop("_chunk", "_own")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.grid import to_grid
 from tidemark.operators.history import history
-from tidemark.operators.sequence import exact_median
+from tidemark.operators.sequence import exact_median, hot_hashes
 from tidemark.operators.spikes import implausible, stuck_runs
 from tidemark.operators.trailing import Days, Sessions, trailing_totals
 from tidemark.operators.validity import as_known
@@ -100,9 +100,14 @@ def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(calendar(spark, sf_dir), F.col("date").cast("date") == F.col("session_date"), "left_semi")
 
 
+def _hot_codes(spark: SparkSession, sf_dir: str) -> list[int]:
+    """Hashes of the codes with many readings, counted on the raw table's code column alone."""
+    return hot_hashes(read(spark, sf_dir, "prices").select(canonical_code("code").alias("code")), ["code"])
+
+
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per code and session between its first and last traded reading, filled and marked where it had none."""
-    return to_grid(_traded(spark, sf_dir), "code", "date", "close", "volume", calendar(spark, sf_dir))
+    return to_grid(_traded(spark, sf_dir), "code", "date", "close", "volume", calendar(spark, sf_dir), hot=_hot_codes(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,13 +126,13 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every implausible reading with its reasons; outliers are sought again after those found are taken out (3 passes)."""
-    flags = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES)
+    flags = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, hot=_hot_codes(spark, sf_dir))
     return flags.select("code", F.col("price_id").alias("row_id"), "close", "reason").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged rows of ``prices`` and ``feed``. One pass, as the cases are those of the series with only impossible closes left out."""
-    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, passes=1)
+    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, passes=1, hot=_hot_codes(spark, sf_dir))
     quotes = _quotes(spark, sf_dir)
     ratio = quotes.withColumn("_ratio", F.try_divide("limit_up", "limit_down"))
     usual = exact_median(ratio.select("code", "_ratio"), ["code"], "_ratio", "_usual")
