@@ -104,9 +104,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     ordered, so no group holds all values of a hot key. All aggregates combine on the map side.
     """
     v = F.col(value)
-    size = F.floor(F.log2(F.abs(v)) * 64).cast("int") + 100_000
-    bin_of = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
-    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", bin_of)
+    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", _bin(v))
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in"))
     by_key = Window.partitionBy(*keys)
     running = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,3 +117,41 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     inside = inside.withColumn("_under", F.col("_under") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
     pick = lambda r: F.max(F.when(covers(r, "_under", "_n"), v))
     return inside.groupBy(*keys).agg(((pick("_lo") + pick("_hi")) / 2).alias(name))
+
+
+def _bin(v: Column) -> Column:
+    """64 bins per doubling, in the order of the values."""
+    size = F.floor(F.log2(F.abs(v)) * 64).cast("int") + 100_000
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+
+
+def distinct_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _ties, _below, _total) for each distinct value: rows with it, with a smaller one, and in all.
+
+    Bins give the rows below a bin, and only the distinct values of one bin are ordered together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties")).withColumn("_bin", _bin(F.col(value)))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_ties").alias("_in"))
+    by_key = Window.partitionBy(*keys)
+    before = Window.unboundedPreceding, -1
+    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_in").over(by_key.orderBy("_bin").rowsBetween(*before)), F.lit(0)).alias("_base"), F.sum("_in").over(by_key).alias("_total"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(*before)
+    return counts.join(bins, [*keys, "_bin"]).select(*keys, value, "_ties", (F.col("_base") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))).alias("_below"), "_total")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], name: str) -> DataFrame:
+    """(keys, name): exact quantiles with linear interpolation as an array in the order of ``probs``."""
+    ranks = distinct_ranks(df, keys, value)
+    picks = []
+    for p in probs:
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        lo, hi = F.floor(at + 1e-9), F.ceil(at - 1e-9)
+        picks += [F.max(F.when((F.col("_below") <= r) & (r < F.col("_below") + F.col("_ties")), F.col(value))).alias(f"_q{len(picks) + i}") for i, r in enumerate((lo, hi))]
+    found = ranks.groupBy(*keys).agg(*picks, F.max("_total").alias("_total"))
+    values = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        part = at - F.floor(at + 1e-9)
+        low, high = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}")
+        values.append(low + F.greatest(part, F.lit(0.0)) * (high - low))
+    return found.select(*keys, F.array(*values).alias(name))

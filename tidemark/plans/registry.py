@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import market, panel
 from tidemark.sources.tables import PLAIN_FORMS, WIDE_FORMS
 
 QUERIES = {name: getattr(market, name) for name in ("p1_found", "p1_trailing", "p3_found", "p3_known", "p5_found", "p5_grid", "p6_found", "p6_flags", "p7_found", "p7_versions")}
 
+QUERIES |= {name: getattr(panel, name) for name in panel.NAMES}
+
 #: Current readings in canonical form, as SQL.
 READINGS = r"""
 canon AS (SELECT DISTINCT lpad(regexp_replace(translate(code, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), 6, '0') AS code, price_id, date, close, volume, amount, pct_change, loaded_ts FROM prices),
