@@ -121,16 +121,22 @@ def suspended_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.suspensions(daily_bars(spark, sf_dir), calendar(spark, sf_dir))
 
 
+def _features() -> list:
+    """The features, amounts to four decimals."""
+    return [F.round(c, 4).alias(c) if c in ("adv20", "float_mcap") else F.col(c) for c in bars.FEATURES]
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Liquidity and momentum features of each bar."""
-    return rounded(bars.price_features(daily_bars(spark, sf_dir)).select("code", "date", *bars.FEATURES), 4)
+    return rounded(bars.price_features(daily_bars(spark, sf_dir)).select("code", "date", *_features()), 8)
 
 
 def features_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the features of the last bar strictly before its entry."""
     events = filings(spark, sf_dir).where("tradable_date IS NOT NULL").select("event_id", "code", "tradable_date")
     priced = bars.price_features(daily_bars(spark, sf_dir)).withColumn("bar_date", F.col("date"))
-    return rounded(bars.attach_before(events, priced, "tradable_date", [*bars.FEATURES, "bar_date"]), 4)
+    done = bars.attach_before(events, priced, "tradable_date", [*bars.FEATURES, "bar_date"])
+    return rounded(done.select("event_id", "code", "tradable_date", "bar_date", *_features()), 8)
 
 
 def adjusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +221,7 @@ def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surprise winsorized, standardized, taken off its industry's mean, and neutralized for size and industry."""
-    return rounded(_cross(spark, sf_dir).select("event_id", "sue_w", "sue_z", "sue_group", "sue_neutral"), 4)
+    return rounded(_cross(spark, sf_dir).select("event_id", "sue_w", "sue_z", "sue_group", "sue_neutral"), 8)
 
 
 def ic_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +238,7 @@ def ic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ics = settle(ic_by_period(spark, sf_dir).select("report_date", "horizon", F.col("rank_ic").alias("ic")))
     plain = factor.ic_summary(ics, ["horizon"], "report_date")
     robust = factor.ic_summary(ics, ["horizon"], "report_date", 2).select("horizon", F.col("t_stat").alias("nw_t"))
-    return rounded(plain.join(robust, "horizon"), 4)
+    return rounded(plain.join(robust, "horizon"), 8)
 
 
 def decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,11 +284,11 @@ SCENARIOS = [
 
 def cohort_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["scenario", "cohort", "n", "k", "gross", "benchmark", "active", "commission", "tax", "slippage", "impact", "cost", "net", "capacity"]
-    return rounded(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS).select(*columns), 4)
+    return rounded(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS).withColumn("capacity", F.round("capacity", 2)).select(*columns), 8)
 
 
 def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(backtest.metrics(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS), ["scenario"]), 4)
+    return rounded(backtest.metrics(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS), ["scenario"]), 8)
 
 
 def scenario_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, panel
+from tidemark.plans import market, panel, panel_sql
 from tidemark.sources.tables import PLAIN_FORMS, WIDE_FORMS
 
 QUERIES = {name: getattr(market, name) for name in ("p1_found", "p1_trailing", "p3_found", "p3_known", "p5_found", "p5_grid", "p6_found", "p6_flags", "p7_found", "p7_versions")}
@@ -63,3 +63,4 @@ steps AS (SELECT *, lag(v) OVER (PARTITION BY entity, attr ORDER BY seen, v) AS
 SELECT DISTINCT entity, attr, strftime(seen, '%Y-%m-%d') AS valid_from FROM steps WHERE p IS NULL OR p <> v""",
 }
 SQL["p7_found"] = SQL["p7_found"].replace("'WIDE'", f"'{WIDE_FORMS}'").replace("'PLAIN'", "'" + PLAIN_FORMS.replace("'", "''") + "'")
+SQL |= panel_sql.SQL
