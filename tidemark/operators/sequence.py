@@ -57,11 +57,12 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "
     return ranked.join(where, match).select(*df.columns, (F.col("_mid") - F.col("_first") + F.col("_before")).alias(name))
 
 
-def chunked(df: DataFrame, keys: list[str], order: list[Column], halo: int, small: int = SMALL_KEY, rows: int = CHUNK_ROWS, hot: list[int] | None = None) -> DataFrame:
+def chunked(df: DataFrame, keys: list[str], order: list[Column], halo: int, small: int = SMALL_KEY, rows: int | None = None, hot: list[int] | None = None) -> DataFrame:
     """Add ``_chunk`` and ``_own``: within (keys, _chunk) a frame of ``halo`` rows to either side is complete for the rows with ``_own``.
 
     Compute the windows over (keys, _chunk), then keep the rows with ``_own``; each row has exactly one.
     """
+    rows = CHUNK_ROWS if rows is None else rows
     if rows < 2 * halo:
         raise ValueError("a chunk must hold at least twice the halo")
     hot = hot_hashes(df, keys, small) if hot is None else hot
@@ -70,9 +71,9 @@ def chunked(df: DataFrame, keys: list[str], order: list[Column], halo: int, smal
         return whole(df)
     is_hot = key_hash(keys).isin(hot)
     cut = positions(df.where(is_hot), keys, order)
-    at, within = F.floor(F.col("_pos") / rows).cast("bigint"), F.col("_pos") % rows
+    at, within = F.expr(f"_pos DIV {rows}"), F.col("_pos") % rows
     homes = F.array_compact(F.array(at, F.when((within < halo) & (at > 0), at - 1), F.when(within >= rows - halo, at + 1)))
-    cut = cut.withColumn("_at", at).withColumn("_chunk", F.explode(homes)).withColumn("_own", F.col("_chunk") == F.col("_at"))
+    cut = cut.withColumn("_chunk", F.explode(homes)).withColumn("_own", F.col("_chunk") == at)
     return whole(df.where(~is_hot)).unionByName(cut.select(*df.columns, "_chunk", "_own"))
 
 
