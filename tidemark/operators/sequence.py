@@ -18,6 +18,8 @@ SMALL_KEY = 50_000
 CHUNK_ROWS = 20_000
 #: Most keys that can count as hot; any other key holds less than this part of all rows.
 MOST_HOT = 10_000
+#: Over how many join partitions the rows of a hot key are spread.
+SALTS = 64
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -30,6 +32,27 @@ def hot_hashes(df: DataFrame, keys: list[str], small: int = SMALL_KEY) -> list[i
     return [r["_h"] for r in counts.orderBy(F.desc("count"), "_h").limit(MOST_HOT).collect()]
 
 
+def salted(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
+    """Add ``_salt``: 0 to SALTS - 1 by the row's content for hot keys, 0 for all others."""
+    if not hot:
+        return df.withColumn("_salt", F.lit(0))
+    plain = [F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]
+    return df.withColumn("_salt", F.when(key_hash(keys).isin(hot), F.pmod(F.xxhash64(F.lit(17), *plain), F.lit(SALTS)).cast("int")).otherwise(0))
+
+
+def replicated(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
+    """The other side of a join with ``salted`` rows: a row per salt for hot keys."""
+    if not hot:
+        return df.withColumn("_salt", F.lit(0))
+    return df.withColumn("_salt", F.explode(F.when(key_hash(keys).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], hot: list[int] | None = None, small: int = SMALL_KEY) -> DataFrame:
+    """Left join with a table of one row per key; the rows of hot keys are spread over SALTS partitions."""
+    hot = hot_hashes(df, keys, small) if hot is None else hot
+    return salted(df, keys, hot).join(replicated(table, keys, hot), [*keys, "_salt"], "left").drop("_salt")
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows range-partitioned by key and order and numbered by ``_mid``, which rises with them; settled, so that all later reads see the same numbers.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked
+from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, hot_hashes, replicated, salted
 
 
 def versions(facts: DataFrame, keys: list[str], since: str, until: str = "_until", small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
@@ -32,11 +32,12 @@ def _cell(at: Column, dim: int) -> Column:
     return F.call_function("shiftright", at.cast("bigint"), F.col(f"_level{dim}"))
 
 
-def interval_join(events: DataFrame, facts: DataFrame, keys: list[str], dims: list[tuple[str, str, str]]) -> DataFrame:
+def interval_join(events: DataFrame, facts: DataFrame, keys: list[str], dims: list[tuple[str, str, str]], small: int = SMALL_KEY) -> DataFrame:
     """Inner join of events with the facts of the same keys whose intervals contain the event in every dimension.
 
     ``dims`` holds (event column, from column, to column), all BIGINT; an interval is [from, to), ``to`` NULL means open.
     Rows with a NULL key, event position or ``from`` match nothing. The names of the two sides must differ apart from the keys.
+    Events of keys with more than ``small`` of them are spread by a salt, as wide buckets hold many of a key's events.
     """
     points = events.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, *[d[0] for d in dims]]))
     ends = points.agg(*[F.max(d[0]) for d in dims]).first()
@@ -56,10 +57,11 @@ def interval_join(events: DataFrame, facts: DataFrame, keys: list[str], dims: li
     for i, (at, _, _) in enumerate(dims):
         points = points.withColumn(f"_cell{i}", _cell(F.col(at), i))
     cells = [c for i in range(len(dims)) for c in (f"_level{i}", f"_cell{i}")]
-    joined = points.join(spans, [*keys, *cells])
+    hot = hot_hashes(events, keys, small)
+    joined = salted(points, keys, hot).join(replicated(spans, keys, hot), [*keys, *cells, "_salt"])
     for i, (at, start, _) in enumerate(dims):
         joined = joined.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(f"_to{i}")))
-    return joined.drop(*cells, *[f"_to{i}" for i in range(len(dims))])
+    return joined.drop("_salt", *cells, *[f"_to{i}" for i in range(len(dims))])
 
 
 def _steps(stated: list[int], known: list[int]) -> Iterator[tuple[int, int | None, int, int | None]]:
@@ -126,11 +128,11 @@ def as_known(events: DataFrame, facts: DataFrame, keys: list[str], at: str, know
     said = facts.where(F.col(value).isNotNull() & F.col(known).isNotNull())
     if stated is None:
         unique = said.groupBy(*keys, known).agg(F.max(value).alias(value))
-        return interval_join(events, versions(unique, keys, known, small=small), keys, [(at, known, "_until")]).drop("_until")
+        return interval_join(events, versions(unique, keys, known, small=small), keys, [(at, known, "_until")], small).drop("_until")
     reach = latest_known(said, keys, stated, known)
     placed = events.withColumn("_at_day", F.unix_date(stated_at).cast("bigint"))
-    best = interval_join(placed, reach, keys, [(at, "_known_from", "_known_to"), ("_at_day", "_stated_from", "_stated_to")])
+    best = interval_join(placed, reach, keys, [(at, "_known_from", "_known_to"), ("_at_day", "_stated_from", "_stated_to")], small)
     best = best.drop("_known_from", "_known_to", "_stated_to", "_at_day").withColumnRenamed("_stated_from", "_day")
     unique = said.groupBy(*keys, F.unix_date(stated).cast("bigint").alias("_day"), known).agg(F.max(value).alias(value))
     inner = [*keys, "_day"]
-    return interval_join(best, versions(unique, inner, known, small=small), inner, [(at, known, "_until")]).drop("_until", "_day")
+    return interval_join(best, versions(unique, inner, known, small=small), inner, [(at, known, "_until")], small).drop("_until", "_day")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.grid import to_grid
 from tidemark.operators.history import history
-from tidemark.operators.sequence import exact_median, hot_hashes
+from tidemark.operators.sequence import exact_median, hot_hashes, lookup
 from tidemark.operators.spikes import implausible, stuck_runs
 from tidemark.operators.trailing import Days, Sessions, trailing_totals
 from tidemark.operators.validity import as_known
@@ -136,7 +136,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = _quotes(spark, sf_dir)
     ratio = quotes.withColumn("_ratio", F.try_divide("limit_up", "limit_down"))
     usual = exact_median(ratio.select("code", "_ratio"), ["code"], "_ratio", "_usual")
-    off = ratio.join(usual, "code", "left").where((F.col("limit_up") <= 0) | (F.abs(F.col("_ratio") / F.col("_usual") - 1) > RATIO_BAND))
+    off = lookup(ratio, usual, ["code"]).where((F.col("limit_up") <= 0) | (F.abs(F.col("_ratio") / F.col("_usual") - 1) > RATIO_BAND))
     order = ["date", "quote_id"]
     still = stuck_runs(quotes, ["code"], order, ["limit_up", "limit_down"], STUCK_LIMITS)
     actions = stuck_runs(quotes.withColumn("_action", F.when(F.col("corporate_action"), True)), ["code"], order, ["_action"], STUCK_ACTIONS)
