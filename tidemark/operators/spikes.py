@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, exact_median, hot_hashes, in_run
-from tidemark.session import finite
+from tidemark.session import finite, settle
 
 
 def stuck_runs(rows: DataFrame, keys: list[str], order: list[str], same: list[str], length: int, small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def implausible(rows: DataFrame, key: str, order: list[str], value: str, above:
     ``above``/``most`` are the physical limits (above < value <= most), ``times`` the spike threshold in scales,
     ``run`` the least length of a stuck run, ``hot`` the hashes of sources with many rows if known.
     """
-    good = rows.withColumn(value, finite(value)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [key, order[0], value]))
+    good = settle(rows.withColumn(value, finite(value)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [key, order[0], value])))  # read by each test
     possible = (F.col(value) > above) & (F.col(value) <= most)
     hot = hot_hashes(good, [key], small) if hot is None else hot
     limit = good.where(~possible).withColumn("reason", F.lit("limit"))
