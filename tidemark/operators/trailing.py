@@ -34,7 +34,7 @@ class Sessions:
 
 
 def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str], windows: list[Days | Sessions], sessions: DataFrame, until: Column | None = None) -> DataFrame:
-    """One row per entity and day from its first day to ``until`` (the last session by default): ``{measure}_{window}`` totals and ``n_{measure}_{window}`` counts.
+    """One row per entity and day from its first day to ``until`` (the last session by default): ``{measure}_{window}`` totals and ``n_{measure}_{window}`` counts, ``active`` (the day has a row) and ``since`` (the entity's first day).
 
     ``daily`` should hold one row per entity and day (a partial aggregate of any number of readings), so that an entity has
     as many rows as there are days and no key grows with its readings. Decimal measures make the totals exact.
@@ -67,7 +67,7 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str]
     last = sessions.agg(F.max("session_date")).first()[0] if until is None else None
     end = F.lit(last) if until is None else until
     next_at = F.lead("_at").over(in_time)
-    totals = steps.select("_e", "_at", F.coalesce(F.date_sub(next_at, 1), F.greatest("_at", end)).alias("_to"), (F.col("_active") == 1).alias("_active"), *[F.coalesce(F.sum(f"_s_{n}").over(so_far), F.lit(0)).alias(n) for n in names])
+    totals = steps.select("_e", "_at", F.coalesce(F.date_sub(next_at, 1), F.greatest("_at", end)).alias("_to"), (F.col("_active") == 1).alias("_active"), F.min("_at").over(Window.partitionBy("_e")).alias("_since"), *[F.coalesce(F.sum(f"_s_{n}").over(so_far), F.lit(0)).alias(n) for n in names])
     spread = totals.withColumn("_to", F.least("_to", F.greatest(end, F.lit("1970-01-01").cast("date")))).where("_to >= _at")
     days = spread.withColumn("_day", F.explode(F.sequence("_at", "_to")))
-    return days.select(F.col("_e").alias(entity), F.col("_day").alias(day), (F.coalesce("_active", F.lit(False)) & (F.col("_day") == F.col("_at"))).alias("active"), *names)
+    return days.select(F.col("_e").alias(entity), F.col("_day").alias(day), (F.coalesce("_active", F.lit(False)) & (F.col("_day") == F.col("_at"))).alias("active"), F.col("_since").alias("since"), *names)

@@ -37,7 +37,7 @@ def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     measures = ["amount", "ret", "ret_sq", "log_growth", "ruin", "flip"]
     totals = trailing_totals(session_activity(spark, sf_dir), "code", "day", measures, WINDOWS, calendar(spark, sf_dir))
-    columns = ["code", "day", "active"]
+    columns = ["code", "day", "active", "since"]
     for w in WINDOWS:
         n, total, squares = (F.col(f"{x}_{w.name}") for x in ("n_ret", "ret", "ret_sq"))
         spread = F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0)))
@@ -57,9 +57,9 @@ def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored trailing values of ``liquidity`` that the recomputed ones contradict."""
     sessions = calendar(spark, sf_dir)
-    totals = p1_trailing(spark, sf_dir).join(sessions, F.col("day") == F.col("session_date")).select("code", "session_date", "session_idx", "amount_avg_20s", "n_ret_20s", "ret_std_20s", "compound_20s")
-    first = session_activity(spark, sf_dir).join(sessions, F.col("day") == F.col("session_date")).groupBy("code").agg(F.min("session_idx").alias("_first_idx"))
-    right = totals.join(first, "code").where("session_idx - _first_idx >= 20")
+    totals = p1_trailing(spark, sf_dir).join(sessions, F.col("day") == F.col("session_date")).select("code", "session_date", "session_idx", "since", "amount_avg_20s", "n_ret_20s", "ret_std_20s", "compound_20s")
+    first = sessions.select(F.col("session_date").alias("since"), F.col("session_idx").alias("_first_idx"))
+    right = totals.join(first, "since").where("session_idx - _first_idx >= 20")
     stored = read(spark, sf_dir, "liquidity").select(F.col("liq_id").cast("bigint").alias("liq_id"), canonical_code("code").alias("code"), F.col("date").cast("date").alias("session_date"), *[finite(c).alias(f"_{c}") for c in ("adv20", "volatility_20d", "momentum_20d")])
     off = stored.join(right, ["code", "session_date"])
     wrong_adv = F.abs(F.col("_adv20") - F.col("amount_avg_20s")) > ADV_TOLERANCE * F.abs("amount_avg_20s")
