@@ -144,3 +144,11 @@ def test_history_equals_brute_force(spark, small_chunks):
             want[k, t] = (v, after and after[0], after is None)
     assert got == want
     assert history(df.where("false"), "k", "at", "v", "year(_at)").count() == 0
+
+
+def test_clashing_columns_pass_through(spark):
+    rows = [("k", i, 5.0, "mine", 1, 2.5) for i in range(7)]
+    df = spark.createDataFrame(rows, "code string, i int, v double, reason string, _chunk int, _e double")
+    got = implausible(df, "code", ["i"], "v", 0.0, 1e6, 12.0, 6).collect()
+    assert {(x.i, x.reason, x._chunk, x._e) for x in got} == {(i, "stuck", 1, 2.5) for i in range(7)}
+    assert implausible(df.where("false"), "code", ["i"], "v", 0.0, 1e6, 12.0, 6).count() == 0

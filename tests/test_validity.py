@@ -56,3 +56,10 @@ def test_bounds_are_half_open(spark):
     f = spark.createDataFrame([("k", 10, 1), ("k", 20, 2)], "k string, known bigint, row bigint")
     e = spark.createDataFrame([("a", "k", 9), ("b", "k", 10), ("c", "k", 19), ("d", "k", 20)], "event_id string, k string, at bigint")
     assert {x.event_id: x.row for x in V.as_known(e, f, ["k"], "at", "known", "row").collect()} == {"b": 1, "c": 1, "d": 2}
+
+
+def test_clashing_columns_give_way(spark):
+    f = spark.createDataFrame([("k", 10, 1, "fact")], "k string, known bigint, row bigint, note string").withColumn("_event", F.lit(1))
+    e = spark.createDataFrame([("e", "k", 20, 99, "event", 5)], "event_id string, k string, at bigint, row bigint, note string, _known int")
+    x = V.as_known(e, f, ["k"], "at", "known", "row").first()
+    assert (x.event_id, x.row, x.note, x._known) == ("e", 1, "event", 5)

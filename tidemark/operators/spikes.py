@@ -76,15 +76,19 @@ def outliers(rows: DataFrame, key: str, order: list[str], value: str, times: flo
 
 
 def implausible(rows: DataFrame, key: str, order: list[str], value: str, above: float, most: float, times: float, run: int, passes: int = 3, phi: float | None = 1.0, small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
-    """All flags: the input columns and ``reason`` ('limit', 'spike', 'stuck'), a row per reading and reason.
+    """All flags: the input columns and ``reason`` ('limit', 'spike', 'stuck'), a row per reading and reason;
+    an input column named ``reason`` gives way to it.
 
     ``above``/``most`` are the physical limits (above < value <= most), ``times`` the spike threshold in scales,
     ``run`` the least length of a stuck run, ``hot`` the hashes of sources with many rows if known.
     """
-    good = settle(rows.withColumn(value, finite(value)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in [key, order[0], value])))  # read by each test
-    possible = (F.col(value) > above) & (F.col(value) <= most)
-    hot = hot_hashes(good, [key], small) if hot is None else hot
-    limit = good.where(~possible).withColumn("reason", F.lit("limit"))
-    spikes = outliers(good.where(possible), key, order, value, times, passes, phi, small, hot).where("kind = 'outlier'").drop("kind", "in_pass").withColumn("reason", F.lit("spike"))
-    stuck = stuck_runs(good, [key], order, [value], run, small, hot).withColumn("reason", F.lit("stuck"))
-    return limit.unionByName(spikes).unionByName(stuck)
+    ids = [f"_o{i}" for i in range(len(order))]
+    kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+    named = rows.select(kept, F.col(key).alias("_key"), *[F.col(c).alias(i) for c, i in zip(order, ids)], finite(value).alias("_value"))
+    good = settle(named.where("_key IS NOT NULL AND _o0 IS NOT NULL AND _value IS NOT NULL"))  # read by each test
+    possible = (F.col("_value") > above) & (F.col("_value") <= most)
+    hot = hot_hashes(good, ["_key"], small) if hot is None else hot
+    limit = good.where(~possible).select("_row", F.lit("limit").alias("reason"))
+    spikes = outliers(good.where(possible), "_key", ids, "_value", times, passes, phi, small, hot).where("kind = 'outlier'").select("_row", F.lit("spike").alias("reason"))
+    stuck = stuck_runs(good, ["_key"], ids, ["_value"], run, small, hot).select("_row", F.lit("stuck").alias("reason"))
+    return limit.unionByName(spikes).unionByName(stuck).select(*[F.col("_row").getField(c).alias(c) for c in rows.columns if c != "reason"], "reason")

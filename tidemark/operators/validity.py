@@ -118,21 +118,26 @@ def latest_known(statements: DataFrame, keys: list[str], stated: str, known: str
 
 
 def as_known(events: DataFrame, facts: DataFrame, keys: list[str], at: str, known: str, value: str, stated_at: str | None = None, stated: str | None = None, small: int = SMALL_KEY) -> DataFrame:
-    """For each event the fact of its keys that was the latest one known at ``at``, with the columns of both.
+    """For each event the fact of its keys that was the latest one known at ``at``: the event's columns and ``value``.
 
     Without ``stated`` it is the fact with the greatest ``known`` <= ``at``; with it, the one with the greatest
     ``stated`` <= ``stated_at`` of those known by then, and of these the latest known. Facts with a NULL ``known``,
     ``stated`` or ``value`` say nothing; of facts equal in all times the greatest ``value`` holds. Events without a
-    matching fact, or with NULL times, have no row. ``at`` and ``known`` are BIGINT microseconds, the stated times DATE.
+    matching fact, or with NULL times, have no row. Further columns of the facts are not read, and an event's column with the
+    name of ``value`` gives way to it. ``at`` and ``known`` are BIGINT microseconds, the stated times DATE.
     """
-    said = facts.where(F.col(value).isNotNull() & F.col(known).isNotNull())
+    ids = [f"_key{i}" for i in range(len(keys))]
+    named = lambda df: [F.col(k).alias(i) for k, i in zip(keys, ids)]
+    day = F.unix_date(stated_at).cast("bigint") if stated is not None else F.lit(None).cast("bigint")
+    asked = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_event"), *named(events), F.col(at).cast("bigint").alias("_at"), day.alias("_at_day"))
+    said = facts.select(*named(facts), F.col(known).cast("bigint").alias("_known"), (F.col(stated) if stated is not None else F.lit(None)).cast("date").alias("_stated"), F.col(value).alias("_value")).where("_value IS NOT NULL AND _known IS NOT NULL")
     if stated is None:
-        unique = said.groupBy(*keys, known).agg(F.max(value).alias(value))
-        return interval_join(events, versions(unique, keys, known, small=small), keys, [(at, known, "_until")], small).drop("_until")
-    reach = latest_known(said, keys, stated, known)
-    placed = events.withColumn("_at_day", F.unix_date(stated_at).cast("bigint"))
-    best = interval_join(placed, reach, keys, [(at, "_known_from", "_known_to"), ("_at_day", "_stated_from", "_stated_to")], small)
-    best = best.drop("_known_from", "_known_to", "_stated_to", "_at_day").withColumnRenamed("_stated_from", "_day")
-    unique = said.groupBy(*keys, F.unix_date(stated).cast("bigint").alias("_day"), known).agg(F.max(value).alias(value))
-    inner = [*keys, "_day"]
-    return interval_join(best, versions(unique, inner, known, small=small), inner, [(at, known, "_until")], small).drop("_until", "_day")
+        unique = said.groupBy(*ids, "_known").agg(F.max("_value").alias("_value"))
+        found = interval_join(asked, versions(unique, ids, "_known", small=small), ids, [("_at", "_known", "_until")], small)
+    else:
+        best = interval_join(asked, latest_known(said, ids, "_stated", "_known"), ids, [("_at", "_known_from", "_known_to"), ("_at_day", "_stated_from", "_stated_to")], small)
+        best = best.select("_event", *ids, "_at", F.col("_stated_from").alias("_day"))
+        unique = said.groupBy(*ids, F.unix_date("_stated").cast("bigint").alias("_day"), "_known").agg(F.max("_value").alias("_value"))
+        inner = [*ids, "_day"]
+        found = interval_join(best, versions(unique, inner, "_known", small=small), inner, [("_at", "_known", "_until")], small)
+    return found.select(*[F.col("_event").getField(c).alias(c) for c in events.columns if c != value], F.col("_value").alias(value))
