@@ -205,3 +205,32 @@ def test_folds_leave_a_gap(spark):
         models.fit_net(np.array([[np.nan]]), np.array([1.0]))
     with pytest.raises(ValueError):
         models.feature_columns(df, ["fwd_ret_5"])
+
+
+def test_event_panel(spark):
+    from tidemark.plans import study
+
+    filed = spark.createDataFrame([("1", date(2023, 12, 31), "甲"), ("2", date(2023, 12, 31), "ST乙"), ("3", date(2023, 12, 31), "丙"), ("4", date(2023, 12, 31), "丁")], "code string, report_date date, name string")
+    told = spark.createDataFrame([("1", date(2023, 12, 31), date(2024, 1, 5)), ("2", date(2023, 12, 31), date(2024, 1, 6)), ("3", date(2023, 12, 31), date(2030, 1, 1)), ("5", date(2023, 12, 31), date(2024, 1, 5))], "code string, report_date date, actual_disclosure_date date")
+    master = study.Master(spark.createDataFrame([(c, date(2020, 1, 1)) for c in "123"], "code string, list_date date"), spark.createDataFrame([], "code string, delist_date date"), spark.createDataFrame([], "code string, change_date date, name_before string, name_after string"))
+    got = {x.event_id: x.tradable_date for x in study.event_panel(filed, told, cal(spark), master).collect()}
+    assert got == {"1:2023-12-31": date(2024, 1, 8)}
+    kept = study.event_panel(filed, told, cal(spark), master, flagged="keep")
+    assert {x.event_id for x in kept.collect()} == {"1:2023-12-31", "2:2023-12-31"}
+    assert study.unseen(kept, kept.where("code = '1'")).count() == 1
+    x = study.coverage(filed, told).first()
+    assert (x.filings, x.announcements, x.matched, x.match_rate) == (4, 4, 3, 0.75)
+    with pytest.raises(ValueError):
+        study.event_panel(filed, told, cal(spark), flagged="other")
+
+
+def test_order_checks(spark):
+    d = date(2024, 1, 2)
+    asked = spark.createDataFrame([("a", d, "buy"), ("a", d, "sell"), ("b", d, "buy"), ("c", d, "sell"), ("d", d, "buy")], "code string, date date, side string")
+    off = spark.createDataFrame([("b", d)], "code string, date date")
+    moves = spark.createDataFrame([("a", d, True, False), ("c", d, False, True)], "code string, date date, hit_up boolean, hit_down boolean")
+    got = {(x.code, x.side): x.reason for x in bars.order_checks(asked, off, moves).collect()}
+    assert got == {("a", "buy"): "limit up", ("a", "sell"): None, ("b", "buy"): "suspended", ("c", "sell"): "limit down", ("d", "buy"): None}
+    with pytest.raises(Exception, match="unknown side"):
+        bars.order_checks(asked.withColumn("side", F.lit("x")), off, moves).collect()
+    assert bars.first_present(asked.withColumn("e", F.lit(None).cast("double")), ["zz", "e", "side"]) == "side"

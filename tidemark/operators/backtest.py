@@ -30,21 +30,22 @@ class CostModel:
 
 @dataclass(frozen=True)
 class Scenario:
-    """One run: which signal and return column, which top share, which costs."""
+    """One run: which signal and return column, which top share, which costs, and which events (an SQL predicate)."""
 
     name: str
     signal: str
     outcome: str
     top: float = 0.2
     cost: CostModel = CostModel()
+    keep: str = "true"
 
 
 def prepared(events: DataFrame, scenarios: list[Scenario], entry: str = "tradable_date") -> DataFrame:
     """Events exploded over the scenarios: (scenario, cohort, event_id, signal, ret, adv, vol, cost rates); incomplete or blocked ones left out."""
     usable = events.where("NOT coalesce(entry_blocked, false)") if "entry_blocked" in events.columns else events
-    parts = [F.struct(F.lit(s.name).alias("scenario"), F.col(s.signal).cast("double").alias("signal"), F.col(s.outcome).cast("double").alias("ret"), F.lit(s.top).alias("top"), *[F.lit(float(v)).alias(f"c_{k}") for k, v in asdict(s.cost).items()]) for s in scenarios]
+    parts = [F.struct(F.lit(s.name).alias("scenario"), F.col(s.signal).cast("double").alias("signal"), F.col(s.outcome).cast("double").alias("ret"), F.lit(s.top).alias("top"), F.coalesce(F.expr(s.keep), F.lit(False)).alias("keep"), *[F.lit(float(v)).alias(f"c_{k}") for k, v in asdict(s.cost).items()]) for s in scenarios]
     long = usable.select("event_id", F.date_format(entry, "yyyy-MM").alias("cohort"), F.col("adv20").alias("adv"), F.col("volatility_20d").alias("vol"), F.explode(F.array(*parts)).alias("_s")).select("*", "_s.*").drop("_s")
-    return long.where("cohort IS NOT NULL AND signal IS NOT NULL AND ret IS NOT NULL")
+    return long.where("keep AND cohort IS NOT NULL AND signal IS NOT NULL AND ret IS NOT NULL")
 
 
 def cohorts(events: DataFrame, scenarios: list[Scenario], least_names: int = 5) -> DataFrame:

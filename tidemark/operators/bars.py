@@ -90,3 +90,29 @@ def adjust(bars: DataFrame, actions: DataFrame, method: str = "qfq") -> DataFram
     factor = F.exp(total if method == "qfq" else -total)
     done = logs.withColumn("factor", factor).where("_kind = 1").select("code", "date", "factor")
     return bars.join(done, ["code", "date"]).withColumn("adj_close", F.col("close") * F.col("factor"))
+
+
+def order_checks(requests: DataFrame, suspended: DataFrame, moves: DataFrame, liquidity: DataFrame | None = None, least_adv: float = 0.0) -> DataFrame:
+    """Requests (code, date, side) with ``tradable`` and ``reason``: suspended blocks both sides, a hit limit the side it locks,
+    and a missing or low daily volume any, if ``liquidity`` (code, date, adv) is given. A side other than buy or sell is refused.
+    """
+    off = suspended.select("code", "date").distinct().withColumn("_off", F.lit(True))
+    hit = moves.groupBy("code", "date").agg(F.max("hit_up").alias("_up"), F.max("hit_down").alias("_down"))
+    out = requests.join(off, ["code", "date"], "left").join(hit, ["code", "date"], "left")
+    thin = F.lit(False)
+    if liquidity is not None:
+        out = out.join(liquidity.groupBy("code", "date").agg(F.max("adv").alias("_adv")), ["code", "date"], "left")
+        thin = F.coalesce(F.col("_adv") < least_adv, F.lit(True))
+    side = F.when(F.col("side").isin("buy", "sell"), F.col("side")).otherwise(F.raise_error(F.concat(F.lit("unknown side: "), F.coalesce("side", F.lit("NULL")))))
+    reason = F.when(F.col("_off"), "suspended").when((side == "buy") & F.col("_up"), "limit up").when((side == "sell") & F.col("_down"), "limit down").when(thin, "thin")
+    return out.withColumn("reason", reason).withColumn("tradable", F.col("reason").isNull()).drop("_off", "_up", "_down", "_adv")
+
+
+def first_present(df: DataFrame, names: list[str]) -> str:
+    """The first of the columns that is there and has any value; ValueError if none has."""
+    able = [n for n in names if n in df.columns]
+    found = df.agg(*[F.count(n).alias(n) for n in able]).first() if able else {}
+    for n in able:
+        if found[n]:
+            return n
+    raise ValueError(f"none of {', '.join(names)} has values")

@@ -296,6 +296,37 @@ def scenario_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.rollup(measured, "dimension", "net_annual"), 4)
 
 
+def scenario_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base scenario by year, by terciles of size and liquidity within the month, and with entries one session later."""
+    rows = _analysis(spark, sf_dir).withColumn("month", F.date_format("tradable_date", "yyyy-MM"))
+    rows = crosssection.quantile_bucket(crosssection.quantile_bucket(rows, ["month"], "log_mcap", 3, "size"), ["month"], "log_adv20", 3, "depth")
+    later = delayed_entries(spark, sf_dir).select("event_id", F.col("ret_10").alias("ret_later"))
+    years = [r[0] for r in rows.select(F.year("tradable_date").alias("y")).distinct().orderBy("y").collect()]  # a few years
+    runs = [backtest.Scenario(f"year {y}", "sue", "ret_10", keep=f"year(tradable_date) = {y}") for y in years]
+    runs += [backtest.Scenario(f"{c} {t}", "sue", "ret_10", keep=f"{c} = {t}") for c in ("size", "depth") for t in (1, 2, 3)]
+    runs.append(backtest.Scenario("later entry", "sue", "ret_later"))
+    measured = backtest.metrics(backtest.cohorts(settle(rows.join(later, "event_id", "left")), runs, 3), ["scenario"])
+    return rounded(measured.select("scenario", "cohorts", "events", "gross_annual", "net_annual", "net_sharpe", "hit_rate", "mean_cost"))
+
+
+def prediction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank coefficients of the out-of-sample predictions and of the surprise alone, per report date."""
+    rows = _analysis(spark, sf_dir)
+    columns = ["sue", "revenue_growth", "log_mcap", "momentum_20d", "volatility_20d"]
+    told = rows.join(models.walk_forward(rows, columns, "ret_10", "report_date", "ridge", 4, 30), "event_id")
+    long = factor.unpivot(settle(told), ["report_date", "ret_10"], {"model": "prediction", "surprise": "sue"}, "score", "_v")
+    return rounded(factor.ic_by(long, ["score", "report_date"], "_v", "ret_10", True, LEAST_PAIRS))
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each event could be bought and sold on its entry day, and why not."""
+    rows = daily_bars(spark, sf_dir)
+    sides = F.explode(F.array(F.lit("buy"), F.lit("sell")))
+    asked = filings(spark, sf_dir).where("tradable_date IS NOT NULL").select("event_id", "code", F.col("tradable_date").alias("date"), sides.alias("side"))
+    adv = bars.price_features(rows).select("code", "date", F.col("adv20").alias("adv"))
+    return bars.order_checks(asked, bars.suspensions(rows, calendar(spark, sf_dir)), bars.limit_moves(rows), adv, 1e6).select("event_id", "side", "tradable", "reason")
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict per horizon from its coefficients and its backtest."""
     ics = ic_statistics(spark, sf_dir).select(F.concat(F.lit("horizon_"), "horizon").alias("scenario"), "mean_ic", "t_stat")
@@ -399,5 +430,5 @@ NAMES = """daily_bars calendar_shift tradable_dates session_counts panel_audit c
 suspended_sessions features features_before adjusted_closes filled_events filled_audit delayed_entries forward_rates surprises signal_coverage
 eps_check cross_section ic_by_period ic_statistics decay quantile_periods quantile_summary regressions regression_single regression_means
 cohort_results scenario_metrics scenario_rollup findings selected_weights monthly_turnover monthly_capacity monthly_active inverse_volatility
-capped_weights trading_costs title_corrections code_sets audit_sample best_candidates split_blocks present_features ridge_predictions
+capped_weights scenario_subsets prediction_scores order_requests trading_costs title_corrections code_sets audit_sample best_candidates split_blocks present_features ridge_predictions
 boosted_predictions""".split()

@@ -163,6 +163,12 @@ SELECT month, round(sum(abs(w)) / 2, 6) AS turnover FROM nt GROUP BY month""",
     "monthly_active": HELDW + ", ev2 AS (SELECT month, event_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY month) AS w FROM base) SELECT month, event_id, round(coalesce(s.weight, 0) - ev2.w, 6) AS active FROM ev2 LEFT JOIN (SELECT event_id, weight FROM sel) s USING (event_id)",
     "inverse_volatility": HELDW + """, i AS (SELECT month, event_id, CASE WHEN volatility_20d > 0 THEN 1 / volatility_20d ELSE 0 END AS i FROM sel), c AS (SELECT month, event_id, least(coalesce(i / nullif(sum(i) OVER (PARTITION BY month), 0), 0), 0.2::DOUBLE) AS c FROM i)
 SELECT month, event_id, round(coalesce(c / nullif(sum(c) OVER (PARTITION BY month), 0), 0), 6) AS weight FROM c""",
+    "order_requests": f"""WITH {READINGS}, {HITS}, {FEATURES}, span AS (SELECT code, min(idx) AS a, max(idx) AS z FROM bars GROUP BY code),
+off AS (SELECT span.code, cal.d AS date FROM span JOIN cal ON cal.i BETWEEN a AND z ANTI JOIN bars ON bars.code = span.code AND bars.idx = cal.i),
+q AS (SELECT event_id, code, td AS date, unnest(['buy', 'sell']) AS side FROM ev WHERE td IS NOT NULL),
+w AS (SELECT q.event_id, q.side, CASE WHEN off.code IS NOT NULL THEN 'suspended' WHEN side = 'buy' AND hit_up THEN 'limit up' WHEN side = 'sell' AND hit_down THEN 'limit down' WHEN coalesce(adv20 < 1e6, true) THEN 'thin' END AS reason
+FROM q LEFT JOIN off ON off.code = q.code AND off.date = q.date LEFT JOIN hits ON hits.code = q.code AND hits.date = q.date LEFT JOIN logs ON logs.code = q.code AND logs.date = q.date)
+SELECT event_id, side, reason IS NULL AS tradable, reason FROM w""",
     "trading_costs": """WITH l AS (SELECT DISTINCT liq_id, adv20, volatility_20d AS vol FROM liquidity), p AS (SELECT *, CASE WHEN adv20 > 0 THEN least(1e6 / adv20, 0.1::DOUBLE) END AS part FROM l),
 c AS (SELECT *, 0.0005::DOUBLE + 0.05::DOUBLE * part AS slip, 0.5::DOUBLE * vol * sqrt(part) AS imp FROM p)
 SELECT liq_id, round(slip, 4) AS slippage, round(imp, 4) AS impact, round(CASE WHEN adv20 > 0 THEN adv20 * 0.1::DOUBLE ELSE 0 END, 4) AS cap, round(2e6 * 0.0003::DOUBLE + 1e6 * 0.0005::DOUBLE + 2e6 * (slip + imp), 4) AS cost FROM c""",
