@@ -127,6 +127,14 @@ def test_own_words():
     assert subjects.signature_lines("a\n[sig]Some 12 [b]Line[/b][/sig]") == ["some # line"]
 
 
+def test_quotes_of_any_depth():
+    deep = "[quote]" * 20_000 + "in" + "[/quote]" * 20_000 + "out"
+    assert subjects.own_sentences(deep) == [["out"]]
+    text = '<div class="quote">a<div>b</div></div>c<div>d</div><blockquote>e</blockquote>[QUOTE=x]f[/QUOTE]g [/quote] h'
+    assert [w for s in subjects.own_sentences(text) for w in s] == ["c", "d", "g", "h"]
+    assert [w for s in subjects.own_sentences("own\n[quote=x]cited\n\nown") for w in s] == ["own", "own"]
+
+
 def test_gradient_is_the_slope_of_the_loss():
     import numpy as np
 
