@@ -53,12 +53,14 @@ def ic_summary(ics: DataFrame, keys: list[str], order: str, lags: int | None = N
     ``ics`` has one row per period, a short table; the lagged products need a window over the periods of a key.
     """
     rows = ics.where("ic IS NOT NULL")
+    if not keys:
+        keys, rows = ["_all"], rows.withColumn("_all", F.lit(1))
     stats = rows.groupBy(*keys).agg(F.count("ic").alias("periods"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"), F.min("ic").alias("min_ic"), F.max("ic").alias("max_ic"))
     enough = (F.col("periods") >= least) & (F.col("std_ic") > 0)
     out = stats.withColumn("icir", F.when(enough, F.col("mean_ic") / F.col("std_ic")))
     if lags is None:
-        return out.withColumn("t_stat", F.when(enough, F.col("mean_ic") / F.col("std_ic") * F.sqrt("periods")))
-    centred = rows.join(stats.select(*keys, "mean_ic", "periods"), keys) if keys else rows.join(F.broadcast(stats.select("mean_ic", "periods")))
+        return out.withColumn("t_stat", F.when(enough, F.col("mean_ic") / F.col("std_ic") * F.sqrt("periods"))).drop("_all")
+    centred = rows.join(stats.select(*keys, "mean_ic", "periods"), keys)
     centred = centred.withColumn("_u", F.col("ic") - F.col("mean_ic"))
     w = Window.partitionBy(*keys).orderBy(order)
     used = F.least(F.lit(lags), F.col("periods") - 1)
@@ -67,8 +69,7 @@ def ic_summary(ics: DataFrame, keys: list[str], order: str, lags: int | None = N
         weight = F.when(F.lit(k) <= used, 1 - F.lit(k) / (used + 1)).otherwise(0.0)
         total = total + 2 * weight * F.coalesce(F.col("_u") * F.lag("_u", k).over(w), F.lit(0.0))
     longrun = centred.withColumn("_t", total).groupBy(*keys).agg((F.sum("_t") / F.first("periods")).alias("_lrv"))
-    joined = out.join(longrun, keys) if keys else out.join(F.broadcast(longrun))
-    return joined.withColumn("t_stat", F.when((F.col("periods") >= least) & (F.col("_lrv") > 0), F.col("mean_ic") / F.sqrt(F.col("_lrv") / F.col("periods")))).drop("_lrv")
+    return out.join(longrun, keys).withColumn("t_stat", F.when((F.col("periods") >= least) & (F.col("_lrv") > 0), F.col("mean_ic") / F.sqrt(F.col("_lrv") / F.col("periods")))).drop("_lrv", "_all")
 
 
 def quantile_returns(df: DataFrame, keys: list[str], signal: str, outcome: str, buckets: int) -> DataFrame:

@@ -20,16 +20,28 @@ ADV_TOLERANCE, RATE_TOLERANCE, LEAST_RETURNS = 0.005, 0.0005, 10
 
 
 def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per code and session: amount, and the session's return with what its trailing statistics need."""
+    """Per code and session: amount, and the session's return with what its trailing statistics need.
+
+    Amounts, returns and their squares are decimals, so that what leaves a window takes off exactly what it brought. A
+    return of 10^10 or more counts as missing.
+    """
     held = on_session(current_readings(read(spark, sf_dir, "prices"), ["amount", "pct_change"]), calendar(spark, sf_dir))
     growth = 1 + finite("pct_change") / 100
     amount = finite("amount").try_cast("decimal(24,4)")
     by_day = held.groupBy("code", "session_date").agg(F.coalesce(F.sum(amount), F.lit(0).cast("decimal(24,4)")).cast("decimal(24,4)").alias("amount"), F.product(growth).alias("_g"))
-    g = F.col("_g")
-    return by_day.select("code", F.col("session_date").alias("day"), "amount", (g - 1).alias("ret"), ((g - 1) * (g - 1)).alias("ret_sq"), F.when(g != 0, F.ln(F.abs(g))).alias("log_growth"), F.when(g == 0, 1).alias("ruin"), F.when(g < 0, 1).alias("flip"))
+    g, ret = F.col("_g"), (F.col("_g") - 1).try_cast("decimal(28,18)")
+    square = F.when(ret.isNotNull(), ((F.col("_g") - 1) * (F.col("_g") - 1)).try_cast("decimal(35,18)"))
+    return by_day.select("code", F.col("session_date").alias("day"), "amount", ret.alias("ret"), square.alias("ret_sq"), F.when(g != 0, F.ln(F.abs(g))).alias("log_growth"), F.when(g == 0, 1).alias("ruin"), F.when(g < 0, 1).alias("flip"))
 
 
 def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trailing`` with amounts to four decimals, rates to ten, their means to twelve."""
+    rows = trailing(spark, sf_dir)
+    digits = lambda c: 4 if c.startswith("amount") else 12 if c.startswith("ret_avg") else 10
+    return rows.select(*[(F.round(c, digits(c)) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in rows.dtypes])
+
+
+def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and averages of amount and returns per code and day over 7 and 30 days and 20 sessions, days without trade included.
 
     Averages of amount count days without activity as 0, those of returns are over the sessions that have one.
@@ -39,13 +51,13 @@ def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = trailing_totals(session_activity(spark, sf_dir), "code", "day", measures, WINDOWS, calendar(spark, sf_dir))
     columns = ["code", "day", "active", "since"]
     for w in WINDOWS:
-        n, total, squares = (F.col(f"{x}_{w.name}") for x in ("n_ret", "ret", "ret_sq"))
+        n, total, squares = (F.col(f"{x}_{w.name}").cast("double") for x in ("n_ret", "ret", "ret_sq"))
         spread = F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0)))
         compound = F.when(F.col(f"ruin_{w.name}") > 0, 0.0).otherwise(F.exp(f"log_growth_{w.name}") * (1 - 2 * F.pmod(F.col(f"flip_{w.name}"), F.lit(2)))) - 1
         columns += [
             F.col(f"amount_{w.name}").cast("double").alias(f"amount_{w.name}"),
             (F.col(f"amount_{w.name}").cast("double") / w.length).alias(f"amount_avg_{w.name}"),
-            n.alias(f"n_ret_{w.name}"),
+            F.col(f"n_ret_{w.name}"),
             F.when(n > 0, total).alias(f"ret_{w.name}"),
             F.when(n > 0, total / n).alias(f"ret_avg_{w.name}"),
             F.when(n > 1, spread).alias(f"ret_std_{w.name}"),
@@ -57,7 +69,7 @@ def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored trailing values of ``liquidity`` that the recomputed ones contradict."""
     sessions = calendar(spark, sf_dir)
-    totals = p1_trailing(spark, sf_dir).join(sessions, F.col("day") == F.col("session_date")).select("code", "session_date", "session_idx", "since", "amount_avg_20s", "n_ret_20s", "ret_std_20s", "compound_20s")
+    totals = trailing(spark, sf_dir).join(sessions, F.col("day") == F.col("session_date")).select("code", "session_date", "session_idx", "since", "amount_avg_20s", "n_ret_20s", "ret_std_20s", "compound_20s")
     first = sessions.select(F.col("session_date").alias("since"), F.col("session_idx").alias("_first_idx"))
     right = totals.join(first, "since").where("session_idx - _first_idx >= 20")
     stored = read(spark, sf_dir, "liquidity").select(F.col("liq_id").cast("bigint").alias("liq_id"), canonical_code("code").alias("code"), F.col("date").cast("date").alias("session_date"), *[finite(c).alias(f"_{c}") for c in ("adv20", "volatility_20d", "momentum_20d")])

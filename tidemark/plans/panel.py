@@ -400,8 +400,8 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 of the last month's events by surprise, ties by code (a top-k report)."""
     rows = _signals(spark, sf_dir).where("sue IS NOT NULL AND tradable_date IS NOT NULL")
-    end = rows.agg(F.max("tradable_date").alias("_end"))
-    recent = rows.join(F.broadcast(end), F.col("tradable_date") > F.date_sub("_end", 35))  # one row
+    end = rows.agg(F.max("tradable_date")).first()[0]
+    recent = rows.where(F.col("tradable_date") > F.date_sub(F.lit(str(end)).try_cast("date"), 35))
     return rounded(recent.select("event_id", "code", "sue").orderBy(F.desc("sue"), "code", "event_id").limit(20))
 
 

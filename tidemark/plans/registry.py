@@ -64,3 +64,24 @@ SELECT DISTINCT entity, attr, strftime(seen, '%Y-%m-%d') AS valid_from FROM step
 }
 SQL["p7_found"] = SQL["p7_found"].replace("'WIDE'", f"'{WIDE_FORMS}'").replace("'PLAIN'", "'" + PLAIN_FORMS.replace("'", "''") + "'")
 SQL |= panel_sql.SQL
+
+_WINDOW = "coalesce(sum(a) OVER {w}, 0) AS amount_{n}, count(r) OVER {w} AS n_ret_{n}, sum(r) OVER {w} AS ret_{n}, stddev_samp(r) OVER {w} AS ret_std_{n}, product(1 + r) OVER {w} - 1 AS compound_{n}"
+_SHOWN = "round(amount_{n}, 4) AS amount_{n}, round(amount_{n} / {k}, 4) AS amount_avg_{n}, n_ret_{n}, round(ret_{n}, 10) AS ret_{n}, round(ret_{n} / nullif(n_ret_{n}, 0), 12) AS ret_avg_{n}, round(ret_std_{n}, 10) AS ret_std_{n}, round(compound_{n}, 10) AS compound_{n}"
+
+SQL["p1_trailing"] = f"""WITH {READINGS},
+daily AS (SELECT code, session_date AS day, session_idx AS i, coalesce(sum(amount), 0) AS a, product(1 + pct_change / 100) - 1 AS r FROM sess GROUP BY ALL),
+firsts AS (SELECT code, min(day) AS since, min(i) AS i0 FROM daily GROUP BY code),
+grid AS (SELECT code, since, CAST(unnest(generate_series(since, (SELECT max(session_date) FROM trade_calendar), INTERVAL 1 DAY)) AS DATE) AS day FROM firsts),
+g AS (SELECT grid.*, a, r, daily.i IS NOT NULL AS active, (SELECT max(c.session_idx) FROM trade_calendar c WHERE CAST(c.session_date AS DATE) <= grid.day) AS li FROM grid LEFT JOIN daily ON daily.code = grid.code AND daily.day = grid.day),
+d AS (SELECT code, since, day, active, li, {_WINDOW.format(w="w7", n="7d")}, {_WINDOW.format(w="w30", n="30d")} FROM g WINDOW w7 AS (PARTITION BY code ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w30 AS (PARTITION BY code ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+sg AS (SELECT f.code, c.session_idx AS li, daily.a, daily.r FROM firsts f JOIN trade_calendar c ON c.session_idx >= f.i0 LEFT JOIN daily ON daily.code = f.code AND daily.i = c.session_idx),
+s AS (SELECT code, li, {_WINDOW.format(w="w20", n="20s")} FROM sg WINDOW w20 AS (PARTITION BY code ORDER BY li ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT d.code, day, active, since, {_SHOWN.format(n="7d", k=7)}, {_SHOWN.format(n="30d", k=30)}, {_SHOWN.format(n="20s", k=20)} FROM d JOIN s ON s.code = d.code AND s.li = d.li"""
+SQL["p3_known"] = f"""WITH f AS ({SQL["p3_found"]}), e AS (SELECT DISTINCT event_id FROM event_panel WHERE tradable_ts IS NOT NULL),
+a AS (SELECT DISTINCT "序号" AS n, "当时ST" AS is_st FROM sample_audit), c AS (SELECT DISTINCT scan_id, report_corrected FROM correction_scan)
+SELECT e.event_id, s.row_id AS st_row, is_st, k.row_id AS scan_row, report_corrected FROM e LEFT JOIN f s ON s.event_id = e.event_id AND s.attr = 'st' LEFT JOIN a ON a.n = s.row_id LEFT JOIN f k ON k.event_id = e.event_id AND k.attr = 'correction' LEFT JOIN c ON c.scan_id = k.row_id"""
+SQL["p7_versions"] = SQL["p7_found"].partition("SELECT DISTINCT entity, attr, strftime")[0] + """, starts AS (SELECT *, lead(seen) OVER (PARTITION BY entity, attr ORDER BY seen) AS nx FROM steps WHERE p IS NULL OR p <> v)
+SELECT entity, attr, v AS value, strftime(seen, '%Y-%m-%d') AS valid_from, strftime(nx, '%Y-%m-%d') AS valid_to, nx IS NULL AS current FROM starts"""
+SQL["scenario_rollup"] = f"""SELECT regexp_extract(scenario, '^[a-z]+') AS dimension, count(*) AS variants, round(avg(net_annual), 4) AS mean, round(avg(CAST(net_annual > 0 AS INT)), 4) AS positive_share FROM ({SQL["scenario_metrics"]}) GROUP BY 1"""
+SQL["findings"] = f"""WITH i AS ({SQL["ic_statistics"]}), m AS ({SQL["scenario_metrics"]})
+SELECT scenario, mean_ic, t_stat, net_annual, net_information_ratio, CASE WHEN mean_ic > 0 AND t_stat >= 2 AND net_annual > 0 AND net_information_ratio > 0 THEN 'confirmed' WHEN mean_ic > 0 AND t_stat >= 2 THEN 'informative, not profitable' WHEN net_annual > 0 AND net_information_ratio > 0 THEN 'profitable, not informative' ELSE 'rejected' END AS verdict FROM i JOIN m ON m.scenario = 'horizon_' || horizon"""
