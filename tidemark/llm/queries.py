@@ -98,6 +98,9 @@ pos AS (SELECT f.*, target_pct, n_candidates, n_selected, count(*) OVER (PARTITI
 SQL = {
     "p2_found": """WITH ev AS (SELECT DISTINCT event_id, code, tradable_ts FROM event_panel WHERE tradable_ts IS NOT NULL)
 SELECT event_id, liq_id FROM ev JOIN liquidity l ON l.code = ev.code AND l.float_mcap IS NOT NULL AND l.date BETWEEN tradable_ts - INTERVAL 36 HOUR AND tradable_ts + INTERVAL 36 HOUR
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(tradable_ts) - epoch_us(l.date)), l.date, liq_id) = 1""",
+    "p2_nearest": """WITH ev AS (SELECT DISTINCT event_id, code, tradable_ts FROM event_panel WHERE tradable_ts IS NOT NULL)
+SELECT event_id, liq_id, (epoch_us(l.date) - epoch_us(tradable_ts)) / 1e6 AS distance_s, float_mcap FROM ev JOIN (SELECT DISTINCT * FROM liquidity) l ON l.code = ev.code AND l.float_mcap IS NOT NULL AND l.date BETWEEN tradable_ts - INTERVAL 36 HOUR AND tradable_ts + INTERVAL 36 HOUR
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(tradable_ts) - epoch_us(l.date)), l.date, liq_id) = 1""",
     "p4_found": f"WITH {HELD} SELECT cand_id FROM pos WHERE r <= greatest(1, ceil(n * target_pct / 100.0))",
     "p4_cutoffs": f"""WITH {HELD},
