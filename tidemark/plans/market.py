@@ -170,12 +170,15 @@ def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = audits.select(canonical_code("股票代码").alias("entity"), F.col("实际披露日").alias("at"), "audit_ts", plain_name("披露日当时简称").alias("value")).where("value IS NOT NULL AND at IS NOT NULL")
     told = told.groupBy("entity", "at").agg(F.max(F.struct("audit_ts", "value"))["value"].alias("value"))
     basis = read(spark, sf_dir, "data_audit").select(F.date_format("report_date", "yyyy-MM-dd").alias("entity"), F.col("run_ts").alias("at"), F.col("st_basis_sh_current").cast("string").alias("value"))
-    parts = []
-    for attr, rows in (("name", names), ("name_at_disclosure", told), ("st_basis_sh_current", basis)):
-        found = history(rows, "entity", "at", "value", MONTHLY)
-        day = lambda c: F.date_format(F.col(c).cast("date"), "yyyy-MM-dd")
-        parts.append(found.select("entity", F.lit(attr).alias("attr"), "value", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"), "current"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # one history for all attributes, keyed by attribute and entity
+    rows = None
+    for attr, part in (("name", names), ("name_at_disclosure", told), ("st_basis_sh_current", basis)):
+        part = part.select(F.when(F.col("entity").isNotNull(), F.concat_ws(":", F.lit(attr), "entity")).alias("key"), F.col("at").cast("timestamp_ntz").alias("at"), "value")
+        rows = part if rows is None else rows.unionByName(part)
+    found = history(rows, "key", "at", "value", MONTHLY)
+    day = lambda c: F.date_format(F.col(c).cast("date"), "yyyy-MM-dd")
+    attr = F.substring_index("key", ":", 1)
+    return found.select(F.substring_index("key", ":", -1).alias("entity"), attr.alias("attr"), "value", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"), "current")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
