@@ -284,7 +284,7 @@ SCENARIOS = [
 
 def cohort_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["scenario", "cohort", "n", "k", "gross", "benchmark", "active", "commission", "tax", "slippage", "impact", "cost", "net", "capacity"]
-    return rounded(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS).withColumn("capacity", F.round("capacity", 4)).select(*columns), 8)
+    return rounded(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS).withColumn("capacity", F.round("capacity", 4)).select(*columns), 12)
 
 
 def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ SELECT bucket, round(m, 6) AS mean_ret, periods, n, (SELECT count(*) >= 3 AND co
     "regression_single": ANALYSIS + """, ok AS (SELECT report_date, sue AS x, ret_10 AS y FROM ana WHERE sue IS NOT NULL AND ret_10 IS NOT NULL),
 g AS (SELECT report_date, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM ok GROUP BY report_date HAVING count(*) >= 3)
 SELECT report_date, round(b, 6) AS coef, round(b / sqrt((syy - b * sxy) / (n - 2) / sxx), 6) AS t_stat, n FROM g""",
-    "cohort_results": COHORTS + f"SELECT scenario, cohort, n, k, {r('gross benchmark active commission tax slippage impact cost net', 8)}, round(capacity, 4) AS capacity FROM coh",
+    "cohort_results": COHORTS + f"SELECT scenario, cohort, n, k, {r('gross benchmark active commission tax slippage impact cost net', 12)}, round(capacity, 4) AS capacity FROM coh",
     "scenario_metrics": COHORTS + """, cum AS (SELECT *, exp(sum(ln(1 + gross)) OVER w) AS ng, exp(sum(ln(1 + net)) OVER w) AS nn FROM coh WINDOW w AS (PARTITION BY scenario ORDER BY cohort)),
 dd AS (SELECT *, ng / max(ng) OVER w - 1 AS dg, nn / max(nn) OVER w - 1 AS dn FROM cum WINDOW w AS (PARTITION BY scenario ORDER BY cohort))
 SELECT scenario, count(*) AS cohorts, CAST(sum(n) AS BIGINT) AS events, round(avg(k), 8) AS mean_names, round(exp(sum(ln(1 + gross)) * 12 / count(*)) - 1, 8) AS gross_annual, round(exp(sum(ln(1 + net)) * 12 / count(*)) - 1, 8) AS net_annual, round(exp(sum(ln(1 + benchmark)) * 12 / count(*)) - 1, 8) AS benchmark_annual,
