@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,17 @@ def use_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in.
+
+    Executors that don't see that folder need the package installed or sent with ``--py-files``.
+    """
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint; later reads see the same rows even if executors are lost."""
     use_checkpoints(df.sparkSession)
