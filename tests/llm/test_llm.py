@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import cutoff, nearest, packing, subjects, tokens
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TEXTS = ["", None, "   ", "Hello  world\n\n\n a\t b 's 'll don't 12345 ++--", "naïve 日本語 текст 🙂🙂 <|endoftext|>", "x" * 5000, " " * 3000 + "end", "word " * 3000, ("ab1 \n\n cd'll, " * 700), "\n\n" * 900 + "a"]
 
 
@@ -36,6 +38,22 @@ def test_random_texts_in_small_chunks(spark):
     assert got == dict(enumerate(reference_ids(texts)))
 
 
+def test_chunks_are_stitched_on_the_test_tables(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.length("text") > tokens.CHUNK_CHARS)
+    cut = tokens.pieces(rows).groupBy("_row").agg(F.count("_piece").alias("n"), F.first("_id").alias("_id"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_piece", "_text"))), lambda x: x["_text"]), "").alias("again"))
+    both = cut.join(rows, "_id").collect()
+    assert len(both) == rows.count() > 0
+    assert all(x.again == x._text for x in both) and max(x.n for x in both) > 2
+
+
+def test_long_rows_without_or_with_one_id(spark):
+    text = "to be or not, that's 1 question " * 100
+    df = spark.createDataFrame([(None, text, 1), (None, text[5:], 1), (7, text, 1), (7, text, 1)], "i int, t string, _row int")
+    got = sorted((str(x.i), x.ids) for x in tokens.encode(df, "i", "t", tokens.vocabulary(spark), chunk=100, overlap=20).collect())
+    a, b = reference_ids([text, text[5:]])
+    assert got == sorted([("None", a), ("None", b), ("7", a), ("7", a)])
+
+
 def test_encode_empty_table(spark):
     assert tokens.encode(spark.createDataFrame([], "i int, t string"), "i", "t", tokens.vocabulary(spark)).count() == 0
 

@@ -1,35 +1,42 @@
 """Encoding of texts with a public byte-level tokenizer, in overlapping chunks.
 
-Texts up to a chunk are encoded in one go. Longer ones are cut into overlapping chunks that tasks pre-tokenise in
-parallel; where the pre-tokens of two neighbours meet at one boundary in their overlap, the streams agree from there on,
-and the texts between such boundaries are encoded as pieces. If no common boundary is found, the rest of the text
-is one piece. The ids equal those of the whole text.
-
-A boundary is used only behind a character that is not white space: there the pattern looks neither back nor ahead, so
-that either side encoded alone gives the same pre-tokens.
-
-Defined cases: NULL, empty texts: an empty list; blank texts are encoded as they are; NULL ids form a text of their
-own row; repeated ids of one text are not joined (``ident`` must be unique for chunked texts); decoding joins the raw
-bytes of the ids, so a character split among tokens comes out whole.
+A text of one chunk is one piece. Longer ones are cut into overlapping chunks that tasks pre-tokenise in parallel; where
+the pre-tokens of two neighbours meet at a boundary in their overlap, the streams agree from there on, and the texts
+between such boundaries are encoded as pieces. Pieces are cut from the chunks, never from the whole text. If an overlap has
+no boundary (a pre-token is longer), the next one of the following chunks ends the piece, so that a piece is longer than
+a chunk only by what no tokenizer could split. The ids equal those of the whole text.
+
+Only sure boundaries are used: those that every way of pre-tokenising has, wherever it started, as the pattern joins the two
+characters beside it in no pre-token. Each side encoded alone then gives the same pre-tokens.
+
+Defined cases: NULL, empty texts: an empty list; blank texts are encoded as they are; rows with NULL or repeated ids are
+encoded one by one, as texts are told apart by row; decoding joins the raw bytes of the ids, so a character split among
+tokens comes out whole; further columns of the input aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 #: Where the vocabularies lie; the driver reads the file and hands its bytes (a fixed size) to the executors.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The fixed pattern of the vocabulary's pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a chunk and of its overlap with the next one.
-CHUNK_CHARS, OVERLAP_CHARS = 200_000, 2_000
+#: Characters of a chunk and of its overlap with the next one, and how many boundaries of an overlap are compared.
+CHUNK_CHARS, OVERLAP_CHARS, COMPARED = 2_000, 200, 8
+#: Between which characters a boundary is sure: behind a letter, digit or sign and before another kind, but for what an apostrophe can join.
+SURE = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})"
 
 _loaded: dict[int, object] = {}
 
@@ -60,58 +67,84 @@ def _encoder(ranks: Broadcast, text: str, keep: list[str], count: bool) -> Calla
     return encode
 
 
-def boundaries(text: str, start: int, stop: int) -> list[int]:
-    """Starts of pre-tokens in [start, stop) that follow a character other than white space, parsing from 0."""
+def boundaries(text: str) -> list[int]:
+    """Starts of the text's pre-tokens, but for 0, that are sure. Characters that no version of Unicode had yet are left out, as libraries may differ on them."""
     import regex
 
-    found = []
-    for m in regex.finditer(PATTERN, text):
-        at = m.start()
-        if at >= stop:
-            break
-        if at >= start and at and not text[at - 1].isspace():
-            found.append(at)
-    return found
+    sure = {m.start() for m in regex.finditer(SURE, text)}
+    known = lambda at: unicodedata.category(text[at - 1]) != "Cn" != unicodedata.category(text[at])
+    return [m.start() for m in regex.finditer(PATTERN, text) if m.start() in sure and known(m.start())]
 
 
-def encode(documents: DataFrame, ident: str, text: str, ranks: Broadcast, count: bool = False, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(ident, ids ARRAY<INT>), or with ``count`` (ident, n BIGINT), of every row."""
-    rows = documents.select(F.col(ident).alias("_id"), F.col(text).cast("string").alias("_text"))
+def _chunks(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(_row, _id, _i, _len, _text): the overlapping chunks of each text, numbered; settled, so that rows keep their numbers."""
     kind = rows.schema["_id"].dataType.simpleString()
-    made = "n bigint" if count else "ids array<int>"
-    length = F.coalesce(F.length("_text"), F.lit(0))
-    short = rows.where((length <= chunk) | F.col("_id").isNull()).mapInArrow(_encoder(ranks, "_text", ["_id"], count), f"_id {kind}, {made}")
-    long = rows.where((length > chunk) & F.col("_id").isNotNull()).withColumn("_len", F.length("_text"))
 
-    cut = long.withColumn("_i", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((_len - 1) DIV {chunk} AS INT)"))))
-    cut = cut.select("_id", "_i", "_len", F.substr("_text", F.col("_i") * chunk + 1, F.lit(chunk + overlap)).alias("_text"))
-    # one row per chunk goes to its own task
-    spread = cut.repartition("_id", "_i")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, text in enumerate(batch.column("_text").to_pylist()):
+                starts = range(0, len(text), chunk)
+                for first in range(0, len(starts), 1000):
+                    some = starts[first : first + 1000]
+                    same = pa.array(np.zeros(len(some), np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).slice(n, 1).take(same) for c in ("_row", "_id")], pa.array([s // chunk for s in some], pa.int64()), pa.array([len(text)] * len(some), pa.int64()), pa.array([text[s : s + chunk + overlap] for s in some], pa.string())],
+                        names=["_row", "_id", "_i", "_len", "_text"],
+                    )
+
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    return settle(numbered.mapInArrow(cut, f"_row bigint, _id {kind}, _i bigint, _len bigint, _text string").repartition("_row", "_i"))
+
+
+def pieces(rows: DataFrame, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """(_row, _id, _piece, _text): the texts (_id, _text) cut where the pre-tokens of overlapping chunks meet; _piece rises along the text."""
+    if not 0 < overlap <= chunk:
+        raise ValueError("the overlap must be in (0, chunk]")
+    chunks = _chunks(rows, chunk, overlap)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, tails = [], []
+            heads, tails, firsts = [], [], []
             for i, t in zip(batch.column("_i").to_pylist(), batch.column("_text").to_pylist()):
-                tails.append([i * chunk + b for b in boundaries(t, chunk, chunk + overlap - 1)])
-                heads.append([i * chunk + b for b in boundaries(t[: 2 * overlap], 0, overlap - 1)])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_i"), batch.column("_len"), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["_id", "_i", "_len", "_head", "_tail"])
-
-    ends = spread.mapInArrow(edges, f"_id {kind}, _i int, _len int, _head array<bigint>, _tail array<bigint>")
-    order = Window.partitionBy("_id").orderBy("_i")
-    # a meeting point between chunk i and the next; after the first miss no later one can be trusted
-    meet = F.array_min(F.array_intersect("_tail", F.lead("_head").over(order)))
-    points = ends.withColumn("_meet", meet).withColumn("_last", F.lead("_i").over(order).isNull())
-    missed = F.max(F.when(F.col("_meet").isNull() & ~F.col("_last"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    points = points.withColumn("_missed", F.coalesce(missed, F.lit(0))).where("_missed = 0")
-    points = points.withColumn("_from", F.coalesce(F.lag("_meet").over(order), F.lit(0))).withColumn("_to", F.coalesce("_meet", F.col("_len").cast("bigint")))
-    pieces = points.select("_id", "_i", "_from", "_to").join(long.select("_id", "_text"), "_id")
-    pieces = pieces.select("_id", "_i", F.substr("_text", F.col("_from").cast("int") + 1, (F.col("_to") - F.col("_from")).cast("int")).alias("_text")).repartition("_id", "_i")
-    encoded = pieces.mapInArrow(_encoder(ranks, "_text", ["_id", "_i"], count), f"_id {kind}, _i int, {made}")
-    if count:
-        whole = encoded.groupBy("_id").agg(F.sum("n").alias("n"))
-    else:
-        whole = encoded.groupBy("_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_i", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(whole).withColumnRenamed("_id", ident)
+                found = boundaries(t)
+                heads.append([i * chunk + b for b in found if b < overlap][:COMPARED])
+                tails.append([i * chunk + b for b in found if b >= chunk][:COMPARED])
+                firsts.append(next((i * chunk + b for b in found if b < chunk), None))
+            places = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_i", "_len")], *places, pa.array(firsts, pa.int64())], names=["_row", "_i", "_len", "_head", "_tail", "_first"])
+
+    ends = chunks.select("_row", "_i", "_len", "_text").mapInArrow(edges, "_row bigint, _i bigint, _len bigint, _head array<bigint>, _tail array<bigint>, _first bigint")
+    order = Window.partitionBy("_row").orderBy("_i")
+    meet = F.when(F.col("_i") == 0, F.lit(0)).otherwise(F.coalesce(F.array_min(F.array_intersect("_head", F.lag("_tail").over(order))), F.col("_first")))
+    points = ends.withColumn("_meet", meet)
+    points = points.withColumn("_next", F.lead("_meet").over(order)).withColumn("_piece", F.max(F.when(F.col("_meet").isNotNull(), F.col("_i"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.max(F.when(F.col("_meet").isNotNull(), F.col("_i"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    points = points.withColumn("_before", before)
+
+    start, stop = F.col("_i") * chunk, F.least((F.col("_i") + 1) * chunk, F.col("_len"))
+    reach = F.least((F.col("_i") + 1) * chunk + overlap, F.col("_len"))
+    end = F.when(F.col("_next") < reach, F.col("_next")).otherwise(stop)
+    span = lambda piece, a, z: F.struct(piece.alias("_piece"), F.substr("_text", (a - start + 1).cast("int"), (z - a).cast("int")).alias("_text"))
+    own = span(F.col("_piece"), F.coalesce("_meet", start), end)
+    # what lies before the first boundary of a chunk and wasn't in reach of the chunk before belongs to the piece begun there
+    lead = F.when(F.col("_meet") >= start + overlap, span(F.col("_before"), start, F.col("_meet")))
+    parts = chunks.select("_row", "_id", "_i", "_text").join(points.drop("_head", "_tail", "_first"), ["_row", "_i"]).select("_row", "_id", "_i", F.explode(F.array_compact(F.array(lead, own))).alias("_p")).select("_row", "_id", "_i", "_p.*")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_text"))), lambda x: x["_text"]), "")
+    return parts.groupBy("_row", "_piece").agg(F.first("_id").alias("_id"), joined.alias("_text"))
+
+
+def encode(documents: DataFrame, ident: str, text: str, ranks: Broadcast, count: bool = False, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
+    """(ident, ids ARRAY<INT>), or with ``count`` (ident, n BIGINT), of every row."""
+    rows = documents.select(F.col(ident).alias("_id"), F.col(text).cast("string").alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    made = "n bigint" if count else "ids array<int>"
+    length = F.coalesce(F.length("_text"), F.lit(0))
+    single = rows.where(length <= chunk).mapInArrow(_encoder(ranks, "_text", ["_id"], count), f"_id {kind}, {made}")
+    several = pieces(rows.where(length > chunk), chunk, overlap)
+    encoded = several.mapInArrow(_encoder(ranks, "_text", ["_row", "_piece", "_id"], count), f"_row bigint, _piece bigint, _id {kind}, {made}")
+    whole = F.sum("n").alias("n") if count else F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_piece", "ids"))), lambda x: x["ids"])).alias("ids")
+    stitched = encoded.groupBy("_row").agg(F.first("_id").alias("_id"), whole).drop("_row")
+    return single.unionByName(stitched).withColumnRenamed("_id", ident)
 
 
 def decode(encoded: DataFrame, ident: str, ids: str, ranks: Broadcast) -> DataFrame:
