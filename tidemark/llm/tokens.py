@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -67,13 +68,23 @@ def _encoder(ranks: Broadcast, text: str, keep: list[str], count: bool) -> Calla
     return encode
 
 
-def boundaries(text: str) -> list[int]:
-    """Starts of the text's pre-tokens, but for 0, that are sure. Characters that no version of Unicode had yet are left out, as libraries may differ on them."""
+def boundaries(text: str, start: int, stop: int) -> Iterator[int]:
+    """Starts of pre-tokens in [start, stop), but for 0, that are sure.
+
+    Pre-tokens are sought from a sure boundary shortly before ``start``, from which on they are those of the whole text.
+    Characters that no version of Unicode had yet are left out, as libraries may differ on them.
+    """
     import regex
 
-    sure = {m.start() for m in regex.finditer(SURE, text)}
-    known = lambda at: unicodedata.category(text[at - 1]) != "Cn" != unicodedata.category(text[at])
-    return [m.start() for m in regex.finditer(PATTERN, text) if m.start() in sure and known(m.start())]
+    base = max(start - OVERLAP_CHARS, 1) - 1
+    sure = [base + m.start() for m in regex.finditer(SURE, text[base : stop + 1]) if m.start()]
+    begin = 0 if base == 0 else next(iter(sure), stop)
+    sure = {at for at in sure if unicodedata.category(text[at - 1]) != "Cn" != unicodedata.category(text[at])}
+    for m in regex.finditer(PATTERN, text, begin):
+        if m.start() >= stop:
+            return
+        if m.start() >= start and m.start() in sure:
+            yield m.start()
 
 
 def _chunks(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -106,10 +117,9 @@ def pieces(rows: DataFrame, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHA
         for batch in batches:
             heads, tails, firsts = [], [], []
             for i, t in zip(batch.column("_i").to_pylist(), batch.column("_text").to_pylist()):
-                found = boundaries(t)
-                heads.append([i * chunk + b for b in found if b < overlap][:COMPARED])
-                tails.append([i * chunk + b for b in found if b >= chunk][:COMPARED])
-                firsts.append(next((i * chunk + b for b in found if b < chunk), None))
+                heads.append([i * chunk + b for b in islice(boundaries(t, 0, overlap), COMPARED)])
+                tails.append([i * chunk + b for b in islice(boundaries(t, chunk, chunk + overlap), COMPARED)])
+                firsts.append(heads[-1][0] if heads[-1] else next((i * chunk + b for b in boundaries(t, overlap, chunk)), None))
             places = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_i", "_len")], *places, pa.array(firsts, pa.int64())], names=["_row", "_i", "_len", "_head", "_tail", "_first"])
 
