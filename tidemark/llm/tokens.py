@@ -80,7 +80,7 @@ def boundaries(text: str, start: int, stop: int) -> Iterator[int]:
     sure = [base + m.start() for m in regex.finditer(SURE, text[base : stop + 1]) if m.start()]
     begin = 0 if base == 0 else next(iter(sure), stop)
     sure = {at for at in sure if unicodedata.category(text[at - 1]) != "Cn" != unicodedata.category(text[at])}
-    for m in regex.finditer(PATTERN, text, begin):
+    for m in regex.finditer(PATTERN, text, pos=begin):
         if m.start() >= stop:
             return
         if m.start() >= start and m.start() in sure:
