@@ -1,13 +1,17 @@
 """History of changing attributes from periodic snapshots, by comparison of hash trees.
 
-The observations of each period form a snapshot. Every key's content in a snapshot has a digest relative to what was last
-known of it: the sum of its observations' hashes less as many times the hash of the value known before, which is 0 if
-every observation repeats that value. Leaves add up the keys of a hash bucket, inner nodes hash their children. From the
-root of each snapshot only the branches that differ from the one before are followed, and only the rows of the changed
-leaves are compared and appended as new versions.
+The observations of each period form a snapshot. A key's content in it is a hash of what was said of the key; the node of a
+hash bucket is the combination of its keys' contents. From the top level on, each node is compared with the same node
+in the last snapshot that has it: where they are equal, every key there only repeats what it said before, and the branch is
+left. The next level's nodes are worked out for the differing branches alone, down to leaves of about one key; so the depth
+follows the number of keys. Only the observations in differing leaves are compared in order of time and give versions.
+
+Nothing is lost by leaving a branch: equal content means that each of its keys has one value there, the one of the
+last differing leaf before. A key that is given two values within a period has a content that equals no other.
 
 Defined cases: NULL values say nothing; a value that comes back is a new version; of several observations of a key at
-one time the greatest value holds; rows without key or time are left out; an empty input gives an empty result.
+one time the one told last holds, then the greatest value; rows without key or time are left out; an empty input gives an
+empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,56 +22,57 @@ from pyspark.sql import functions as F
 from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, hot_hashes
 from tidemark.session import settle
 
-#: Leaves of the tree and children of a node: 16 ^ LEVELS buckets.
-FAN_BITS, LEVELS = 4, 3
-
-
-def _digest(*columns: str):
-    return F.xxhash64(*columns).cast("decimal(20,0)")
-
-
-def changed_leaves(observed: DataFrame) -> DataFrame:
-    """(_period, _bucket) of the leaves whose snapshot differs from the one before; ``observed`` has _key, _period, _at, _value."""
-    last = F.max(F.struct("_at", "_value"))
-    content = observed.groupBy("_key", "_period").agg(F.sum(_digest("_key", "_value")).cast("decimal(38,0)").alias("_sum"), F.count(F.lit(1)).alias("_n"), last.alias("_last"))
-    by_key = Window.partitionBy("_key").orderBy("_period")
-    before = F.coalesce(F.xxhash64("_key", F.lag("_last._value").over(by_key)), F.lit(0)).cast("decimal(20,0)")
-    known = F.lag("_last._value").over(by_key).isNotNull()
-    delta = F.col("_sum") - F.when(known, before).otherwise(F.lit(0).cast("decimal(20,0)")) * F.col("_n").cast("decimal(12,0)")
-    keys = content.withColumn("_delta", delta).where("_delta <> 0 OR _n = 0")
-    bucket = F.pmod(F.xxhash64("_key"), F.lit(1 << (FAN_BITS * LEVELS)))
-    nodes = keys.withColumn("_node", bucket).groupBy("_period", "_node").agg(F.sum("_delta").cast("decimal(38,0)").alias("_hash"))
-    tree = [nodes]
-    for _ in range(LEVELS):
-        child = tree[0]
-        tree.insert(0, child.groupBy("_period", F.shiftright("_node", FAN_BITS).alias("_node")).agg(F.sum(F.when(F.col("_hash") != 0, _digest("_node", "_hash"))).cast("decimal(38,0)").alias("_hash")))
-    open_nodes = tree[0].where("_hash <> 0").select("_period", "_node")
-    for level in tree[1:]:
-        below = level.where("_hash <> 0").withColumn("_up", F.shiftright("_node", FAN_BITS))
-        open_nodes = below.join(open_nodes.withColumnRenamed("_node", "_up"), ["_period", "_up"], "left_semi").select("_period", "_node")
-    return open_nodes.withColumnRenamed("_node", "_bucket")
-
-
-def history(rows: DataFrame, key: str, at: str, value: str, period: str, small: int = SMALL_KEY) -> DataFrame:
+#: Bits of a key's hash by which each level of the tree is finer than the one above.
+FAN_BITS = 8
+
+
+def contents(seen: DataFrame) -> DataFrame:
+    """(_period, _hash, _content) per key hash and snapshot; all numbers, so the aggregate combines on the map side."""
+    said = seen.groupBy("_period", "_hash").agg(F.min("_said").alias("_a"), F.max("_said").alias("_z"))
+    one = F.xxhash64("_hash", "_a")
+    return said.select("_period", "_hash", F.when(F.col("_a") == F.col("_z"), one).otherwise(F.xxhash64("_hash", "_a", "_z", "_period", F.lit("several"))).alias("_content"))
+
+
+def _node(bits: int):
+    return F.shiftrightunsigned("_hash", 64 - bits).alias("_node")
+
+
+def depths(keys: int, fan: int = FAN_BITS) -> list[int]:
+    """The levels' bits from the top to leaves of less than one key on average."""
+    last = min(max(keys, 1).bit_length() + 1, 62)
+    return [*range(fan, last, fan), last]
+
+
+def differing(content: DataFrame, levels: list[int]) -> DataFrame:
+    """(_period, _node) of the leaves that differ from their last snapshot, found from the top."""
+    nodes = None
+    for bits in levels:
+        rows = content.select("_period", "_hash", "_content", _node(bits))
+        if nodes is not None:
+            rows = rows.withColumn("_up", F.shiftrightunsigned("_node", bits - above)).join(nodes.withColumnRenamed("_node", "_up"), ["_period", "_up"], "left_semi")
+        held = rows.groupBy("_period", "_node").agg(F.struct(F.bit_xor("_content").alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "_content")).alias("b"), F.count(F.lit(1)).alias("n")).alias("_now"))
+        before = F.lag("_now").over(Window.partitionBy("_node").orderBy("_period"))
+        nodes, above = held.withColumn("_before", before).where("NOT (_now <=> _before)").select("_period", "_node"), bits
+    return nodes
+
+
+def history(rows: DataFrame, key: str, at: str, value: str, period: str, told: str | None = None, small: int = SMALL_KEY, fan: int = FAN_BITS) -> DataFrame:
     """Versions as (key, value, valid_from, valid_to, current): [valid_from, valid_to) in the type of ``at``, NULL for the last.
 
     ``period`` is an SQL expression over ``at`` named ``_at`` that numbers the snapshots in order, such as
-    ``year(_at) * 12 + month(_at)``. A key with a third of all rows is combined per period first, and the
-    compared rows of its periods are cut into chunks.
+    ``year(_at) * 12 + month(_at)``; ``told`` is the time at which an observation became known, if that isn't ``at``. A key
+    with a third of all rows counts as one content per period, and its compared rows are cut into chunks.
     """
-    seen = rows.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(value).alias("_value")).where("_key IS NOT NULL AND _at IS NOT NULL AND _value IS NOT NULL")
-    seen = seen.groupBy("_key", "_at").agg(F.max("_value").alias("_value")).withColumn("_period", F.expr(period).cast("bigint"))
-    bucket = F.pmod(F.xxhash64("_key"), F.lit(1 << (FAN_BITS * LEVELS)))
-    inside = seen.withColumn("_bucket", bucket).join(changed_leaves(seen), ["_period", "_bucket"], "left_semi")
-    # what was last known before a compared period goes in front of its rows
-    ends = seen.groupBy("_key", "_period").agg(F.max(F.struct("_at", "_value")).alias("_last"))
-    ends = ends.withColumn("_next", F.lead("_period").over(Window.partitionBy("_key").orderBy("_period"))).where("_next IS NOT NULL")
-    carried = ends.select("_key", F.col("_last._at").alias("_at"), F.col("_last._value").alias("_value"), F.col("_next").alias("_period"), F.lit(False).alias("_new"))
-    compared = settle(inside.select("_key", "_at", "_value", "_period", F.lit(True).alias("_new")).unionByName(carried))
-    cut = chunked(compared, ["_key", "_period"], [F.col("_at")], 1, small)
-    w = chunk_window(["_key", "_period"], [F.col("_at")])
-    starts = cut.withColumn("_before", F.lag("_value").over(w)).where("_own AND _new").where("NOT (_value <=> _before)").select("_key", "_at", "_value")
-    cut = chunked(starts, ["_key"], [F.col("_at")], 1, small, hot=hot_hashes(compared, ["_key"], small))
-    until = F.lead("_at").over(chunk_window(["_key"], [F.col("_at")]))
-    versions = cut.withColumn("valid_to", until).where("_own")
+    seen = rows.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(value).alias("_value"), F.col(told or at).alias("_told")).where("_key IS NOT NULL AND _at IS NOT NULL AND _value IS NOT NULL")
+    seen = settle(seen.withColumns({"_period": F.expr(period).cast("bigint"), "_hash": F.xxhash64("_key"), "_said": F.xxhash64("_value")}))  # read for the tree and by the comparison
+    content = settle(contents(seen))
+    levels = depths(content.agg(F.approx_count_distinct("_hash")).first()[0], fan)
+    inside = seen.select("*", _node(levels[-1])).join(differing(content, levels), ["_period", "_node"], "left_semi")
+    held = inside.groupBy("_key", "_at").agg(F.max(F.struct("_told", "_value"))["_value"].alias("_value"))
+    hot = hot_hashes(seen, ["_key"], small)
+    cut = chunked(held, ["_key"], [F.col("_at")], 1, small, hot=hot)
+    w = chunk_window(["_key"], [F.col("_at")])
+    starts = cut.withColumn("_before", F.lag("_value").over(w)).where("_own").where("NOT (_value <=> _before)").select("_key", "_at", "_value")
+    cut = chunked(starts, ["_key"], [F.col("_at")], 1, small, hot=hot)
+    versions = cut.withColumn("valid_to", F.lead("_at").over(w)).where("_own")
     return versions.select(F.col("_key").alias(key), F.col("_value").alias(value), F.col("_at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("current"))

@@ -16,8 +16,9 @@ from tidemark.session import settle, shuffle_parts
 SMALL_KEY = 50_000
 #: Rows of a hot key that one task sorts at a time.
 CHUNK_ROWS = 20_000
-#: Most keys that can count as hot; any other key holds less than this part of all rows.
-MOST_HOT = 10_000
+#: Keys that are split, at most so many per shuffle partition: of n keys split, every other holds less than 1/n of all rows,
+#: a quarter of a partition's even share here, so that splitting it as well would balance nothing.
+HOT_PER_PARTITION = 4
 #: Over how many join partitions the rows of a hot key are spread.
 SALTS = 64
 
@@ -27,9 +28,9 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def hot_hashes(df: DataFrame, keys: list[str], small: int = SMALL_KEY) -> list[int]:
-    """Hashes of the largest keys with more than ``small`` rows, at most MOST_HOT of them (the bound of what is collected)."""
+    """Hashes of the largest keys with more than ``small`` rows, at most HOT_PER_PARTITION per shuffle partition (the bound of what is collected)."""
     counts = df.select(key_hash(keys).alias("_h")).groupBy("_h").count().where(F.col("count") > small)
-    return [r["_h"] for r in counts.orderBy(F.desc("count"), "_h").limit(MOST_HOT).collect()]
+    return [r["_h"] for r in counts.orderBy(F.desc("count"), "_h").limit(HOT_PER_PARTITION * shuffle_parts(df.sparkSession)).collect()]
 
 
 def salted(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:

@@ -165,17 +165,14 @@ MONTHLY = "year(_at) * 12 + month(_at)"
 
 def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every attribute with the period it was valid (NULL end: still valid)."""
-    audits = read(spark, sf_dir, "sample_audit")
-    names = audits.select(canonical_code("股票代码").alias("entity"), F.col("audit_ts").alias("at"), plain_name("当前简称").alias("value"))
-    told = audits.select(canonical_code("股票代码").alias("entity"), F.col("实际披露日").alias("at"), "audit_ts", plain_name("披露日当时简称").alias("value")).where("value IS NOT NULL AND at IS NOT NULL")
-    told = told.groupBy("entity", "at").agg(F.max(F.struct("audit_ts", "value"))["value"].alias("value"))
-    basis = read(spark, sf_dir, "data_audit").select(F.date_format("report_date", "yyyy-MM-dd").alias("entity"), F.col("run_ts").alias("at"), F.col("st_basis_sh_current").cast("string").alias("value"))
+    say = lambda attr, at, told, value: F.struct(F.lit(attr).alias("attr"), at.cast("timestamp_ntz").alias("at"), told.cast("timestamp_ntz").alias("told"), value.alias("value"))
+    name = say("name", F.col("audit_ts"), F.col("audit_ts"), plain_name("当前简称"))
+    at_disclosure = say("name_at_disclosure", F.col("实际披露日"), F.col("audit_ts"), plain_name("披露日当时简称"))
+    audits = read(spark, sf_dir, "sample_audit").select(canonical_code("股票代码").alias("entity"), F.explode(F.array(name, at_disclosure)).alias("_s"))
+    basis = read(spark, sf_dir, "data_audit").select(F.date_format("report_date", "yyyy-MM-dd").alias("entity"), say("st_basis_sh_current", F.col("run_ts"), F.col("run_ts"), F.col("st_basis_sh_current").cast("string")).alias("_s"))
     # one history for all attributes, keyed by attribute and entity
-    rows = None
-    for attr, part in (("name", names), ("name_at_disclosure", told), ("st_basis_sh_current", basis)):
-        part = part.select(F.when(F.col("entity").isNotNull(), F.concat_ws(":", F.lit(attr), "entity")).alias("key"), F.col("at").cast("timestamp_ntz").alias("at"), "value")
-        rows = part if rows is None else rows.unionByName(part)
-    found = history(rows, "key", "at", "value", MONTHLY)
+    rows = audits.unionByName(basis).select(F.when(F.col("entity").isNotNull(), F.concat_ws(":", "_s.attr", "entity")).alias("key"), "_s.at", "_s.told", "_s.value")
+    found = history(rows, "key", "at", "value", MONTHLY, "told")
     day = lambda c: F.date_format(F.col(c).cast("date"), "yyyy-MM-dd")
     attr = F.substring_index("key", ":", 1)
     return found.select(F.substring_index("key", ":", -1).alias("entity"), attr.alias("attr"), "value", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"), "current")
