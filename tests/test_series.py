@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.grid import to_grid
 from tidemark.operators.history import history
-from tidemark.operators.spikes import implausible, median_ratio, outliers
+from tidemark.operators.spikes import fits, implausible, outliers
 from tidemark.operators.trailing import Days, Sessions, trailing_totals
 
 
@@ -91,7 +91,10 @@ def brute_flags(series, times, run):
     return out
 
 
-def test_spikes_equal_brute_force(spark, small_chunks):
+def test_spikes_equal_brute_force(spark, monkeypatch):
+    from tidemark.operators import sequence
+
+    monkeypatch.setattr(sequence, "CHUNK_ROWS", 55)
     r = random.Random(11)
     data, want = [], set()
     for code, n in (("hot", 150), ("cold", 40), ("tiny", 2)):
@@ -114,21 +117,87 @@ def test_spikes_equal_brute_force(spark, small_chunks):
         want |= brute_flags(series, 12.0, 6)
     data += [(None, datetime(2024, 1, 1), 900, 1.0), ("cold", None, 901, 1.0), ("cold", datetime(2024, 1, 2, 1, 1), 902, None), ("cold", datetime(2024, 1, 2, 1, 2), 903, float("nan"))]
     df = spark.createDataFrame(data, "code string, date timestamp_ntz, id bigint, v double")
-    got = implausible(df, "code", ["date", "id"], "v", 0.0, 1e6, 12.0, 6, passes=1, small=50)
-    assert {(x.id, x.reason) for x in got.collect()} == want
+    got = implausible(df, "code", ["date", "id"], "v", 0.0, 1e6, 12.0, 6, passes=3, small=50)
+    assert {(x.id, x.reason) for x in got.where("strict").collect()} == want
     assert any(reason == "spike" for _, reason in want)
 
 
-def test_level_shift_is_no_outlier_and_passes_end(spark):
+def brute_passes(values, theta, limit, passes=3, reach=4):
+    """The pass in which each reading is taken out (0: level shift, None: neither), one reading at a time."""
+    x, n = [math.log(v) for v in values], len(values)
+    out, shift, large, new = [None] * n, [False] * n, [False] * n, [False] * n
+    for turn in range(1, passes + 1):
+        shift = [s or (turn > 1 and big and not a and not (t and new[t - 1]) and not new[t + 1 : t + 2] == [True]) for t, (s, big, a) in enumerate(zip(shift, large, new))]
+        kept, r = [o is None for o in out], 1 if turn == 1 else reach
+
+        def near(values, t, step):
+            return next((values[u] for k in range(1, r + 1) if 0 <= (u := t + step * k) < n and values[u] is not None), None)  # noqa: B023
+
+        k = [a if b else None for a, b in zip(x, kept)]
+        d = [(0.0 if shift[t] else None if near(k, t, -1) is None else x[t] - near(k, t, -1)) if kept[t] else None for t in range(n)]
+        d_1, d1 = [near(d, t, -1) for t in range(n)], [near(d, t, 1) for t in range(n)]
+        only = lambda v: [a if b else None for a, b in zip(v, kept)]  # noqa: B023, E731
+        d_2, d2 = [near(only(d_1), t, -1) for t in range(n)], [near(only(d1), t, 1) for t in range(n)]
+
+        def beyond(change, before, sign):
+            part = theta * (before or 0.0)
+            return change is not None and sign * (change - part) + abs(part) > limit
+
+        new = []
+        for t in range(n):
+            steps = {0: (d[t], d_1[t]), 1: (d1[t], d[t]), 2: (d2[t], d1[t]), -1: (d_1[t], d_2[t])}
+            new.append(kept[t] and any(beyond(*steps[a], s) and beyond(*steps[b], -s) for a, b in ((0, 1), (0, 2), (-1, 1)) for s in (1, -1)))
+        large = [kept[t] and d[t] is not None and abs(d[t] - theta * (d_1[t] or 0.0)) > limit for t in range(n)]
+        out = [turn if a else o for a, o in zip(new, out)]
+    return [o or (0 if a or b else None) for o, a, b in zip(out, large, shift)]
+
+
+def test_passes_equal_brute_force(spark, monkeypatch):
+    from tidemark.operators import sequence
+
+    monkeypatch.setattr(sequence, "CHUNK_ROWS", 60)
+    r = random.Random(17)
+    data, want = [], {}
+    for code, n in (("hot", 400), ("cold", 120), ("tiny", 3)):
+        price, move, values = 30.0, 0.0, []
+        for k in range(n):
+            move = -0.4 * move + r.gauss(0, 0.01)
+            price *= math.exp(move) * (1.5 if k == n // 2 else 1.0)
+            if k in (90, 91, 92):
+                values.append(price * (2, 20, 20)[k - 90])
+                continue
+            values.append(price * (r.choice([0.4, 2.5, 3.0]) if r.random() < 0.06 or k in (55, 57, 58, 60, 61) else 1.0))
+        d = [math.log(b / a) for a, b in zip(values, values[1:])]
+        signs = [math.copysign(1, a) * math.copysign(1, b) for a, b in zip(d, d[1:]) if a * b]
+        theta = math.sin(math.pi / 2 * sum(signs) / len(signs)) * len(signs) / (len(signs) + 30)
+        found = brute_passes(values, theta, 12 * median(map(abs, d)))
+        want |= {(code, k): v for k, v in enumerate(found) if v is not None}
+        data += [(code, k, v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(data, "code string, i int, v double").repartition(3)
+    got = outliers(df, "code", ["i"], "v", 12.0, small=150).collect()
+    assert {(x.code, x.i): x.in_pass if x.kind == "outlier" else 0 for x in got} == want
+    assert {1, 2} <= set(want.values()) and all(x.in_pass == 1 for x in got if x.strict)
+
+
+def test_level_shift_is_no_outlier(spark):
     values = [10, 10.1, 10, 10.1, 10, 10.1, 20, 20.2, 20, 20.2, 20, 60, 20.1, 20]
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(values)], "code string, i int, v double")
     got = {x.i: (x.kind, x.in_pass) for x in outliers(df, "code", ["i"], "v", 12.0, passes=3).collect()}
-    assert got[11] == ("outlier", 1) and got[6][0] == "level shift" and len(got) == 2
-    phi = median_ratio(df.withColumn("x", F.ln("v")), "code", ["i"], "x").first()._phi
-    assert abs(phi - 1) < 0.02
+    assert got == {11: ("outlier", 1), 6: ("level shift", 3)}
     assert outliers(df.where("false"), "code", ["i"], "v", 12.0).count() == 0
 
 
+def test_fit_follows_the_reversals(spark):
+    r = random.Random(1)
+    d = [0.0]
+    for _ in range(4000):
+        d.append(-0.5 * d[-1] + r.gauss(0, 0.01))
+    d[100::50] = [3.0] * len(d[100::50])  # spikes move neither figure
+    df = spark.createDataFrame([("k", b, a) for a, b in zip(d, d[1:])], "code string, _d double, _d_1 double")
+    x = fits(df, "code").first()
+    assert abs(x._theta + 0.5) < 0.07 and abs(x._scale - 0.0078) < 0.001
+
+
 def test_history_equals_brute_force(spark, small_chunks):
     r = random.Random(2)
     data = [(r.choice("hhhhab"), datetime(2024, 1, 1) + timedelta(hours=37 * i), r.choice(["x", "x", "x", "y", None])) for i in range(150)]

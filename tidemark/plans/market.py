@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.grid import to_grid
 from tidemark.operators.history import history
 from tidemark.operators.sequence import exact_median, hot_hashes, lookup
-from tidemark.operators.spikes import implausible, stuck_runs
+from tidemark.operators.spikes import implausible, with_runs
 from tidemark.operators.trailing import Days, Sessions, trailing_totals
 from tidemark.operators.validity import as_known
-from tidemark.session import finite, micros
+from tidemark.session import finite, micros, settle
 from tidemark.sources.tables import calendar, canonical_code, current_readings, on_session, plain_name, read, traded
 
 #: Problem 1: the trailing windows, and the deviations above which a stored value is wrong.
@@ -133,30 +133,29 @@ LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, STUCK_LIMITS, STUCK_ACTIONS,
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = read(spark, sf_dir, "feed").select(F.col("quote_id").cast("bigint").alias("quote_id"), canonical_code("code").alias("code"), "date", finite("limit_up").alias("limit_up"), finite("limit_down").alias("limit_down"), "suspended", "corporate_action")
-    return quotes.where("suspended = false AND code IS NOT NULL AND date IS NOT NULL").drop("suspended").distinct()
+    held = quotes.where("suspended = false AND code IS NOT NULL AND date IS NOT NULL").drop("suspended").distinct()
+    return held.withColumn("ratio", F.try_divide("limit_up", "limit_down"))
 
 
 def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every implausible reading with its reasons; outliers are sought again after those found are taken out (3 passes)."""
-    flags = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, hot=_hot_codes(spark, sf_dir))
-    return flags.select("code", F.col("price_id").alias("row_id"), "close", "reason").distinct()
+    """Every implausible row of ``prices`` and ``feed`` with its reasons. Outliers of ``close`` are sought again after those found are
+    taken out (3 passes); ``strict`` is false for those that the log changes of the whole series alone don't show.
+    """
+    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, hot=_hot_codes(spark, sf_dir))
+    quotes = settle(_quotes(spark, sf_dir))
+    hot = hot_hashes(quotes, ["code"])
+    usual = exact_median(quotes.select("code", "ratio"), ["code"], "ratio", "_usual")
+    off = lookup(quotes, usual, ["code"], hot).where((F.col("limit_up") <= 0) | (F.abs(F.col("ratio") / F.col("_usual") - 1) > RATIO_BAND))
+    runs = with_runs(quotes.withColumn("_action", F.when(F.col("corporate_action"), True)), ["code"], ["date", "quote_id"], {"_still": (["limit_up", "limit_down"], STUCK_LIMITS), "_again": (["_action"], STUCK_ACTIONS)}, hot=hot)
+    stuck = runs.select("code", "quote_id", F.explode(F.array_compact(F.array(F.when(F.col("_still"), "stuck"), F.when(F.col("_again"), "action")))).alias("reason"))
+    one = lambda df, tbl, row: df.select(F.lit(tbl).alias("tbl"), "code", F.col(row).cast("bigint").alias("row_id"), "reason", *[c for c in ("in_pass", "strict") if c in df.columns])
+    feed = one(off.withColumn("reason", F.lit("limit")), "feed", "quote_id").unionByName(one(stuck, "feed", "quote_id"))
+    return one(prices, "prices", "price_id").unionByName(feed.select("*", F.lit(1).alias("in_pass"), F.lit(True).alias("strict"))).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged rows of ``prices`` and ``feed``. One pass, as the cases are those of the series with only impossible closes left out."""
-    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, passes=1, hot=_hot_codes(spark, sf_dir))
-    quotes = _quotes(spark, sf_dir)
-    ratio = quotes.withColumn("_ratio", F.try_divide("limit_up", "limit_down"))
-    usual = exact_median(ratio.select("code", "_ratio"), ["code"], "_ratio", "_usual")
-    off = lookup(ratio, usual, ["code"]).where((F.col("limit_up") <= 0) | (F.abs(F.col("_ratio") / F.col("_usual") - 1) > RATIO_BAND))
-    order = ["date", "quote_id"]
-    still = stuck_runs(quotes, ["code"], order, ["limit_up", "limit_down"], STUCK_LIMITS)
-    actions = stuck_runs(quotes.withColumn("_action", F.when(F.col("corporate_action"), True)), ["code"], order, ["_action"], STUCK_ACTIONS)
-    one = lambda df, tbl, row: df.select(F.lit(tbl).alias("tbl"), F.col(row).cast("bigint").alias("row_id"))
-    rows = one(prices, "prices", "price_id")
-    for part in (off, still, actions):
-        rows = rows.unionByName(one(part, "feed", "quote_id"))
-    return rows.distinct()
+    """The flagged rows that are cases by the changes of the whole series, in which only impossible closes are left out."""
+    return p6_flags(spark, sf_dir).where("strict").select("tbl", "row_id").distinct()
 
 
 #: Problem 7: snapshots are taken by month.
