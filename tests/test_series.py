@@ -122,9 +122,10 @@ def test_spikes_equal_brute_force(spark, monkeypatch):
     assert any(reason == "spike" for _, reason in want)
 
 
-def brute_passes(values, theta, limit, passes=3, reach=4):
+def brute_passes(values, theta, scale, passes=3, reach=4):
     """The pass in which each reading is taken out (0: level shift, None: neither), one reading at a time."""
-    x, n = [math.log(v) for v in values], len(values)
+    x, n, limit = [math.log(v) for v in values], len(values), 12 * scale
+    expected = lambda before: theta * max(min(before, 3 * scale), -3 * scale) if before is not None else 0.0
     out, shift, large, new = [None] * n, [False] * n, [False] * n, [False] * n
     for turn in range(1, passes + 1):
         shift = [s or (turn > 1 and big and not a and not (t and new[t - 1]) and not new[t + 1 : t + 2] == [True]) for t, (s, big, a) in enumerate(zip(shift, large, new))]
@@ -140,14 +141,14 @@ def brute_passes(values, theta, limit, passes=3, reach=4):
         d_2, d2 = [near(only(d_1), t, -1) for t in range(n)], [near(only(d1), t, 1) for t in range(n)]
 
         def beyond(change, before, sign):
-            part = theta * (before or 0.0)
+            part = expected(before)
             return change is not None and sign * (change - part) + abs(part) > limit
 
         new = []
         for t in range(n):
             steps = {0: (d[t], d_1[t]), 1: (d1[t], d[t]), 2: (d2[t], d1[t]), -1: (d_1[t], d_2[t])}
             new.append(kept[t] and any(beyond(*steps[a], s) and beyond(*steps[b], -s) for a, b in ((0, 1), (0, 2), (-1, 1)) for s in (1, -1)))
-        large = [kept[t] and d[t] is not None and abs(d[t] - theta * (d_1[t] or 0.0)) > limit for t in range(n)]
+        large = [kept[t] and d[t] is not None and abs(d[t] - expected(d_1[t])) > limit for t in range(n)]
         out = [turn if a else o for a, o in zip(new, out)]
     return [o or (0 if a or b else None) for o, a, b in zip(out, large, shift)]
 
@@ -170,7 +171,7 @@ def test_passes_equal_brute_force(spark, monkeypatch):
         d = [math.log(b / a) for a, b in zip(values, values[1:])]
         signs = [math.copysign(1, a) * math.copysign(1, b) for a, b in zip(d, d[1:]) if a * b]
         theta = math.sin(math.pi / 2 * sum(signs) / len(signs)) * len(signs) / (len(signs) + 30)
-        found = brute_passes(values, theta, 12 * median(map(abs, d)))
+        found = brute_passes(values, theta, median(map(abs, d)))
         want |= {(code, k): v for k, v in enumerate(found) if v is not None}
         data += [(code, k, v) for k, v in enumerate(values)]
     df = spark.createDataFrame(data, "code string, i int, v double").repartition(3)

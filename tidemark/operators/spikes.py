@@ -3,9 +3,10 @@
 The changes d of a measurement's logarithm follow d[t] = theta * d[t-1] + e[t] per source, an autoregression with a unit root.
 theta comes from the signs of successive changes (their quadrant correlation, shrunk to 0 where a source has few), and the
 scale is the median absolute change; neither can be moved by spikes. A large residual that the next one or two
-reverse is an additive outlier of one or two readings; a large one that nothing reverses is a level shift, a real move. What
-theta itself adds to a residual doesn't speak for a reading, so a poor fit hides nothing. In each further pass the outliers
-found are taken out, the level shifts are set to no change, and the tests are repeated on what is left.
+reverse is an additive outlier of one or two readings; a large one that nothing reverses is a level shift, a real move. The
+change before counts in a residual with at most BOUND scales, so that a spike doesn't foretell its own end, and what theta
+takes off a change doesn't speak for the reading, so that a poor fit hides nothing. In each further pass the outliers found
+are taken out, the level shifts are set to no change, and the tests are repeated on what is left.
 
 Defined cases: NULL, NaN and infinite measurements and rows without source or time take no part; a measurement outside
 the physical limits is flagged as such and left out of the autoregression, but not of the stuck runs; a source with a
@@ -24,8 +25,8 @@ from tidemark.operators import sequence
 from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, exact_median, hot_hashes, in_run, key_hash
 from tidemark.session import finite
 
-#: How far neighbours are sought once readings are taken out, and the number of changes at which theta is halved.
-REACH, SHRINK = 4, 30
+#: How far neighbours are sought once readings are taken out, the number of changes at which theta is halved, and the scales of a change that count in the next one's residual.
+REACH, SHRINK, BOUND = 4, 30, 3.0
 
 
 def with_runs(rows: DataFrame, keys: list[str], order: list[str], tests: dict[str, tuple[list[str], int]], small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def outliers(rows: DataFrame, key: str, order: list[str], value: str, times: flo
     # the fit goes to each chunk of a key, so that a hot key isn't gathered again; it is merged, as it grows with the sources
     last = F.when(key_hash([key]).isin(hot), F.expr(f"_rows DIV {sequence.CHUNK_ROWS}")).otherwise(F.lit(0).cast("bigint"))
     fitted = fits(first.where("_own").select(key, "_d", "_d_1"), key).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("_rows")
-    left = first.join(fitted.hint("merge"), [key, "_chunk"]).withColumn("_limit", F.col("_scale") * times).drop("_scale")
+    left = first.join(fitted.hint("merge"), [key, "_chunk"]).withColumn("_limit", F.col("_scale") * times)
     left = left.withColumn("_out", F.lit(None).cast("int")).withColumn("_shift", F.lit(False))
     for turn in range(1, passes + 1):
         if turn > 1:
@@ -80,11 +81,14 @@ def outliers(rows: DataFrame, key: str, order: list[str], value: str, times: flo
         # (change, the one before) of the reading, the two after it, and the one before it
         steps = {"0": ("_d", "_d_1"), "1": ("_d1", "_d"), "2": ("_d2", "_d1"), "-1": ("_d_1", "_d_2")}
 
+        def expected(before: str) -> Column:
+            bound = F.col("_scale") * BOUND
+            return F.when(F.col(before).isNull(), 0.0).otherwise(F.col("_theta") * F.greatest(F.least(F.col(before), bound), -bound))
+
         def reversed_by(at: str, to: str, fit: bool) -> Column:
             def beyond(step: str, sign: int) -> Column:
-                d, before = (F.col(c) for c in steps[step])
-                part = F.col("_theta") * F.coalesce(before, F.lit(0.0)) if fit else F.lit(0.0)
-                return F.coalesce(sign * (d - part) + F.abs(part) > F.col("_limit"), F.lit(False))
+                part = expected(steps[step][1]) if fit else F.lit(0.0)
+                return F.coalesce(sign * (F.col(steps[step][0]) - part) + F.abs(part) > F.col("_limit"), F.lit(False))
 
             return (beyond(at, 1) & beyond(to, -1)) | (beyond(at, -1) & beyond(to, 1))
 
@@ -92,8 +96,7 @@ def outliers(rows: DataFrame, key: str, order: list[str], value: str, times: flo
         any_of = lambda fit: reversed_by(*pairs[0], fit) | reversed_by(*pairs[1], fit) | reversed_by(*pairs[2], fit)  # noqa: B023, E731
         if turn == 1:
             left = left.withColumn("strict", any_of(False))
-        part = F.col("_theta") * F.coalesce("_d_1", F.lit(0.0))
-        large = F.coalesce(F.abs(F.col("_d") - part) > F.col("_limit"), F.lit(False))
+        large = F.coalesce(F.abs(F.col("_d") - expected("_d_1")) > F.col("_limit"), F.lit(False))
         left = left.withColumn("_new", own & any_of(True)).withColumn("_large", own & large)
         left = left.withColumn("_out", F.when(F.col("_new"), turn).otherwise(F.col("_out")))
     kind = F.when(F.col("_out").isNotNull(), "outlier").when(F.col("_large") | F.col("_shift"), "level shift")
