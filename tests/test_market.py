@@ -1,5 +1,6 @@
 """Hand-computed cases of the event-study operators."""
 
+import random
 from datetime import date, timedelta
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import backtest, bars, crosssection, factor, fills, models, portfolio, security, sessions, signals
+from tidemark.operators import backtest, bars, crosssection, factor, fills, models, portfolio, security, sequence, sessions, signals
 from tidemark.sources.tables import canonical_code, plain_name
 
 
@@ -71,9 +72,13 @@ def test_names_and_universe(spark):
 
 def test_corrections(spark):
     events = spark.createDataFrame([("a", "1", date(2023, 12, 31), date(2024, 3, 1))], "event_id string, code string, report_date date, d date")
-    titles = spark.createDataFrame([("1", date(2024, 3, 1), "年度报告更正"), ("1", date(2024, 3, 2), "年度报告更正公告"), ("1", date(2024, 6, 29), "章程修订"), ("1", date(2024, 6, 30), "更正"), ("1", date(2024, 4, 1), "其他"), ("2", date(2024, 4, 1), "更正")], "code string, date date, title string")
+    titles = spark.createDataFrame([("1", date(2024, 3, 1), "年度报告更正"), ("1", date(2024, 3, 2), "年度报告更正公告"), ("1", date(2024, 6, 29), "章程修订"), ("1", date(2024, 6, 30), "更正"), ("1", date(2024, 4, 1), "其他"), ("1", date(2024, 4, 2), "补充说明"), ("1", date(2024, 4, 3), "勘误"), ("2", date(2024, 4, 1), "更正")], "code string, date date, title string")
     x = security.corrections(events, titles, "d").first()
-    assert (x.announcements, x.corrections, x.report_corrections, x.report_corrected, x.titles) == (3, 2, 1, True, "年度报告更正公告 | 章程修订")
+    assert (x.announcements, x.corrections, x.report_corrections, x.report_corrected, x.titles) == (5, 3, 1, True, "年度报告更正公告 | 勘误 | 章程修订")
+    labels = spark.createDataFrame([(date(2024, 3, 31),), (date(2024, 9, 30),), (date(2024, 5, 1),)], "d date").select(scalars.report_label(F.col("d")).alias("x"))
+    assert [r.x for r in labels.collect()] == ["第一季度报告", "第三季度报告", "报告"]
+    audit = security.correction_audit(security.corrections(events, titles, "d")).first()
+    assert (audit.events, audit.with_announcements, audit.corrected, audit.corrected_rate) == (1, 1, 1, 1.0)
 
 
 def test_limits_suspensions_adjustment(spark):
@@ -114,7 +119,7 @@ def test_fills_shift_and_block(spark):
     df = spark.createDataFrame([("600001", d, c) for d, c in zip(days, closes)], "code string, date date, close double")
     c = cal(spark)
     e = spark.createDataFrame([("a", "600001", days[10]), ("b", "600001", days[39]), ("c", "600002", days[3])], "event_id string, code string, t date")
-    got = {x.event_id: x for x in fills.resolve_fills(e, fills.trade_grid(df, c), c, "t", [4]).collect()}
+    got = {x.event_id: x for x in fills.resolve_fills(e, fills.trade_grid(df, c, [4]), c, "t", [4]).collect()}
     assert (got["a"].entry_idx, got["a"].entry_shift, got["a"].exit_idx_4) == (11, 1, 16)
     assert got["a"].ret_4 == pytest.approx(10.5 / 11 - 1)
     assert (got["b"].entry_blocked, got["b"].exit_blocked_4) == (False, True)
@@ -168,11 +173,65 @@ def test_coefficients_and_regression(spark):
     assert factor.student_t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
 
 
-def test_portfolio_measures():
-    w = portfolio.constrain(np.array([0.5, 0.3, 0.2]), 0.4)
-    assert np.allclose(w, [0.4, 0.36, 0.24])
-    w = portfolio.constrain(np.array([0.5, 0.3, 0.2]), 1.0, np.array(["a", "a", "b"]), 0.6)
-    assert np.allclose(w, [0.375, 0.225, 0.4])
+def capped(spark, rows, *args, **more):
+    """Weights by name; rows are (portfolio, name, weight, group, cap, before)."""
+    df = spark.createDataFrame(rows, "k int, n string, weight double, g string, cap double, before double")
+    return {(x.k, x.n): x.weight for x in portfolio.apply_constraints(df, ["k"], "n", *args, **more).collect()}
+
+
+def flat(w, n="abc"):
+    return [round(w[1, c], 9) for c in n]
+
+
+def test_constraints(spark):
+    one = lambda weights, groups="xxy", caps=(None,) * 6, before=(None,) * 6: [(1, n, w, g, c, b) for n, w, g, c, b in zip("abcdef", weights, groups, caps, before)]
+    assert flat(capped(spark, one([0.5, 0.3, 0.2]), 0.4)) == [0.4, 0.36, 0.24]
+    assert flat(capped(spark, one([0.5, 0.3, 0.2]), 1.0, "g", 0.6)) == [0.375, 0.225, 0.4]
+    assert flat(capped(spark, one([0.5, 0.3, 0.2]), 0.2)) == [round(1 / 3, 9)] * 3
+    assert flat(capped(spark, one([0.6, -0.2, 0.4], caps=(0.3, None, None)), 1.0, name_caps=["cap"])) == [round(3 / 7, 9), 0.0, round(4 / 7, 9)]
+    assert flat(capped(spark, one([1.0, 0.0, 0.0], before=(0.5, 0.5, 0.0)), 1.0, before="before", most_turnover=0.1)) == [0.6, 0.4, 0.0]
+    assert flat(capped(spark, one([1.0, 0.0, 0.0], before=(2.0, 2.0, None)), 1.0, before="before", most_turnover=0.9)) == [1.0, 0.0, 0.0]
+    assert flat(capped(spark, one([0.0, None, -1.0]), 0.4, "g", 0.5)) == [0.0, 0.0, 0.0]
+    # groups at their cap leave the rest to names without a group
+    assert flat(capped(spark, one([0.5, 0.4, 0.1], ("x", "y", None)), 1.0, "g", 0.2)) == [0.2, 0.2, 0.6]
+    w = capped(spark, one([0.40, 0.25, 0.15, 0.10, 0.06, 0.04], "aabbcc", (0.3,) * 6, (1 / 6,) * 6), 0.35, "g", 0.5, ["cap"], "before", 0.2)
+    assert sum(w.values()) == pytest.approx(1) and max(w.values()) <= 0.35 and w[1, "a"] + w[1, "b"] <= 0.5 + 1e-9
+    assert sum(abs(x - 1 / 6) for x in w.values()) / 2 <= 0.2 + 1e-9
+
+
+@pytest.mark.parametrize("small", [100, 50_000])
+def test_caps_equal_water_filling(spark, monkeypatch, small):
+    """Many names in one portfolio, against capping the greatest in turn; with 100 rows as the limit the large portfolio is split."""
+    monkeypatch.setattr(portfolio, "hot_hashes", lambda df, keys: sequence.hot_hashes(df, keys, small))
+    r = random.Random(3)
+    rows = [(k, f"n{i}", r.expovariate(1) ** 3, None, None, None) for k, n in ((1, 300), (2, 7)) for i in range(n)]
+    want = {}
+    for k, cap in ((1, 0.05), (2, 0.05)):
+        own = {n: w for kk, n, w, *_ in rows if kk == k}
+        total, high = sum(own.values()), set()
+        own = {n: w / total for n, w in own.items()}
+        while True:
+            rest = sum(w for n, w in own.items() if n not in high)
+            f = (1 - cap * len(high)) / rest if rest > 1e-12 else 0.0
+            more = {n for n, w in own.items() if n not in high and f * w > cap + 1e-12}
+            if not more:
+                break
+            high |= more
+        got = {n: cap if n in high else f * w for n, w in own.items()}
+        want |= {(k, n): w / sum(got.values()) for n, w in got.items()}
+    found = capped(spark, rows, 0.05)
+    assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x], abs=1e-12) for x in want)
+
+
+def test_side_costs(spark):
+    b = spark.createDataFrame([("a", 1.0), ("b", None), ("c", -1.0), ("d", 2.0)], "k string, v double")
+    s = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0), ("e", 1.0)], "k string, v double")
+    got = {x.k: x.cost for x in portfolio.side_costs(b, s, ["k"], "v").collect()}
+    assert got["b"] is None and got["c"] is None
+    assert got["a"] == pytest.approx(0.0011) and got["d"] == pytest.approx(0.0006) and got["e"] == pytest.approx(0.0008)
+
+
+def test_mean_variance():
     w = portfolio.mean_variance(np.array([0.1, 0.0]), np.eye(2) * 0.04, 1.0, 0.8)
     assert np.allclose(w, [0.8, 0.2], atol=1e-4)
 
@@ -192,6 +251,16 @@ def test_backtest_cohorts(spark):
     assert small < large
 
 
+def test_thin_folds_are_left_out(spark):
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(20)]
+    df = spark.createDataFrame([(d, f"{d}{i}") for d in days for i in range(5)], "d date, event_id string")
+    assert len(models.folds(df, "d", 5)) == 3  # the first block alone is a fifth of all rows
+    assert [r.train_rows for r in models.fold_table(df, "d", 5, 0, 0.0).orderBy("fold").collect()] == [20, 40, 60, 80]
+    undated = df.unionByName(df.limit(100).withColumn("d", F.lit(None).cast("date")))
+    assert [r.fold for r in models.fold_table(undated, "d", 5).orderBy("fold").collect()] == [3, 4]
+    assert models.folds(df.where("false"), "d", 5) == []
+
+
 def test_folds_leave_a_gap(spark):
     days = [date(2024, 1, 1) + timedelta(days=i) for i in range(20)]
     df = spark.createDataFrame([(d, f"{d}{i}") for d in days for i in range(5)], "d date, event_id string")

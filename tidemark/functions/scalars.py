@@ -13,6 +13,11 @@ MAIN_BOARDS = ("600", "601", "603", "605", "000", "001", "002", "003")
 #: Texts that stand for a missing number.
 MISSING = ("", "False", "None", "nan", "--")
 
+#: The words that mark a correction in a title, and the reports' names in titles by month and day.
+CORRECTION_WORDS = "更正|修订|勘误|补充公告"
+REPORT_LABELS = {"03-31": "第一季度报告", "06-30": "半年度报告", "09-30": "第三季度报告", "12-31": "年度报告"}
+OTHER_REPORT = "报告"
+
 
 def zfill(c: Column, width: int = 6) -> Column:
     """Zeros on the left up to ``width``; longer strings stay whole."""
@@ -96,9 +101,9 @@ def market_impact(order: Column, adv: Column, volatility: Column, cap: float = 0
 
 
 def trade_cost(bought: Column, sold: Column, slip: Column, impact: Column, commission_rate: float = 0.0003, tax_rate: float = 0.0005) -> Column:
-    """Commission on both sides, tax on sales, slippage and impact on both; a side that is missing counts as 0."""
-    b, s = F.coalesce(bought, F.lit(0.0)), F.coalesce(sold, F.lit(0.0))
-    return (b + s) * commission_rate + s * tax_rate + (b + s) * (slip + impact)
+    """Commission on both sides, tax on sales, slippage and impact on both; a side that is NULL or below 0 gives NULL."""
+    both = commission(bought, commission_rate) + commission(sold, commission_rate)
+    return both + stamp_tax(sold, tax_rate) + (bought + sold) * (slip + impact)
 
 
 def order_cap(adv: Column, most: float = 0.1) -> Column:
@@ -120,8 +125,7 @@ def relative_surprise(actual: Column, expected: Column) -> Column:
 def report_label(report_date: Column) -> Column:
     """The report's name in titles by its month and day."""
     day = F.date_format(report_date, "MM-dd")
-    names = {"03-31": "一季度报告", "06-30": "半年度报告", "09-30": "三季度报告", "12-31": "年度报告"}
     out = F.when(F.lit(False), "")
-    for k, v in names.items():
+    for k, v in REPORT_LABELS.items():
         out = out.when(day == k, v)
-    return out
+    return out.otherwise(OTHER_REPORT)

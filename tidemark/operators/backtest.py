@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.portfolio import annualized_return, drawdown, information_ratio, nav, sharpe, tracking_error
-from tidemark.operators.sequence import exact_median, positions
+from tidemark.operators.sequence import exact_median, exact_quantiles, hot_hashes, positions
 from tidemark.session import settle
 
 
+#: Fixed value: the quantile of the names' capacities that stands for a cohort.
+CAPACITY_SHARE = 0.05
+
+
 @dataclass(frozen=True)
 class CostModel:
     """Rates of a round trip of ``aum`` spread evenly over a cohort's selection."""
@@ -52,14 +56,16 @@ def cohorts(events: DataFrame, scenarios: list[Scenario], least_names: int = 5)
     """Per scenario and cohort: n, k, gross, benchmark, active, the costs, net and capacity.
 
     The best ceil(top * n) are selected (one at least; ties by event_id) by exact positions, so that a large cohort isn't one
-    task. Missing volumes and volatilities are taken as the selection's median.
+    task. Missing volumes and volatilities are taken as the selection's median; the capacity is the CAPACITY_SHARE quantile
+    of what each name can carry.
     """
     keys = ["scenario", "cohort"]
     rows = settle(prepared(events, scenarios))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("benchmark"), F.greatest(F.lit(1), F.ceil(F.first("top") * F.count(F.lit(1)))).cast("bigint").alias("k")).where(F.col("n") >= least_names)
-    ranked = positions(rows, keys, [F.col("signal").desc(), F.col("event_id")], "_pos")
+    hot = hot_hashes(rows, keys)
+    ranked = positions(rows, keys, [F.col("signal").desc(), F.col("event_id")], "_pos", hot)
     chosen = settle(ranked.join(sizes, keys).where("_pos < k"))
-    adv, vol = exact_median(chosen, keys, "adv", "_adv"), exact_median(chosen, keys, "vol", "_vol")
+    adv, vol = exact_median(chosen, keys, "adv", "_adv", hot), exact_median(chosen, keys, "vol", "_vol", hot)
     full = chosen.join(adv, keys, "left").join(vol, keys, "left").withColumn("_a", F.coalesce("adv", "_adv")).withColumn("_v", F.coalesce("vol", "_vol", F.lit(0.0)))
     order = F.col("c_aum") / F.col("k")
     part = F.when(F.col("_a") > 0, F.least(order / F.col("_a"), F.col("c_participation")))
@@ -74,9 +80,10 @@ def cohorts(events: DataFrame, scenarios: list[Scenario], least_names: int = 5)
         F.first("c_tax").alias("tax"),
         (2 * zero(F.avg(F.col("c_half_spread") + F.col("c_slip") * F.col("_part")))).alias("slippage"),
         (2 * zero(F.avg(F.col("c_impact") * F.col("_v") * F.sqrt("_part")))).alias("impact"),
-        F.min(F.col("c_participation") * F.col("_a") * F.col("k")).alias("capacity"),
-        F.avg(F.col("adv").isNull().cast("double")).alias("adv_missing"),
+        F.count_if(F.col("adv").isNull()).alias("adv_missing"),
     )
+    roof = costed.select(*keys, (F.col("c_participation") * F.col("_a") * F.col("k")).alias("_roof"))
+    found = found.join(exact_quantiles(roof, keys, "_roof", [CAPACITY_SHARE], "_roofs", hot).select(*keys, F.col("_roofs")[0].alias("capacity")), keys, "left")
     total = F.col("commission") + F.col("tax") + F.col("slippage") + F.col("impact")
     return found.withColumn("cost", total).withColumn("active", F.col("gross") - F.col("benchmark")).withColumn("net", F.col("gross") - total)
 
@@ -101,6 +108,11 @@ def metrics(results: DataFrame, keys: list[str], per_year: float = 12.0) -> Data
         F.avg((F.col("active") > 0).cast("double")).alias("hit_rate"),
         F.avg((F.col("net") > 0).cast("double")).alias("net_hit_rate"),
         F.avg("cost").alias("mean_cost"),
+        (F.avg("cost") * per_year).alias("cost_drag_annual"),
+        F.avg(F.lit(2.0)).alias("mean_turnover"),  # a cohort is bought and sold once
+        F.avg((F.col("gross") > 0).cast("double")).alias("gross_hit_rate"),
+        F.percentile("capacity", F.lit(0.5)).alias("capacity_median"),  # over cohorts, so over months
+        F.try_divide(F.sum("adv_missing").cast("double"), F.greatest(F.sum("k"), F.lit(1))).alias("adv_missing_rate"),
     )
     for r in ("gross", "net"):
         out = out.join(drawdown(nav(results, keys, "cohort", r, "_nav"), keys, "cohort", "_nav", f"{r}_drawdown"), keys)

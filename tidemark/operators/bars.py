@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import cents, price_band
 from tidemark.session import require_columns
 
-FEATURES = ["adv20", "volatility_20d", "momentum_20d", "float_mcap", "log_mcap", "log_adv20"]
+FEATURES = ["prev_close", "adv20", "volatility_20d", "momentum_20d", "float_mcap", "log_mcap", "log_adv20"]
 
 
 def _by(column: str = "date") -> Window:
@@ -16,7 +16,7 @@ def _by(column: str = "date") -> Window:
 
 
 def price_features(bars: DataFrame, adv_window: int = 20, momentum_window: int = 20, least: int = 10) -> DataFrame:
-    """Average amount, volatility and momentum over rows, free-float value from turnover (percent), and logarithms of positive ones.
+    """The close before, average amount, volatility and momentum over rows, free-float value from turnover (percent), and logarithms of positive ones.
 
     Returns run over the last known close; a window needs ``least`` values.
     """
@@ -27,6 +27,7 @@ def price_features(bars: DataFrame, adv_window: int = 20, momentum_window: int =
     recent = w.rowsBetween(1 - adv_window, 0)
     enough = lambda c, v: F.when(F.count(c).over(recent) >= least, v)
     out = moved.withColumns({
+        "prev_close": F.lag("close").over(w),
         "adv20": enough("amount", F.avg("amount").over(recent)),
         "volatility_20d": enough("_r", F.stddev_samp("_r").over(recent)),
         "momentum_20d": F.try_divide("close", F.lag("close", momentum_window).over(w)) - 1,

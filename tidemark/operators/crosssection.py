@@ -1,12 +1,13 @@
 """Cross-sectional transformations. Group statistics are aggregates joined back, so a group with a third of all rows is
-combined on the map side and never gathered."""
+combined on the map side and never gathered. Quantiles and ranks first look for groups that are too large for one place, so
+their input is read twice; settle it if it is dear."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import distinct_ranks, exact_quantiles
+from tidemark.operators.sequence import distinct_ranks, exact_quantiles, hot_hashes
 from tidemark.session import settle
 
 
@@ -19,9 +20,15 @@ def _back(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(renamed, match, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+def enough(df: DataFrame, keys: list[str], value: str, least: int) -> DataFrame:
+    """``value`` set to NULL in groups with fewer than ``least`` values."""
+    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    return _back(df, counts, keys).withColumn(value, F.when(F.col("_n") >= least, F.col(value))).drop("_n")
+
+
 def winsorize(df: DataFrame, keys: list[str], value: str, name: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """``value`` clipped to the group's exact quantiles; NULL stays NULL."""
-    edges = exact_quantiles(df, keys, value, [lower, upper], "_edges")
+    edges = exact_quantiles(df, keys, value, [lower, upper], "_edges", hot_hashes(df, keys))
     clipped = F.greatest(F.least(F.col(value), F.col("_edges")[1]), F.col("_edges")[0])
     return _back(df, edges, keys).withColumn(name, F.when(F.col(value).isNotNull(), clipped)).drop("_edges")
 
@@ -51,15 +58,18 @@ def neutralize(df: DataFrame, keys: list[str], value: str, exposure: str, group:
     return _back(off, slopes, keys).withColumn(name, F.col("_y") - F.col("_b") * F.col("_x")).drop("_g", "_ok", "_my", "_mx", "_y", "_x", "_b")
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1 with ties averaged; NULLs have none."""
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, hot: list[int] | None = None) -> DataFrame:
+    """Ranks from 1 with ties averaged; NULLs have none. With ``hot`` empty, as ``hot_hashes`` found it, one sort per key will do."""
+    if hot == []:
+        rank = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()))
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), rank + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2))
     ranks = distinct_ranks(df, keys, value).select(*keys, value, (F.col("_below") + (F.col("_ties") + 1) / 2).alias(name))
     return _back(df, ranks, [*keys, value])
 
 
 def quantile_bucket(df: DataFrame, keys: list[str], value: str, buckets: int, name: str) -> DataFrame:
     """Bucket 1 to n by the group's exact quantiles, edges that coincide merged, right-closed; without two edges NULL."""
-    edges = exact_quantiles(df, keys, value, [i / buckets for i in range(buckets + 1)], "_edges")
+    edges = exact_quantiles(df, keys, value, [i / buckets for i in range(buckets + 1)], "_edges", hot_hashes(df, keys))
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     at = F.size(F.filter(inner, lambda e: e < F.col(value))) + 1

@@ -11,25 +11,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.crosssection import average_rank, quantile_bucket
+from tidemark.operators.sequence import exact_median, hot_hashes
 from tidemark.session import settle
 
 
 def _corr(x: str, y: str) -> Column:
-    """Pearson's coefficient by moments; NULL without spread on either side (no division by zero)."""
-    cx, cy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
-    return F.try_divide(F.sum(cx * cy), F.sqrt(F.sum(cx * cx) * F.sum(cy * cy)))
+    """Pearson's coefficient by central moments; NULL without spread on either side (no division by zero)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def ic_by(df: DataFrame, keys: list[str], signal: str, outcome: str, rank: bool = True, least: int = 5) -> DataFrame:
-    """(keys, n, ic) over complete pairs per group; NULL for fewer than ``least`` pairs or a constant side."""
+def _coefficients(df: DataFrame, keys: list[str], signal: str, outcome: str, least: int, rank: str | None, plain: str | None) -> DataFrame:
     pairs = df.where(F.col(signal).isNotNull() & F.col(outcome).isNotNull()).select(*keys, F.col(signal).alias("_a"), F.col(outcome).alias("_b"))
-    x, y = "_a", "_b"
     if rank:
-        pairs = average_rank(average_rank(settle(pairs), keys, "_a", "_ra"), keys, "_b", "_rb")
-        pairs, x, y = settle(pairs), "_ra", "_rb"
-    means = pairs.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count(F.lit(1)).alias("n"), F.min("_a").alias("_a0"), F.max("_a").alias("_a1"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
-    out = pairs.join(means, keys).groupBy(*keys).agg(F.max("n").alias("n"), _corr(x, y).alias("_ic"), F.max((F.col("_a0") < F.col("_a1")) & (F.col("_b0") < F.col("_b1"))).alias("_spread"))
-    return out.select(*keys, "n", F.when((F.col("n") >= least) & F.col("_spread"), F.col("_ic")).alias("ic"))
+        hot = hot_hashes(pairs, keys)
+        pairs = average_rank(average_rank(settle(pairs) if hot else pairs, keys, "_a", "_ra", hot), keys, "_b", "_rb", hot)
+    sums = [_corr(*c).alias(name) for name, c in ((rank, ("_ra", "_rb")), (plain, ("_a", "_b"))) if name]
+    found = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ((F.min("_a") < F.max("_a")) & (F.min("_b") < F.max("_b"))).alias("_spread"), *sums)
+    able = (F.col("n") >= least) & F.col("_spread")
+    return found.select(*keys, "n", *[F.when(able, F.col(name)).alias(name) for name in (rank, plain) if name])
+
+
+def ic_by(df: DataFrame, keys: list[str], signal: str, outcome: str, rank: bool = True, least: int = 5) -> DataFrame:
+    """(keys, n, ic) over complete pairs per group; NULL for fewer than ``least`` pairs or a constant side."""
+    return _coefficients(df, keys, signal, outcome, least, "ic" if rank else None, None if rank else "ic")
+
+
+def ic_both(df: DataFrame, keys: list[str], signal: str, outcome: str, least: int = 5) -> DataFrame:
+    """(keys, n, rank_ic, ic) in one pass."""
+    return _coefficients(df, keys, signal, outcome, least, "rank_ic", "ic")
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: dict[object, str], label: str, value: str) -> DataFrame:
@@ -73,11 +82,13 @@ def ic_summary(ics: DataFrame, keys: list[str], order: str, lags: int | None = N
 
 
 def quantile_returns(df: DataFrame, keys: list[str], signal: str, outcome: str, buckets: int) -> DataFrame:
-    """(keys, bucket, n, mean_ret, std_ret) over complete pairs; groups with fewer than 2 per bucket are left out."""
+    """(keys, bucket, n, mean_ret, median_ret, std_ret) over complete pairs; groups with fewer than 2 per bucket are left out."""
     pairs = df.where(F.col(signal).isNotNull() & F.col(outcome).isNotNull()).select(*keys, signal, outcome)
     wide = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2 * buckets).drop("_n")
     placed = quantile_bucket(pairs.join(wide, keys, "left_semi") if keys else pairs, keys, signal, buckets, "bucket")
-    return placed.where("bucket IS NOT NULL").groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean_ret"), F.stddev_samp(outcome).alias("std_ret"))
+    held, by = settle(placed.where("bucket IS NOT NULL")), [*keys, "bucket"]
+    sums = held.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean_ret"), F.stddev_samp(outcome).alias("std_ret"))
+    return sums.join(exact_median(held, by, outcome, "median_ret", hot_hashes(held, by)), by)
 
 
 def quantile_rollup(quantiles: DataFrame) -> DataFrame:
@@ -118,17 +129,23 @@ def student_t_two_sided(t: float, dof: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
-def regression(df: DataFrame, keys: list[str], outcome: str, features: list[str]) -> DataFrame:
-    """Ordinary least squares with a constant per group: (keys, term, coef, t_stat, p_value, n).
+def regression(df: DataFrame, keys: list[str], outcome: str, features: list[str], group: str | None = None, unknown: str = "未知") -> DataFrame:
+    """Ordinary least squares with a constant per key: (keys, term, coef, t_stat, p_value, n).
 
-    The normal equations are sums, so the groups are combined on the map side and only (k + 1)^2 numbers per group reach
-    Python. Groups with fewer than k + 2 complete cases are left out.
+    The normal equations are sums, so the rows are combined on the map side and only (k + 1)^2 numbers per key reach Python.
+    With ``group`` its dummies are among the regressors: both sides are taken off their group means, and the constant has no
+    term of its own. Every group that a key has counts as a regressor, also one without a complete case. Keys with fewer
+    complete cases than regressors and two are left out.
     """
-    full = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [outcome, *features]))
-    k = len(features)
-    centre = full.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate([*features, outcome])], F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k + 2)
-    off = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate([*features, outcome])]
-    sums = full.join(centre, keys).groupBy(*keys).agg(F.first("_n").alias("_n"), F.array(*[F.first(f"_m{i}") for i in range(k + 1)]).alias("_m"), F.array(*[F.sum(a * b) for a in off for b in off]).alias("_s"))
+    full = df if group is None else df.withColumn("_g", F.coalesce(group, F.lit(unknown)))
+    counts = None if group is None else full.groupBy(*keys).agg((F.countDistinct("_g") - 1).alias("_dummies"))
+    full = full.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [outcome, *features]))
+    k, columns, by = len(features), [*features, outcome], keys if group is None else [*keys, "_g"]
+    centre = full.groupBy(*by).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    off = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(columns)]
+    sums = full.join(centre, by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.first(f"_m{i}") for i in range(k + 1)]).alias("_m"), F.array(*[F.sum(a * b) for a in off for b in off]).alias("_s"))
+    sums = sums.withColumn("_dummies", F.lit(0).cast("bigint")) if group is None else sums.join(counts, keys)
+    sums = sums.where(F.col("_n") >= k + F.col("_dummies") + 2)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,11 +156,12 @@ def regression(df: DataFrame, keys: list[str], outcome: str, features: list[str]
                 s = np.asarray(r["_s"], float).reshape(k + 1, k + 1)
                 inverse = np.linalg.pinv(s[:k, :k])
                 beta = inverse @ s[:k, k]
-                dof = n - k - 1
-                variance = max(s[k, k] - beta @ s[:k, k], 0.0) / dof if dof > 0 else math.nan
-                coefs = [m[k] - m[:k] @ beta, *beta]
-                errors = [math.sqrt(variance * (1 / n + m[:k] @ inverse @ m[:k])), *np.sqrt(np.maximum(variance * np.diag(inverse), 0))]
-                for name, c, e in zip(["const", *features], coefs, errors):
+                dof = n - k - 1 - r["_dummies"]
+                variance = max(s[k, k] - beta @ s[:k, k], 0.0) / dof
+                found = list(zip(features, beta, np.sqrt(np.maximum(variance * np.diag(inverse), 0))))
+                if group is None:
+                    found.insert(0, ("const", m[k] - m[:k] @ beta, math.sqrt(variance * (1 / n + m[:k] @ inverse @ m[:k]))))
+                for name, c, e in found:
                     t = c / e if e > 0 else math.nan
                     rows.append({**{key: r[key] for key in keys}, "term": name, "coef": c, "t_stat": t, "p_value": student_t_two_sided(t, dof), "n": n})
             yield pd.DataFrame(rows, columns=[*keys, "term", "coef", "t_stat", "p_value", "n"])
@@ -153,6 +171,6 @@ def regression(df: DataFrame, keys: list[str], outcome: str, features: list[str]
     return found.select(*keys, "term", number("coef"), number("t_stat"), number("p_value"), "n")
 
 
-def regression_summary(fits: DataFrame) -> DataFrame:
-    """(term, periods, mean_coef, mean_t, share_positive_t, share_significant) over the groups' regressions."""
-    return fits.groupBy("term").agg(F.count(F.lit(1)).alias("periods"), F.avg("coef").alias("mean_coef"), F.avg("t_stat").alias("mean_t"), F.avg((F.col("t_stat") > 0).cast("double")).alias("share_positive_t"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("share_significant"))
+def regression_summary(fits: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, term, periods, mean_coef, mean_t, share_positive_t, share_significant) over the groups' regressions."""
+    return fits.groupBy(*(keys or []), "term").agg(F.count(F.lit(1)).alias("periods"), F.avg("coef").alias("mean_coef"), F.avg("t_stat").alias("mean_t"), F.avg((F.col("t_stat") > 0).cast("double")).alias("share_positive_t"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("share_significant"))

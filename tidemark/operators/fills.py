@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trade_grid(bars: DataFrame, sessions: DataFrame, max_shift: int = 10, flagged: DataFrame | None = None) -> DataFrame:
-    """(code, idx, price, next_buy, next_sell) dense over the sessions from a code's first bar on.
+def trade_grid(bars: DataFrame, sessions: DataFrame, horizons: list[int], max_shift: int = 10, flagged: DataFrame | None = None) -> DataFrame:
+    """(code, idx, fill) dense over the sessions from a code's first bar on.
 
-    ``next_buy`` is the first session from idx to idx + max_shift with a price and no limit-up, ``next_sell`` likewise without
-    limit-down. One row per code and session, so frames of rows are frames of sessions.
+    ``fill`` is the struct (idx, close, x_h for each horizon) of the first session from idx to idx + max_shift with a price and no
+    limit-up; x_h is (idx, close) of the first session from h sessions after that one to max_shift later with a price and no limit-down. One
+    row per code and session, so frames of rows are frames of sessions, and one sort per code serves all horizons.
     """
     from tidemark.operators.bars import limit_moves
 
     hits = limit_moves(bars, flagged).join(sessions, F.col("date") == F.col("session_date")).select("code", F.col("session_idx").alias("idx"), "close", "hit_up", "hit_down")
     last = sessions.agg(F.max("session_idx")).first()[0]
     spans = hits.groupBy("code").agg(F.min("idx").alias("_a")).select("code", F.explode(F.sequence("_a", F.lit(last))).alias("idx"))
-    dense = spans.join(hits, ["code", "idx"], "left")
-    ahead = Window.partitionBy("code").orderBy("idx").rowsBetween(0, max_shift)
-    price = F.col("close").isNotNull()
-    return dense.select("code", "idx", F.col("close").alias("price"), F.min(F.when(price & ~F.col("hit_up"), F.col("idx"))).over(ahead).alias("next_buy"), F.min(F.when(price & ~F.col("hit_down"), F.col("idx"))).over(ahead).alias("next_sell"))
+    w = Window.partitionBy("code").orderBy("idx")
+    free = lambda hit, *more: F.min(F.when(F.col("close").isNotNull() & ~F.col(hit), F.struct("idx", "close", *more))).over(w.rowsBetween(0, max_shift))
+    dense = spans.join(hits, ["code", "idx"], "left").withColumn("_sell", free("hit_down"))
+    dense = dense.withColumns({f"x_{h}": F.lead("_sell", h).over(w) for h in horizons})
+    return dense.select("code", "idx", free("hit_up", *[f"x_{h}" for h in horizons]).alias("fill"))
 
 
 def resolve_fills(events: DataFrame, grid: DataFrame, sessions: DataFrame, date: str, horizons: list[int]) -> DataFrame:
@@ -29,18 +31,15 @@ def resolve_fills(events: DataFrame, grid: DataFrame, sessions: DataFrame, date:
     An exit aims at entry + horizon. Blocked entries have no exits, and those don't count as blocked.
     """
     start = sessions.select(F.col("session_date").alias("_sd"), F.col("session_idx").alias("_start"))
-    buy = grid.select(F.col("code").alias("_bc"), F.col("idx").alias("_bi"), F.col("next_buy").alias("entry_idx"))
-    placed = events.join(start, F.col(date) == F.col("_sd"), "left").join(buy, (F.col("code") == F.col("_bc")) & (F.col("_start") == F.col("_bi")), "left").drop("_sd", "_bc", "_bi")
-    placed = placed.withColumn("entry_shift", F.col("entry_idx") - F.col("_start")).withColumn("entry_blocked", F.col("entry_idx").isNull())
-    price = lambda i, name: grid.select(F.col("code").alias("_pc"), F.col("idx").alias("_pi"), F.col("price").alias(name))
-    at = lambda df, idx, name: df.join(price(idx, name), (F.col("code") == F.col("_pc")) & (F.col(idx) == F.col("_pi")), "left").drop("_pc", "_pi")
-    out = at(placed, "entry_idx", "entry_price")
+    at = grid.select(F.col("code").alias("_gc"), F.col("idx").alias("_gi"), F.col("fill").alias("_fill"))
+    out = events.join(start, F.col(date) == F.col("_sd"), "left").join(at, (F.col("code") == F.col("_gc")) & (F.col("_start") == F.col("_gi")), "left").drop("_sd", "_gc", "_gi")
+    out = out.withColumn("entry_idx", F.col("_fill.idx")).withColumn("entry_price", F.col("_fill.close"))
+    out = out.withColumn("entry_shift", F.col("entry_idx") - F.col("_start")).withColumn("entry_blocked", F.col("entry_idx").isNull())
     for h in horizons:
-        sell = grid.select(F.col("code").alias("_sc"), F.col("idx").alias("_si"), F.col("next_sell").alias(f"exit_idx_{h}"))
-        out = out.join(sell, (F.col("code") == F.col("_sc")) & (F.col("entry_idx") + h == F.col("_si")), "left").drop("_sc", "_si")
-        out = out.withColumn(f"exit_blocked_{h}", F.col("entry_idx").isNotNull() & F.col(f"exit_idx_{h}").isNull())
-        out = at(out, f"exit_idx_{h}", "_exit").withColumn(f"ret_{h}", F.try_divide("_exit", "entry_price") - 1).drop("_exit")
-    return out.drop("_start")
+        sold = F.col(f"_fill.x_{h}")
+        out = out.withColumn(f"exit_idx_{h}", sold.idx).withColumn(f"exit_blocked_{h}", F.col("entry_idx").isNotNull() & sold.idx.isNull())
+        out = out.withColumn(f"ret_{h}", F.try_divide(sold.close, F.col("entry_price")) - 1)
+    return out.drop("_start", "_fill")
 
 
 def forward_returns(events: DataFrame, bars: DataFrame, sessions: DataFrame, date: str, horizons: list[int]) -> DataFrame:
@@ -58,10 +57,21 @@ def forward_returns(events: DataFrame, bars: DataFrame, sessions: DataFrame, dat
     return events.join(rates, "event_id", "left")
 
 
+def return_audit(rates: DataFrame, horizons: list[int], prefix: str = "fwd_ret_") -> DataFrame:
+    """One row: events, and per horizon the coverage and the mean."""
+    columns = [F.count(F.lit(1)).alias("events")]
+    for h in horizons:
+        columns += [F.avg(F.col(f"{prefix}{h}").isNotNull().cast("double")).alias(f"coverage_{h}"), F.avg(f"{prefix}{h}").alias(f"mean_{h}")]
+    return rates.agg(*columns)
+
+
 def fill_audit(fills: DataFrame, horizons: list[int]) -> DataFrame:
-    """One row: events, blocked and deferred shares, and per horizon the coverage and the share of blocked exits."""
+    """One row: events, blocked and deferred shares, the mean shift, and per horizon the coverage and the share of blocked exits; with
+    unfilled returns beside them (fwd_ret_h) also the mean of what the fills change."""
     share = lambda c: F.avg(c.cast("double"))
-    columns = [F.count(F.lit(1)).alias("events"), share(F.col("entry_blocked")).alias("blocked_rate"), share(F.coalesce(F.col("entry_shift") > 0, F.lit(False))).alias("deferred_rate")]
+    columns = [F.count(F.lit(1)).alias("events"), share(F.col("entry_blocked")).alias("blocked_rate"), share(F.coalesce(F.col("entry_shift") > 0, F.lit(False))).alias("deferred_rate"), F.avg("entry_shift").alias("mean_shift")]
     for h in horizons:
         columns += [share(F.col(f"ret_{h}").isNotNull()).alias(f"coverage_{h}"), share(F.col(f"exit_blocked_{h}")).alias(f"exit_blocked_rate_{h}")]
+        if f"fwd_ret_{h}" in fills.columns:
+            columns.append(F.avg(F.col(f"ret_{h}") - F.col(f"fwd_ret_{h}")).alias(f"shift_impact_{h}"))
     return fills.agg(*columns)

@@ -39,32 +39,31 @@ def blocks(df: DataFrame, date: str, n: int, name: str = "block") -> DataFrame:
     return df.join(ranked.select(date, block.cast("int").alias(name)), date)
 
 
-def folds(df: DataFrame, date: str, n: int = 5, purge_days: int = 0, least_share: float = 0.3) -> list[tuple[DataFrame, DataFrame]]:
-    """(train, test) per block but the first: training rows lie more than ``purge_days`` before the block's first date; thin ones are left out."""
-    placed = blocks(df, date, n)
-    bounds = {r["block"]: (r["a"], r["z"], r["n"]) for r in placed.groupBy("block").agg(F.min(date).alias("a"), F.max(date).alias("z"), F.count(F.lit(1)).alias("n")).collect()}  # n rows
-    total = sum(b[2] for b in bounds.values())
-    out = []
-    for b in range(1, n):
-        if b not in bounds:
-            continue
-        start = F.lit(str(bounds[b][0])).cast("date")
-        train = placed.where(F.col(date) < F.date_sub(start, purge_days)).drop("block")
-        if train.count() >= least_share * total / n * b:
-            out.append((train, placed.where(F.col("block") == b).drop("block")))
-    return out
+def fold_table(df: DataFrame, date: str, n: int = 5, purge_days: int = 0, least_share: float = 0.3) -> DataFrame:
+    """(fold, test_start, test_end, test_rows, train_rows) per block but the first, from one count per date.
+
+    Training rows lie more than ``purge_days`` before the block's first date. A fold with fewer training rows than
+    ``least_share`` of all rows, those without a date included, is left out.
+    """
+    if n < 2:
+        raise ValueError("n must be at least 2")
+    dated = settle(df.groupBy(date).agg(F.count(F.lit(1)).alias("_n")))  # one row per date
+    tests = blocks(dated, date, n).where("block > 0").groupBy("block").agg(F.min(date).alias("a"), F.max(date).alias("z"), F.sum("_n").alias("n"))
+    total = dated.agg(F.sum("_n")).first()[0] or 0
+    day = lambda x: F.lit(str(x)).cast("date")
+    marks = [F.struct(F.lit(r["block"]).alias("fold"), day(r["a"]).alias("test_start"), day(r["z"]).alias("test_end"), F.lit(r["n"]).cast("bigint").alias("test_rows")) for r in tests.collect()]  # fewer than n rows
+    if not marks:
+        return df.sparkSession.createDataFrame([], "fold int, test_start date, test_end date, test_rows bigint, train_rows bigint")
+    seen = dated.select(date, "_n", F.explode(F.array(*marks)).alias("_f")).select(date, "_n", "_f.*")
+    train = F.coalesce(F.sum(F.when(F.col(date) < F.date_sub("test_start", purge_days), F.col("_n"))), F.lit(0))
+    return seen.groupBy("fold", "test_start", "test_end", "test_rows").agg(train.alias("train_rows")).where(F.col("train_rows") >= least_share * total)
 
 
-def fold_table(df: DataFrame, date: str, n: int = 5, purge_days: int = 0) -> DataFrame:
-    """(fold, train_rows, test_rows, test_start): the sizes of the folds in one aggregate."""
-    placed = blocks(df, date, n)
-    starts = placed.groupBy("block").agg(F.min(date).alias("test_start"), F.count(F.lit(1)).alias("test_rows")).where("block > 0")
-    per_date = df.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per date against n - 1 starts: a table of starts is exploded onto each date
-    bounds = [(r["block"], r["test_start"], r["test_rows"]) for r in starts.collect()]
-    marks = F.array(*[F.struct(F.lit(b).alias("fold"), F.lit(str(s)).cast("date").alias("test_start"), F.lit(t).cast("bigint").alias("test_rows")) for b, s, t in bounds])
-    seen = per_date.select(date, "_n", F.explode(marks).alias("_f")).select("*", "_f.*")
-    return seen.groupBy("fold", "test_start", "test_rows").agg(F.coalesce(F.sum(F.when(F.col(date) < F.date_sub("test_start", purge_days), F.col("_n"))), F.lit(0)).alias("train_rows"))
+def folds(df: DataFrame, date: str, n: int = 5, purge_days: int = 0, least_share: float = 0.3) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, test) of each row of ``fold_table``."""
+    day = lambda x: F.lit(str(x)).cast("date")
+    spans = fold_table(df, date, n, purge_days, least_share).orderBy("fold").collect()  # n rows at most
+    return [(df.where(F.col(date) < F.date_sub(day(r["test_start"]), purge_days)), df.where(F.col(date).between(day(r["test_start"]), day(r["test_end"])))) for r in spans]
 
 
 @dataclass

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.sequence import exact_quantiles
+from tidemark.functions.scalars import trade_cost
+from tidemark.operators.sequence import exact_quantiles, hot_hashes, positions
+from tidemark.session import finite, settle
 
 
 def annualized_return(r: str, per_year: float) -> Column:
@@ -38,16 +39,14 @@ def nav(returns: DataFrame, keys: list[str], order: str, r: str, name: str) -> D
 def drawdown(navs: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """(keys, name): the deepest fall from an earlier high."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return navs.withColumn("_dd", F.col(value) / F.max(value).over(w) - 1).groupBy(*keys).agg(F.min("_dd").alias(name))
+    return navs.withColumn("_dd", F.try_divide(F.col(value), F.max(value).over(w)) - 1).groupBy(*keys).agg(F.min("_dd").alias(name))
 
 
 def long_only(signals: DataFrame, keys: list[str], signal: str, benchmark: str, ident: str, top: float = 0.1) -> DataFrame:
     """Rows with ``weight``: equal among the best ``top`` of those in the benchmark with a signal (one at least), else 0."""
-    from tidemark.operators.sequence import positions
-
     able = (F.col(benchmark) > 0) & F.col(signal).isNotNull()
     counts = signals.where(able).groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(float(top)))).alias("_k"))
-    ranked = positions(signals.where(able).select(*keys, ident, signal), keys, [F.col(signal).desc(), F.col(ident)], "_pos")
+    ranked = positions(signals.where(able).select(*keys, ident, signal), keys, [F.col(signal).desc(), F.col(ident)], "_pos", hot_hashes(signals, keys))
     chosen = ranked.join(counts, keys).where("_pos < _k").select(*keys, ident, (1 / F.col("_k")).alias("weight"))
     return signals.join(chosen, [*keys, ident], "left").na.fill(0.0, ["weight"])
 
@@ -68,7 +67,7 @@ def turnover(weights: DataFrame, date: str, ident: str, weight: str) -> DataFram
 def capacity(rows: DataFrame, keys: list[str], adv: str, weight: str, most: float = 0.1, share: float = 0.05) -> DataFrame:
     """(keys, capacity): the ``share`` quantile of most * adv / weight over positive weights."""
     able = rows.where((F.col(weight) > 0) & F.col(adv).isNotNull()).withColumn("_cap", F.lit(most) * F.col(adv) / F.col(weight))
-    return exact_quantiles(able, keys, "_cap", [share], "_q").select(*keys, F.col("_q")[0].alias("capacity"))
+    return exact_quantiles(able, keys, "_cap", [share], "_q", hot_hashes(able, keys)).select(*keys, F.col("_q")[0].alias("capacity"))
 
 
 def active_weights(portfolio: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,6 +77,14 @@ def active_weights(portfolio: DataFrame, benchmark: DataFrame, keys: list[str])
     return p.join(b, keys, "full_outer").select(*keys, (zero("_p") - zero("_b")).alias("active"))
 
 
+def side_costs(bought: DataFrame, sold: DataFrame, keys: list[str], value: str, slip: float = 0.0, impact: float = 0.0) -> DataFrame:
+    """(keys, cost) of what was bought and sold per key: a key on one side only counts as 0 on the other; a NULL or negative amount gives NULL."""
+    b, s = bought.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_in_b")), sold.select(*keys, F.col(value).alias("_s"), F.lit(True).alias("_in_s"))
+    both = b.join(s, keys, "full_outer")
+    side = lambda v, there: F.when(F.col(there), F.col(v)).otherwise(0.0)
+    return both.select(*keys, trade_cost(side("_b", "_in_b"), side("_s", "_in_s"), F.lit(slip), F.lit(impact)).alias("cost"))
+
+
 def risk_parity(variances: DataFrame, keys: list[str], ident: str, variance: str, most: float = 1.0) -> DataFrame:
     """Weights by inverse volatility, cut at ``most`` and brought to a sum of 1; without a positive variance 0."""
     raw = variances.withColumn("_i", F.when(F.col(variance) > 0, 1 / F.sqrt(variance)).otherwise(0.0))
@@ -87,58 +94,64 @@ def risk_parity(variances: DataFrame, keys: list[str], ident: str, variance: str
     return cut.join(again, keys).select(*keys, ident, F.coalesce(F.try_divide("_c", "_u"), F.lit(0.0)).alias("weight"))
 
 
-def _fill_to_cap(w: np.ndarray, cap: np.ndarray) -> np.ndarray:
-    """Weights at most ``cap`` that keep their sum where the caps allow it: excess goes to the others in proportion."""
-    out = w.copy()
-    for _ in range(100):
-        over = out > cap + 1e-12
-        excess = (out[over] - cap[over]).sum()
-        out[over] = cap[over]
-        free = (out < cap - 1e-12) & (out > 0)
-        if excess <= 1e-12 or not free.any():
-            break
-        out[free] += excess * out[free] / out[free].sum()
-    return out
-
-
-def constrain(w: np.ndarray, most: float, group: np.ndarray | None = None, group_most: float | None = None, before: np.ndarray | None = None, most_turnover: float | None = None) -> np.ndarray:
-    """Long-only weights under caps per name and group and on turnover, with a sum of 1 where the caps allow it."""
-    out = np.where(np.isfinite(w) & (w > 0), w, 0.0)
-    if out.sum() <= 0:
-        return out
-    out = out / out.sum()
-    cap = np.full(len(out), float(most))
-    if group is not None and group_most is not None:
-        for _ in range(20):
-            sums = pd.Series(out).groupby(group).transform("sum").to_numpy()
-            over = sums > group_most + 1e-12
-            if not over.any():
-                break
-            excess = sum(s - group_most for s in {g: s for g, s in zip(group[over], sums[over])}.values())
-            out[over] *= group_most / sums[over]
-            free = ~over & (out > 0)
-            if not free.any():
-                break
-            out[free] += excess * out[free] / out[free].sum()
-    out = _fill_to_cap(out, cap)
-    if before is not None and most_turnover is not None:
-        moved = np.abs(out - before).sum() / 2
-        if moved > most_turnover > 0:
-            out = before + (out - before) * most_turnover / moved
-    return out
-
-
-def apply_constraints(weights: DataFrame, keys: list[str], ident: str, most: float, group: str | None = None, group_most: float | None = None) -> DataFrame:
-    """``constrain`` per key (a portfolio, so bounded by its names): (keys, ident, weight)."""
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(ident)
-        groups = None if group is None else frame[group].to_numpy()
-        frame["weight"] = constrain(frame["weight"].to_numpy(float), most, groups, group_most)
-        return frame[[*keys, ident, "weight"]]
-
-    kinds = ", ".join(f"`{c}` {weights.schema[c].dataType.simpleString()}" for c in [*keys, ident])
-    return weights.groupBy(*keys).applyInPandas(work, f"{kinds}, weight double")
+def _total(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    return df.join(df.groupBy(*keys).agg(F.sum(value).alias(name)), keys)
+
+
+def _scaled(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``value`` brought to a sum of 1 per key; all 0 where there is no positive sum."""
+    return _total(df, keys, value, "_sum").withColumn(value, F.when(F.col("_sum") > 0, F.col(value) / F.col("_sum")).otherwise(0.0)).drop("_sum")
+
+
+def fill_factor(shares: DataFrame, keys: list[str], ident: str, value: str, most: float) -> DataFrame:
+    """(keys, _factor): the factor f with which sum(least(most, f * value)) equals 1 over shares that are part of 1; NULL if all reach ``most`` before.
+
+    With the j greatest at the cap, f is (1 - j * most) / (1 - their sum), and the first j whose next share stays under the
+    cap is the answer. At most 1 / most shares can be capped, so only so many of a key's greatest ones are added up.
+    """
+    able = shares.where(F.col(value) > 0).select(*keys, ident, value)
+    top = positions(able, keys, [F.col(value).desc(), F.col(ident)], "_j", hot_hashes(able, keys)).where(F.col("_j") <= 1 / most)
+    greater = Window.partitionBy(*keys).orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
+    factor = F.try_divide(1 - F.col("_j") * most, 1 - F.coalesce(F.sum(value).over(greater), F.lit(0.0)))
+    first = F.min(F.when(F.col("_f") * F.col(value) <= most + 1e-12, F.struct("_j", "_f")))["_f"]
+    # with all of them at the cap, what has no cap takes the rest
+    rest = 1 - F.sum(value)
+    loose = F.when(rest > 1e-12, F.greatest(1 - F.count(F.lit(1)) * most, F.lit(0.0)) / rest)
+    return top.withColumn("_f", factor).groupBy(*keys).agg(F.coalesce(first, loose).alias("_factor"))
+
+
+def apply_constraints(weights: DataFrame, keys: list[str], ident: str, most: float, group: str | None = None, group_most: float | None = None, name_caps: list[str] | None = None, before: str | None = None, most_turnover: float | None = None) -> DataFrame:
+    """(keys, ident, weight): long-only weights with a sum of 1 under caps, one after the other.
+
+    Negative and missing weights count as 0. First ``name_caps`` (columns, the least of them; NULL is no cap) cut the weights, which
+    are then brought to a sum of 1; then groups above ``group_most`` give their excess to the rest in proportion (names
+    without a group have no group cap); then names above ``most`` do; last, with earlier weights in ``before``, the move from them
+    is shortened to ``most_turnover`` (half the absolute changes). Caps that can't all hold are reached, and the sum of 1 comes
+    first. A portfolio without a positive weight is all 0. Every step is an aggregate or a join, so portfolios may be large.
+    """
+    columns = [*keys, F.col(ident).alias("_id"), F.greatest(F.coalesce(finite("weight"), F.lit(0.0)), F.lit(0.0)).alias("_w")]
+    columns += [F.col(group).alias("_group") if group else F.lit(None).cast("string").alias("_group"), finite(before).alias("_p") if before else F.lit(None).cast("double").alias("_p")]
+    rows = weights.select(*columns, F.least(F.col("weight").cast("double"), *[finite(c) for c in name_caps]).alias("_cap") if name_caps else F.lit(None).cast("double").alias("_cap"))
+    rows = _scaled(rows.withColumn("_w", F.greatest(F.least("_w", F.coalesce("_cap", "_w")), F.lit(0.0))), keys, "_w")
+    if group and group_most is not None:
+        rows = settle(rows)
+        sums = settle(rows.where("_group IS NOT NULL").groupBy(*keys, "_group").agg(F.sum("_w").alias("_s")))
+        shared = sums.join(fill_factor(sums, keys, "_group", "_s", group_most), keys, "left")
+        capped = F.coalesce(F.least(F.lit(group_most), F.col("_factor") * F.col("_s")), F.lit(group_most))
+        scale = shared.select(*keys, "_group", F.when(F.col("_s") > 0, capped / F.col("_s")).alias("_scale"), F.coalesce("_factor", F.lit(1.0)).alias("_rest"))
+        loose = scale.groupBy(*keys).agg(F.max("_rest").alias("_loose"))
+        rows = rows.join(scale.drop("_rest"), [*keys, "_group"], "left").join(loose, keys, "left")
+        rows = _scaled(rows.withColumn("_w", F.col("_w") * F.when(F.col("_group").isNull(), F.coalesce("_loose", F.lit(1.0))).otherwise(F.coalesce("_scale", F.lit(1.0)))), keys, "_w")
+    if most > 0:
+        rows = settle(rows)
+        rows = rows.join(fill_factor(rows, keys, "_id", "_w", most), keys, "left")
+        rows = _scaled(rows.withColumn("_w", F.when(F.col("_w") > 0, F.coalesce(F.least(F.lit(float(most)), F.col("_factor") * F.col("_w")), F.lit(float(most)))).otherwise(0.0)), keys, "_w")
+    if before and most_turnover is not None:
+        rows = _scaled(rows.withColumn("_p", F.greatest(F.coalesce("_p", F.lit(0.0)), F.lit(0.0))), keys, "_p").withColumn("_move", F.abs(F.col("_w") - F.col("_p")) / 2)
+        part = F.when(F.col("_moved") > most_turnover, F.lit(float(most_turnover)) / F.col("_moved")).otherwise(1.0)
+        held = F.when(F.col("_any") > 0, F.col("_p") + part * (F.col("_w") - F.col("_p"))).otherwise(0.0)
+        rows = _scaled(_total(_total(rows, keys, "_move", "_moved"), keys, "_w", "_any").withColumn("_w", held), keys, "_w")
+    return rows.select(*keys, F.col("_id").alias(ident), F.col("_w").alias("weight"))
 
 
 def mean_variance(expected: np.ndarray, cov: np.ndarray, aversion: float = 5.0, most: float = 1.0, steps: int = 500) -> np.ndarray:

@@ -71,8 +71,10 @@ def offsets(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return parts.withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0))).withColumn("_all", F.sum("_here").over(Window.partitionBy(*keys)))
 
 
-def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "_pos") -> DataFrame:
-    """Each row's exact position (from 0) within its key; NULL keys are a key of their own."""
+def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "_pos", hot: list[int] | None = None) -> DataFrame:
+    """Each row's exact position (from 0) within its key; NULL keys are a key of their own. With ``hot`` empty, as ``hot_hashes`` found it, one sort per key will do."""
+    if hot == []:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
     ranked = ordered(df, keys, order)
     where = offsets(ranked, keys).select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_part").alias("_o_part"), "_first", "_before")
     match = F.col("_part") == F.col("_o_part")
@@ -122,13 +124,15 @@ def in_run(same: list[str], length: int, window: Window) -> Column:
     return reach(1) + reach(-1) + 1 >= length
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The exact median of ``value`` (NULLs left out) per key, the mean of the middle two of an even count.
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, hot: list[int] | None = None) -> DataFrame:
+    """The exact median of ``value`` (NULLs left out) per key, the mean of the middle two of an even count. With ``hot`` empty the values of a key are ordered in one place.
 
     A histogram of 64 bins per doubling finds the bins that hold the middle, and only the distinct values there are
     ordered, so no group holds all values of a hot key. All aggregates combine on the map side.
     """
     v = F.col(value)
+    if hot == []:
+        return df.where(v.isNotNull()).groupBy(*keys).agg(F.percentile(v, F.lit(0.5)).alias(name))
     counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", _bin(v))
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in"))
     by_key = Window.partitionBy(*keys)
@@ -164,8 +168,10 @@ def distinct_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.join(bins, [*keys, "_bin"]).select(*keys, value, "_ties", (F.col("_base") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))).alias("_below"), "_total")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], name: str) -> DataFrame:
-    """(keys, name): exact quantiles with linear interpolation as an array in the order of ``probs``."""
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], name: str, hot: list[int] | None = None) -> DataFrame:
+    """(keys, name): exact quantiles with linear interpolation as an array in the order of ``probs``. ``hot`` as in ``exact_median``."""
+    if hot == []:
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias(name))
     ranks = distinct_ranks(df, keys, value)
     picks = []
     for p in probs:

@@ -55,13 +55,24 @@ def tradable(df: DataFrame, date: str, days: DataFrame, sessions: DataFrame, lag
     return with_session(placed, date, sessions, "_idx", name).drop("_idx")
 
 
+def session_slice(df: DataFrame, start: str, end: str, days: DataFrame, sessions: DataFrame, inclusive: str = "both", name: str = "session_date") -> DataFrame:
+    """A row per session from ``start`` to ``end``; none if start > end. ``inclusive`` as in ``sessions_between``."""
+    placed = _span(df, start, end, days, inclusive).where("_iz >= _ia").withColumn("_i", F.explode(F.sequence("_ia", "_iz"))).drop("_ia", "_iz")
+    return with_session(placed, start, sessions, "_i", name).drop("_i")
+
+
 def sessions_between(df: DataFrame, start: str, end: str, days: DataFrame, inclusive: str = "both", name: str = "sessions") -> DataFrame:
     """The number of sessions from ``start`` to ``end``; 0 if start > end. ``inclusive`` is both, left, right or neither."""
+    out = _span(df, start, end, days, inclusive)
+    return out.withColumn(name, F.greatest(F.coalesce(F.col("_iz") - F.col("_ia") + 1, F.lit(0)), F.lit(0))).drop("_ia", "_iz")
+
+
+def _span(df: DataFrame, start: str, end: str, days: DataFrame, inclusive: str) -> DataFrame:
+    """With the numbers of the first and the last session, _ia and _iz."""
     if inclusive not in ("both", "left", "right", "neither"):
         raise ValueError("inclusive must be both, left, right or neither")
     first = "idx_ge" if inclusive in ("both", "left") else "idx_gt"
     final = "idx_le" if inclusive in ("both", "right") else "idx_lt"
     a = days.select(F.col("day").alias("_a"), F.col(first).alias("_ia"))
     z = days.select(F.col("day").alias("_z"), F.col(final).alias("_iz"))
-    out = df.join(a, F.col(start) == F.col("_a"), "left").join(z, F.col(end) == F.col("_z"), "left")
-    return out.withColumn(name, F.greatest(F.coalesce(F.col("_iz") - F.col("_ia") + 1, F.lit(0)), F.lit(0))).drop("_a", "_z", "_ia", "_iz")
+    return df.join(a, F.col(start) == F.col("_a"), "left").join(z, F.col(end) == F.col("_z"), "left").drop("_a", "_z")

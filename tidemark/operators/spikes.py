@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import sequence
 from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, exact_median, hot_hashes, in_run, key_hash
-from tidemark.session import finite
+from tidemark.session import finite, settle
 
 #: How far neighbours are sought once readings are taken out, the number of changes at which theta is halved, and the scales of a change that count in the next one's residual.
 REACH, SHRINK, BOUND = 4, 30, 3.0
@@ -112,7 +112,8 @@ def implausible(rows: DataFrame, key: str, order: list[str], value: str, above:
     """
     ids, own = [f"_o{i}" for i in range(len(order))], ("reason", "in_pass", "strict")
     kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
-    good = rows.select(kept, F.col(key).alias("_key"), *[F.col(c).alias(i) for c, i in zip(order, ids)], finite(value).alias("_value")).where("_key IS NOT NULL AND _o0 IS NOT NULL AND _value IS NOT NULL")
+    named = rows.select(kept, F.col(key).alias("_key"), *[F.col(c).alias(i) for c, i in zip(order, ids)], finite(value).alias("_value"))
+    good = settle(named.where("_key IS NOT NULL AND _o0 IS NOT NULL AND _value IS NOT NULL"))  # read by each test, and by the numbering of hot keys
     possible = (F.col("_value") > above) & (F.col("_value") <= most)
     hot = hot_hashes(good, ["_key"], small) if hot is None else hot
     spikes = outliers(good.where(possible), "_key", ids, "_value", times, passes, small, hot).where("kind = 'outlier'").select("_row", F.lit("spike").alias("reason"), "in_pass", "strict")

@@ -11,7 +11,10 @@ from tidemark.session import finite, settle
 from tidemark.sources.tables import calendar, canonical_code, current_readings, on_session, plain_name, read, traded
 
 #: Parameters of the queries: positional lag and window of the surprise, horizons in sessions, least pairs of a coefficient.
-LAG, WINDOW, LEAST, HORIZONS, LEAST_PAIRS, BUCKETS = 1, 4, 2, [1, 5, 10, 20], 10, 5
+LAG, WINDOW, LEAST, HORIZONS, LEAST_PAIRS, BUCKETS = 1, 4, 2, [1, 5, 10, 20, 40, 60], 20, 5
+#: Signals of the factor tests and the sweep, the controls of the regressions, and the least events of a subset.
+SIGNALS = ["sue", "sue_z", "sue_group", "sue_neutral", "net_profit_growth", "revenue_growth", "eps_growth"]
+CONTROLS, LEAST_EVENTS = ["log_mcap", "momentum_20d", "volatility_20d"], 20
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -57,9 +60,15 @@ def tradable_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filings(spark, sf_dir).select("event_id", "report_date", "actual_disclosure_date")
-    for how in ("both", "neither"):
+    for how in ("both", "left", "right", "neither"):
         out = sessions.sessions_between(out, "report_date", "actual_disclosure_date", _days(spark, sf_dir), how, how)
-    return out.select("event_id", "both", "neither")
+    return out.select("event_id", "both", "left", "right", "neither")
+
+
+def sessions_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per session from an event's disclosure (left out) to 10 days later."""
+    spans = filings(spark, sf_dir).select("event_id", "actual_disclosure_date", F.date_add("actual_disclosure_date", 10).alias("_end"))
+    return sessions.session_slice(spans, "actual_disclosure_date", "_end", _days(spark, sf_dir), calendar(spark, sf_dir), "right").select("event_id", "session_date")
 
 
 def panel_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +116,18 @@ def listed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of the events, those of them delisted, and their share."""
-    _, delisting = _lives(spark, sf_dir)
-    codes = filings(spark, sf_dir).select("code").distinct().join(delisting.withColumn("_d", F.lit(1)), "code", "left")
-    return rounded(codes.agg(F.count(F.lit(1)).alias("codes"), F.count("_d").alias("delisted"), F.avg(F.col("_d").isNotNull().cast("double")).alias("share")))
+    """Events, codes and events later delisted, the codes' share, and what that says of the sample."""
+    return rounded(security.survivorship(filings(spark, sf_dir), _lives(spark, sf_dir)[1]))
+
+
+def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by what their flag rests on."""
+    return rounded(security.flag_audit(names_then(spark, sf_dir)))
+
+
+def unflagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose code wasn't flagged at disclosure; unknown ones stay."""
+    return security.drop_flagged(names_then(spark, sf_dir)).select("event_id", "flag_basis", "is_flagged")
 
 
 def limit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +165,9 @@ def adjusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.join(b, ["code", "date"]), 4)
 
 
-def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fills(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     cal = calendar(spark, sf_dir)
-    grid = fills.trade_grid(daily_bars(spark, sf_dir), cal)
+    grid = fills.trade_grid(daily_bars(spark, sf_dir) if rows is None else rows, cal, HORIZONS)
     return fills.resolve_fills(filings(spark, sf_dir).where("tradable_date IS NOT NULL"), grid, cal, "tradable_date", HORIZONS)
 
 
@@ -160,15 +177,26 @@ def filled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fills.fill_audit(_fills(spark, sf_dir), HORIZONS))
+    rows = settle(daily_bars(spark, sf_dir))  # read for fills and for plain returns
+    plain = fills.forward_returns(filings(spark, sf_dir).where("tradable_date IS NOT NULL").select("event_id", "code", "tradable_date"), rows, calendar(spark, sf_dir), "tradable_date", HORIZONS)
+    both = _fills(spark, sf_dir, rows).join(plain.select("event_id", *[f"fwd_ret_{h}" for h in HORIZONS]), "event_id")
+    return rounded(fills.fill_audit(both, HORIZONS))
+
+
+def return_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fills.return_audit(forward_rates(spark, sf_dir), HORIZONS))
 
 
 def delayed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills of entries one session later."""
+    done = _delayed(spark, sf_dir, daily_bars(spark, sf_dir))
+    return rounded(done.select("event_id", "entry_idx", *[c for h in (10, 20) for c in (f"exit_idx_{h}", f"ret_{h}")]))
+
+
+def _delayed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     cal, days = calendar(spark, sf_dir), _days(spark, sf_dir)
     later = sessions.shift(filings(spark, sf_dir).where("tradable_date IS NOT NULL").select("event_id", "code", "tradable_date"), "tradable_date", days, cal, 1, "later")
-    done = fills.resolve_fills(later, fills.trade_grid(daily_bars(spark, sf_dir), cal), cal, "later", [10])
-    return rounded(done.select("event_id", "entry_idx", "exit_idx_10", "ret_10"))
+    return fills.resolve_fills(later, fills.trade_grid(rows, cal, [10, 20]), cal, "later", [10, 20])
 
 
 def forward_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +207,20 @@ def forward_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = signals.seasonal_surprise(filings(spark, sf_dir), "eps", LAG, WINDOW, LEAST)
-    panel = signals.earnings_growth(panel, ["revenue", "net_profit"], LAG)
+    panel = signals.earnings_growth(panel, ["revenue", "net_profit", "eps"], LAG)
     panel = signals.difference(panel, "eps", "eps_change", LAG)
     panel = signals.lagged_surprise(panel, "revenue", "revenue_surprise", LAG)
     panel = signals.same_quarter_before(panel, "revenue", "revenue_year_before")
     return panel.withColumn("sue", F.round("sue", 6))
 
 
+def seasonal_surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surprise over the year before with a deviation over eight reports, four at least (the usual parameters)."""
+    panel = signals.seasonal_surprise(filings(spark, sf_dir), "eps")
+    panel = signals.earnings_growth(panel, ["revenue", "net_profit"])
+    return rounded(panel.select("event_id", "unexpected", "deviation", "sue", "revenue_growth", "net_profit_growth"))
+
+
 def surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_signals(spark, sf_dir).select("event_id", "unexpected", "deviation", "sue", "revenue_growth", "net_profit_growth", "eps_change", "revenue_surprise", "revenue_year_before"))
 
@@ -203,20 +238,27 @@ def eps_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(~fit).alias("mismatches"), F.avg(fit.cast("double")).alias("match_rate"), F.avg("_d").alias("mean_difference"), F.max("_d").alias("max_difference")))
 
 
-def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with signals, features before entry and fills."""
-    done = _fills(spark, sf_dir).select("event_id", "entry_blocked", *[F.round(f"ret_{h}", 8).alias(f"ret_{h}") for h in HORIZONS])
+def _analysis(spark: SparkSession, sf_dir: str, delayed: bool = False) -> DataFrame:
+    """Events with signals, features before entry and fills; with ``delayed`` also the returns of entries one session later (late_h)."""
+    rows = settle(daily_bars(spark, sf_dir))  # read for features and fills
+    shorter = lambda df, name, hs: df.select("event_id", *[F.round(f"ret_{h}", 8).alias(f"{name}_{h}") for h in hs])
+    filled = _fills(spark, sf_dir, rows)
+    done = filled.select("event_id", "entry_blocked", *[F.round(f"ret_{h}", 8).alias(f"ret_{h}") for h in HORIZONS])
     base = _signals(spark, sf_dir).where("tradable_date IS NOT NULL")
-    priced = bars.attach_before(base, bars.price_features(daily_bars(spark, sf_dir)), "tradable_date", bars.FEATURES)
-    return settle(priced.join(done, "event_id"))
+    priced = bars.attach_before(base, bars.price_features(rows), "tradable_date", bars.FEATURES)
+    out = priced.join(done, "event_id")
+    return settle(out.join(shorter(_delayed(spark, sf_dir, rows), "late", (10, 20)), "event_id", "left") if delayed else out)
 
 
-def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cross(spark: SparkSession, sf_dir: str, delayed: bool = False) -> DataFrame:
+    """``_analysis`` with the derived signals, which are NULL in periods with fewer than LEAST_PAIRS surprises."""
     key = ["report_date"]
-    out = settle(crosssection.winsorize(_analysis(spark, sf_dir), key, "sue", "sue_w"))
-    out = crosssection.zscore(out, key, "sue_w", "sue_z")
+    rows = _analysis(spark, sf_dir, delayed)
+    out = crosssection.winsorize(crosssection.enough(rows.withColumn("_sue", F.col("sue")), key, "_sue", LEAST_PAIRS), key, "_sue", "sue_w").drop("_sue")
+    out = crosssection.zscore(settle(out), key, "sue_w", "sue_z")
     out = crosssection.demean(out, key, "industry", "sue_w", "sue_group")
-    return crosssection.neutralize(out, key, "sue_w", "log_mcap", "industry", "sue_neutral")
+    out = crosssection.neutralize(out, key, "sue_w", "log_mcap", "industry", "sue_neutral")
+    return out.withColumns({c: F.round(c, 8) for c in ("sue_w", "sue_z", "sue_group", "sue_neutral")})
 
 
 def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,13 +266,36 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_cross(spark, sf_dir).select("event_id", "sue_w", "sue_z", "sue_group", "sue_neutral"), 8)
 
 
+def recent_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surprise of the last 35 days' events neutralized for size and industry among them alone."""
+    rows = _analysis(spark, sf_dir).withColumn("_now", F.lit(1))
+    end = rows.agg(F.max("tradable_date")).first()[0]
+    recent = rows.where(F.col("tradable_date") > F.date_sub(F.lit(str(end)).try_cast("date"), 35))
+    wins = crosssection.winsorize(crosssection.enough(recent, ["_now"], "sue", LEAST_EVENTS), ["_now"], "sue", "sue_w")
+    return rounded(crosssection.neutralize(wins, ["_now"], "sue_w", "log_mcap", "industry", "sue_neutral").select("event_id", "sue_w", "sue_neutral"), 8)
+
+
 def ic_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank and plain coefficients per report date and horizon."""
     long = factor.unpivot(_analysis(spark, sf_dir), ["report_date", "sue"], {h: f"ret_{h}" for h in HORIZONS}, "horizon", "ret")
-    keys = ["report_date", "horizon"]
-    a = factor.ic_by(long, keys, "sue", "ret", True, LEAST_PAIRS).withColumnRenamed("ic", "rank_ic")
-    b = factor.ic_by(long, keys, "sue", "ret", False, LEAST_PAIRS).select(*keys, "ic")
-    return rounded(a.join(b, keys))
+    return rounded(factor.ic_both(long, ["report_date", "horizon"], "sue", "ret", LEAST_PAIRS))
+
+
+def ic_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank coefficients of every signal and horizon by report date and by month of entry; thin or constant groups are left out."""
+    rows = _cross(spark, sf_dir)
+    groups = F.array(F.struct(F.lit("report_date").alias("group_type"), F.col("report_date").cast("string").alias("group")), F.struct(F.lit("entry_month").alias("group_type"), F.date_format("tradable_date", "yyyy-MM").alias("group")))
+    placed = rows.withColumn("_g", F.explode(groups)).select("*", "_g.*")
+    returns = {h: f"ret_{h}" for h in HORIZONS}
+    long = factor.unpivot(placed, ["group_type", "group", *returns.values()], {c: c for c in SIGNALS}, "signal", "_s")
+    long = factor.unpivot(long, ["group_type", "group", "signal", "_s"], returns, "horizon", "_r")
+    found = factor.ic_by(long, ["signal", "horizon", "group_type", "group"], "_s", "_r", True, LEAST_PAIRS)
+    return rounded(found.where("ic IS NOT NULL").withColumnRenamed("n", "n_obs"))
+
+
+def ic_table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of ``ic_tables`` per signal, horizon and grouping."""
+    return rounded(factor.ic_summary(settle(ic_tables(spark, sf_dir)), ["signal", "horizon", "group_type"], "group"))
 
 
 def ic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +307,10 @@ def ic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pooled rank coefficients by horizon."""
-    return rounded(factor.ic_decay(_analysis(spark, sf_dir), "sue", {h: f"ret_{h}" for h in HORIZONS}))
+    """Rank coefficients by horizon, pooled and as the mean of the report dates' ones."""
+    rows, returns = _analysis(spark, sf_dir), {h: f"ret_{h}" for h in HORIZONS}
+    by_date = factor.ic_decay(rows, "sue", returns, "report_date").select("horizon", F.col("ic").alias("mean_ic"))
+    return rounded(factor.ic_decay(rows, "sue", returns).join(by_date, "horizon", "left"))
 
 
 def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +326,21 @@ def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolled.join(factor.monotonic(rolled, ["_all"]), "_all").drop("_all"))
 
 
+def _regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per report date the 10-session return on the surprise and the controls, without and with industries."""
+    rows = _analysis(spark, sf_dir)
+    fit = lambda spec, group: factor.regression(rows, ["report_date"], "ret_10", ["sue", *CONTROLS], group).withColumn("spec", F.lit(spec))
+    return fit("numeric", None).unionByName(fit("numeric+industry", "industry"))
+
+
 def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per report date the 10-session return on the surprise and size."""
-    return rounded(factor.regression(_analysis(spark, sf_dir), ["report_date"], "ret_10", ["sue", "log_mcap"]))
+    """The surprise's coefficient in ``_regressions``."""
+    return rounded(_regressions(spark, sf_dir).where("term = 'sue'").select("report_date", "spec", "coef", "t_stat", "n"))
+
+
+def regression_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms with their probabilities."""
+    return rounded(_regressions(spark, sf_dir))
 
 
 def regression_single(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,46 +348,48 @@ def regression_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regression_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(factor.regression_summary(factor.regression(_analysis(spark, sf_dir), ["report_date"], "ret_10", ["sue", "log_mcap"])))
+    return rounded(factor.regression_summary(_regressions(spark, sf_dir).where("term = 'sue'"), ["spec"]).drop("term"))
 
 
 COST = backtest.CostModel()
+DOUBLE = COST.scaled(commission=0.0006, tax=0.001, half_spread=0.001, slip=0.1, impact=1.0)
 SCENARIOS = [
-    *[backtest.Scenario(f"horizon_{h}", "sue", f"ret_{h}") for h in HORIZONS],
-    *[backtest.Scenario(f"top_{int(100 * t)}", "sue", "ret_10", t) for t in (0.1, 0.3)],
-    *[backtest.Scenario(f"aum_1e{e}", "sue", "ret_10", 0.2, COST.scaled(aum=10.0**e)) for e in (7, 9)],
-    backtest.Scenario("double_cost", "sue", "ret_10", 0.2, COST.scaled(commission=0.0006, tax=0.001, half_spread=0.001, slip=0.1, impact=1.0)),
-    backtest.Scenario("growth", "revenue_growth", "ret_10"),
+    backtest.Scenario("baseline:baseline", "sue", "ret_20"),
+    *[backtest.Scenario(f"aum:1e{e}", "sue", "ret_20", 0.2, COST.scaled(aum=10.0**e)) for e in (7, 8, 9)],
+    backtest.Scenario("cost:double", "sue", "ret_20", 0.2, DOUBLE),
+    *[backtest.Scenario(f"horizon:{h}", "sue", f"ret_{h}") for h in HORIZONS],
+    *[backtest.Scenario(f"signal:{x}", x, "ret_20") for x in SIGNALS],
+    *[backtest.Scenario(f"top:{t}", "sue", "ret_20", t) for t in (0.1, 0.2, 0.3)],
+    *[backtest.Scenario(f"delay:{h}", "sue", f"late_{h}") for h in (10, 20)],
 ]
 
 
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohorts of all scenarios, those by year and by terciles of size and liquidity over all events among them (subsets of LEAST_EVENTS at least)."""
+    rows = _cross(spark, sf_dir, True).withColumn("_all", F.lit(1)).withColumn("year", F.year("tradable_date"))
+    for column, name in (("log_mcap", "size"), ("log_adv20", "liquidity")):
+        rows = crosssection.quantile_bucket(rows, ["_all"], column, 3, name)
+    rows = settle(rows)
+    runs, base = list(SCENARIOS), lambda part, value: backtest.Scenario(f"{part}:{value}", "sue", "ret_20", keep=f"{part} = {value}")
+    sizes = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("value")) for c in ("year", "size", "liquidity")])).alias("_p")).groupBy("_p.part", "_p.value").count()
+    held = sizes.where((F.col("count") >= LEAST_EVENTS) & F.col("value").isNotNull()).orderBy("part", "value").collect()  # years and terciles
+    return backtest.cohorts(rows, [*runs, *[base(r["part"], r["value"]) for r in held]])
+
+
 def cohort_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["scenario", "cohort", "n", "k", "gross", "benchmark", "active", "commission", "tax", "slippage", "impact", "cost", "net", "capacity"]
-    return rounded(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS).withColumn("capacity", F.round("capacity", 4)).select(*columns), 12)
+    columns = ["scenario", "cohort", "n", "k", "gross", "benchmark", "active", "commission", "tax", "slippage", "impact", "cost", "net", "capacity", "adv_missing"]
+    return rounded(_sweep(spark, sf_dir).withColumn("capacity", F.round("capacity", 4)).select(*columns), 12)
 
 
 def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(backtest.metrics(backtest.cohorts(_analysis(spark, sf_dir), SCENARIOS), ["scenario"]), 8)
+    return rounded(backtest.metrics(_sweep(spark, sf_dir), ["scenario"]).withColumn("capacity_median", F.round("capacity_median", 4)), 8)
 
 
 def scenario_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = scenario_metrics(spark, sf_dir).withColumn("dimension", F.regexp_extract("scenario", "^[a-z]+", 0))
+    measured = scenario_metrics(spark, sf_dir).withColumn("dimension", F.substring_index("scenario", ":", 1))
     return rounded(backtest.rollup(measured, "dimension", "net_annual"), 4)
 
 
-def scenario_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base scenario by year, by terciles of size and liquidity within the month, and with entries one session later."""
-    rows = _analysis(spark, sf_dir).withColumn("month", F.date_format("tradable_date", "yyyy-MM"))
-    rows = crosssection.quantile_bucket(crosssection.quantile_bucket(rows, ["month"], "log_mcap", 3, "size"), ["month"], "log_adv20", 3, "depth")
-    later = delayed_entries(spark, sf_dir).select("event_id", F.col("ret_10").alias("ret_later"))
-    years = [r[0] for r in rows.select(F.year("tradable_date").alias("y")).distinct().orderBy("y").collect()]  # a few years
-    runs = [backtest.Scenario(f"year {y}", "sue", "ret_10", keep=f"year(tradable_date) = {y}") for y in years]
-    runs += [backtest.Scenario(f"{c} {t}", "sue", "ret_10", keep=f"{c} = {t}") for c in ("size", "depth") for t in (1, 2, 3)]
-    runs.append(backtest.Scenario("later entry", "sue", "ret_later"))
-    measured = backtest.metrics(backtest.cohorts(settle(rows.join(later, "event_id", "left")), runs, 3), ["scenario"])
-    return rounded(measured.select("scenario", "cohorts", "events", "gross_annual", "net_annual", "net_sharpe", "hit_rate", "mean_cost"))
-
-
 def prediction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank coefficients of the out-of-sample predictions and of the surprise alone, per report date."""
     rows = _analysis(spark, sf_dir)
@@ -329,7 +410,7 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict per horizon from its coefficients and its backtest."""
-    ics = ic_statistics(spark, sf_dir).select(F.concat(F.lit("horizon_"), "horizon").alias("scenario"), "mean_ic", "t_stat")
+    ics = ic_statistics(spark, sf_dir).select(F.concat(F.lit("horizon:"), "horizon").alias("scenario"), "mean_ic", "t_stat")
     return backtest.verdict(ics.join(scenario_metrics(spark, sf_dir), "scenario")).select("scenario", "mean_ic", "t_stat", "net_annual", "net_information_ratio", "verdict")
 
 
@@ -363,9 +444,18 @@ def inverse_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights under a cap of 8 percent a name and 40 percent an industry."""
-    rows = _monthly_weights(spark, sf_dir).where("weight > 0").join(filings(spark, sf_dir).select("event_id", F.coalesce("industry", F.lit("未知")).alias("industry")), "event_id")
-    return rounded(portfolio.apply_constraints(rows, ["month"], "event_id", 0.08, "industry", 0.4))
+    """Weights under caps of a hundred-millionth of the daily volume and 15 percent a name, 40 percent an industry, moved by 60 percent at most from the even weights of the month's names."""
+    rows = _monthly_weights(spark, sf_dir).join(filings(spark, sf_dir).select("event_id", "industry"), "event_id")
+    sizes = rows.groupBy("month").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(sizes, "month").withColumn("even", 1 / F.col("_n")).withColumn("volume_cap", F.col("adv20") / 1e8)
+    return rounded(portfolio.apply_constraints(rows, ["month"], "event_id", 0.15, "industry", 0.4, ["volume_cap"], "even", 0.6))
+
+
+def round_trip_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per code the cost of having bought its last amount and sold its least average volume; either side may be missing, NULL or negative."""
+    bought = read(spark, sf_dir, "prices").select(canonical_code("code").alias("code"), "date", "price_id", "loaded_ts", finite("amount").alias("amount")).where("code IS NOT NULL").groupBy("code").agg(F.max_by("amount", F.struct("date", "loaded_ts", "price_id")).alias("amount"))
+    sold = read(spark, sf_dir, "liquidity").select(canonical_code("code").alias("code"), (finite("momentum_20d") * finite("adv20")).alias("amount")).where("code IS NOT NULL").groupBy("code").agg(F.min("amount").alias("amount"))
+    return rounded(portfolio.side_costs(bought, sold, ["code"], "amount", 0.001, 0.002), 4)
 
 
 def trading_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +471,11 @@ def title_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections among the titles told within 120 days after disclosure."""
     titles = read(spark, sf_dir, "correction_scan").select("scan_id", canonical_code("code").alias("code"), F.col("scan_ts").cast("date").alias("date"), F.col("correction_titles").alias("title")).where("title IS NOT NULL AND title <> ''").distinct()
     events = filings(spark, sf_dir).where("actual_disclosure_date IS NOT NULL").select("event_id", "code", "report_date", "actual_disclosure_date")
-    return security.corrections(events, titles, "actual_disclosure_date").select("event_id", "announcements", "corrections")
+    return security.corrections(events, titles, "actual_disclosure_date").select("event_id", "announcements", "corrections", "report_corrections", "report_corrected", "titles")
+
+
+def correction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(security.correction_audit(title_corrections(spark, sf_dir)))
 
 
 def code_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,9 +520,10 @@ def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.walk_forward(models.scorable(_analysis(spark, sf_dir), columns), columns, "ret_10", "report_date", "boosted", 4, 30))
 
 
-NAMES = """daily_bars calendar_shift tradable_dates session_counts panel_audit coverage_audit names_then listed_events survivorship limit_hits
-suspended_sessions features features_before adjusted_closes filled_events filled_audit delayed_entries forward_rates surprises signal_coverage
-eps_check cross_section ic_by_period ic_statistics decay quantile_periods quantile_summary regressions regression_single regression_means
+NAMES = """daily_bars calendar_shift tradable_dates session_counts sessions_after panel_audit coverage_audit names_then flag_counts unflagged_events
+listed_events survivorship limit_hits suspended_sessions features features_before adjusted_closes filled_events filled_audit return_coverage
+delayed_entries forward_rates surprises seasonal_surprises signal_coverage eps_check cross_section recent_neutral ic_by_period ic_tables
+ic_table_summary ic_statistics decay quantile_periods quantile_summary regressions regression_terms regression_single regression_means
 cohort_results scenario_metrics scenario_rollup findings selected_weights monthly_turnover monthly_capacity monthly_active inverse_volatility
-capped_weights scenario_subsets prediction_scores order_requests trading_costs title_corrections code_sets audit_sample best_candidates split_blocks present_features ridge_predictions
-boosted_predictions""".split()
+capped_weights round_trip_costs prediction_scores order_requests trading_costs title_corrections correction_counts code_sets audit_sample
+best_candidates split_blocks present_features ridge_predictions boosted_predictions""".split()

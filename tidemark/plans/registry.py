@@ -82,6 +82,6 @@ a AS (SELECT DISTINCT "序号" AS n, "当时ST" AS is_st FROM sample_audit), c A
 SELECT e.event_id, s.row_id AS st_row, is_st, k.row_id AS scan_row, report_corrected FROM e LEFT JOIN f s ON s.event_id = e.event_id AND s.attr = 'st' LEFT JOIN a ON a.n = s.row_id LEFT JOIN f k ON k.event_id = e.event_id AND k.attr = 'correction' LEFT JOIN c ON c.scan_id = k.row_id"""
 SQL["p7_versions"] = SQL["p7_found"].partition("SELECT DISTINCT entity, attr, strftime")[0] + """, starts AS (SELECT *, lead(seen) OVER (PARTITION BY entity, attr ORDER BY seen) AS nx FROM steps WHERE p IS NULL OR p <> v)
 SELECT entity, attr, v AS value, strftime(seen, '%Y-%m-%d') AS valid_from, strftime(nx, '%Y-%m-%d') AS valid_to, nx IS NULL AS current FROM starts"""
-SQL["scenario_rollup"] = f"""SELECT regexp_extract(scenario, '^[a-z]+') AS dimension, count(*) AS variants, round(avg(net_annual), 4) AS mean, round(avg(CAST(net_annual > 0 AS INT)), 4) AS positive_share FROM ({SQL["scenario_metrics"]}) GROUP BY 1"""
+SQL["scenario_rollup"] = f"""SELECT split_part(scenario, ':', 1) AS dimension, count(*) AS variants, round(avg(net_annual), 4) AS mean, round(avg(CAST(net_annual > 0 AS INT)), 4) AS positive_share FROM ({SQL["scenario_metrics"]}) GROUP BY 1"""
 SQL["findings"] = f"""WITH i AS ({SQL["ic_statistics"]}), m AS ({SQL["scenario_metrics"]})
-SELECT scenario, mean_ic, t_stat, net_annual, net_information_ratio, CASE WHEN mean_ic > 0 AND t_stat >= 2 AND net_annual > 0 AND net_information_ratio > 0 THEN 'confirmed' WHEN mean_ic > 0 AND t_stat >= 2 THEN 'informative, not profitable' WHEN net_annual > 0 AND net_information_ratio > 0 THEN 'profitable, not informative' ELSE 'rejected' END AS verdict FROM i JOIN m ON m.scenario = 'horizon_' || horizon"""
+SELECT scenario, mean_ic, t_stat, net_annual, net_information_ratio, CASE WHEN mean_ic > 0 AND t_stat >= 2 AND net_annual > 0 AND net_information_ratio > 0 THEN 'confirmed' WHEN mean_ic > 0 AND t_stat >= 2 THEN 'informative, not profitable' WHEN net_annual > 0 AND net_information_ratio > 0 THEN 'profitable, not informative' ELSE 'rejected' END AS verdict FROM i JOIN m ON m.scenario = 'horizon:' || horizon"""
