@@ -36,6 +36,35 @@ def test_as_known_equals_brute_force(spark, small_chunks):
         assert got == want
 
 
+def test_steps_cover_each_point_once():
+    r = random.Random(5)
+    for n in (0, 1, 2, 3, 5, 8, 13, 60):
+        for order in (sorted, lambda k: sorted(k, reverse=True), list):
+            s, k = sorted(r.sample(range(200), n)), order([r.randrange(40) for _ in range(n)])
+            found = list(V.steps(s, k))
+            assert len(found) <= 2 * n
+            for d in range(-1, 201, 3):
+                for t in range(-1, 42):
+                    inside = [a for kf, kt, a, z in found if kf <= t and (kt is None or t < kt) and a <= d and (z is None or d < z)]
+                    able = [x for x, y in zip(s, k) if x <= d and y <= t]
+                    assert inside == ([max(able)] if able else [])
+    long = list(V.steps(list(range(20_000)), list(range(20_000))))  # quadratic work wouldn't end
+    assert len(long) == 2 * 20_000 - 1
+
+
+def test_few_looks_per_event(spark):
+    """However lengths differ, an event looks into a bucket per power of 16."""
+    r = random.Random(6)
+    facts, at = [], 0
+    for i in range(400):
+        facts.append(("k", at, i))
+        at += r.choice([1, 10, 1000, 10**6, 10**9])
+    f = spark.createDataFrame(facts, "k string, since bigint, i int")
+    e = spark.createDataFrame([("k", r.randrange(-5, at + 10)) for _ in range(300)], "k string, at bigint")
+    got = V.interval_join(e, V.versions(f, ["k"], "since"), ["k"], [("at", "since", "_until")]).collect()
+    assert {(x["at"], x.i) for x in got} == {(t.at, max(i for _, s, i in facts if s <= t.at)) for t in e.collect() if t.at >= 0}
+
+
 def test_empty_sides(spark):
     f = spark.createDataFrame([], "k string, stated date, known bigint, row bigint")
     e = spark.createDataFrame([("e", "k", date(2024, 1, 1), 5)], "event_id string, k string, d date, at bigint")

@@ -1,8 +1,9 @@
 """Attributes as known at event time: validity intervals exploded into time buckets and equi-joined with half-open containment.
 
-The bucket of an interval is as wide as the interval itself (the next power of two), so an interval lies in at most two
-buckets and an event looks into one bucket of each width in use. Short and long validities thus need no common width, and
-a key with a third of all rows gives no event more than a few candidates.
+The width of an interval's bucket is its length rounded down to a power of 16, so it lies in 17 buckets at most, and in one bucket
+lie few intervals of a key that follow each other. An event looks into one bucket of each width in use, of which there are as
+many as powers of 16 between the shortest and the longest interval. An interval in two times (known, stated) is bucketed in
+the one in which it is narrower, and the other one is tested by containment.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequence import SMALL_KEY, chunk_window, chunked, hot_hashes, replicated, salted
+from tidemark.session import settle
 
 
 def versions(facts: DataFrame, keys: list[str], since: str, until: str = "_until", small: int = SMALL_KEY, hot: list[int] | None = None) -> DataFrame:
@@ -22,14 +24,8 @@ def versions(facts: DataFrame, keys: list[str], since: str, until: str = "_until
     return cut.withColumn(until, F.lead(since).over(chunk_window(keys, [F.col(since)]))).where("_own").drop("_chunk", "_own")
 
 
-def _level(length: Column) -> Column:
-    """The least L with length <= 2^L."""
-    return F.greatest(F.ceil(F.log2(length.cast("double"))), F.lit(0)).cast("int")
-
-
-def _cell(at: Column, dim: int) -> Column:
-    """The bucket of a position at the row's level: an arithmetic shift right, as the width is a power of two."""
-    return F.call_function("shiftright", at.cast("bigint"), F.col(f"_level{dim}"))
+#: Bits by which a width of buckets exceeds the next smaller one.
+WIDTH_BITS = 4
 
 
 def interval_join(events: DataFrame, facts: DataFrame, keys: list[str], dims: list[tuple[str, str, str]], small: int = SMALL_KEY) -> DataFrame:
@@ -37,82 +33,80 @@ def interval_join(events: DataFrame, facts: DataFrame, keys: list[str], dims: li
 
     ``dims`` holds (event column, from column, to column), all BIGINT; an interval is [from, to), ``to`` NULL means open.
     Rows with a NULL key, event position or ``from`` match nothing. The names of the two sides must differ apart from the keys.
-    Events of keys with more than ``small`` of them are spread by a salt, as wide buckets hold many of a key's events.
+    Both sides are read more than once. Events of keys with more than ``small`` of them are spread by a salt, as wide
+    buckets hold many of a key's events.
     """
     points = events.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, *[d[0] for d in dims]]))
-    ends = points.agg(*[F.max(d[0]) for d in dims]).first()
+    spread = points.agg(F.count(F.lit(1)), *[f(d[0]) for d in dims for f in (F.min, F.max)]).first()
+    many, ends = spread[0], list(zip(spread[1::2], spread[2::2]))
     spans = facts.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, *[d[1] for d in dims]]))
+    shares = []
     for i, (_, start, stop) in enumerate(dims):
-        last = F.lit((ends[i] if ends[i] is not None else -(2**62)) + 1).cast("bigint")
-        spans = spans.withColumn(f"_to{i}", F.least(F.coalesce(stop, last), last)).where(F.col(f"_to{i}") > F.col(start))
-        spans = spans.withColumn(f"_level{i}", _level(F.col(f"_to{i}") - F.col(start)))
-    levels = [f"_level{i}" for i in range(len(dims))]
-    used = [tuple(r) for r in spans.select(*levels).distinct().collect()]  # at most 64 widths per dimension
-    if not used:
-        used = [tuple(0 for _ in dims)]
-    for i, (_, start, _) in enumerate(dims):
-        spans = spans.withColumn(f"_cell{i}", F.explode(F.sequence(_cell(F.col(start), i), _cell(F.col(f"_to{i}") - 1, i))))
-    looks = F.array(*[F.struct(*[F.lit(int(v)).alias(f"_level{i}") for i, v in enumerate(u)]) for u in used])
+        first, last = (int(x) for x in (ends[i] if many else (0, 0)))
+        spans = spans.withColumn(f"_to{i}", F.least(F.coalesce(stop, F.lit(last + 1)), F.lit(last + 1).cast("bigint"))).where((F.col(f"_to{i}") > F.col(start)) & (F.col(f"_to{i}") > first))
+        shares.append((F.col(f"_to{i}") - F.greatest(F.col(start), F.lit(first))) / (last - first + 1))
+    narrow = F.array_position(F.array(*shares), F.array_min(F.array(*shares))) - 1
+    spans = spans.withColumn("_dim", narrow.cast("int"))
+    chosen = lambda columns: F.get(F.array(*columns), F.col("_dim"))
+    lows = [F.greatest(F.col(start), F.lit(int(ends[i][0] if many else 0))) for i, (_, start, _) in enumerate(dims)]
+    spans = spans.withColumn("_low", chosen(lows)).withColumn("_high", chosen([F.col(f"_to{i}") for i in range(len(dims))]))
+    level = F.floor(F.log2((F.col("_high") - F.col("_low")).cast("double") * (1 + 1e-9)) / WIDTH_BITS) * WIDTH_BITS
+    spans = spans.withColumn("_level", F.greatest(level, F.lit(0)).cast("int"))
+    used = sorted((r["_dim"], r["_level"]) for r in spans.select("_dim", "_level").distinct().collect())  # 16 widths per dimension at most
+    cell = lambda at: F.call_function("shiftright", at.cast("bigint"), F.col("_level"))
+    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high") - 1)))).drop("_low", "_high")
+    looks = F.array(*[F.struct(F.lit(d).alias("_dim"), F.lit(v).alias("_level")) for d, v in used or [(0, 0)]])
     points = points.withColumn("_look", F.explode(looks)).select("*", "_look.*").drop("_look")
-    for i, (at, _, _) in enumerate(dims):
-        points = points.withColumn(f"_cell{i}", _cell(F.col(at), i))
-    cells = [c for i in range(len(dims)) for c in (f"_level{i}", f"_cell{i}")]
-    hot = hot_hashes(events, keys, small)
+    points = points.withColumn("_cell", cell(chosen([F.col(at) for at, _, _ in dims])))
+    hot = hot_hashes(events, keys, small) if many > small else []
+    cells = ["_dim", "_level", "_cell"]
     joined = salted(points, keys, hot).join(replicated(spans, keys, hot), [*keys, *cells, "_salt"])
     for i, (at, start, _) in enumerate(dims):
         joined = joined.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(f"_to{i}")))
     return joined.drop("_salt", *cells, *[f"_to{i}" for i in range(len(dims))])
 
 
-def _steps(stated: list[int], known: list[int]) -> Iterator[tuple[int, int | None, int, int | None]]:
+def steps(stated: list[int], known: list[int]) -> Iterator[tuple[int, int | None, int, int | None]]:
     """Rectangles (known from, known to, stated from, stated to) in which each statement is the latest one known.
 
-    ``stated`` rises; ``known`` is when each became known. As knowledge grows, a statement's reach ends at ever nearer
-    later statements; the nearest one already known when it appears bounds it from the start.
+    ``stated`` rises; ``known`` is when each became known. As knowledge grows, a statement's reach ends at ever nearer later
+    statements. From the last statement back, a stack holds those that can still bound an earlier one: the nearest, and
+    behind each the next one known sooner. What is known later than a statement bounds it in turn and then is hidden by
+    it, so that there are at most twice as many rectangles as statements.
     """
-    for i, (at, since) in enumerate(zip(stated, known)):
-        later: list[tuple[int, int]] = []
-        bound: int | None = None
-        for j in range(i + 1, len(stated)):
-            if known[j] <= since:
-                bound = stated[j]
-                break
-            later.append((known[j], stated[j]))
-        later.sort()
-        begin = since
-        for when, where in later:
-            if bound is not None and where >= bound:
-                continue
-            if when > begin:
-                yield begin, when, at, bound
-                begin = when
-            bound = where
-        yield begin, None, at, bound
+    stack: list[int] = []
+    for i in range(len(stated) - 1, -1, -1):
+        until = None
+        while stack and known[stack[-1]] > known[i]:
+            j = stack.pop()
+            if until is None or known[j] < until:
+                yield known[j], until, stated[i], stated[j]
+                until = known[j]
+        yield known[i], until, stated[i], stated[stack[-1]] if stack else None
+        stack.append(i)
 
 
 def latest_known(statements: DataFrame, keys: list[str], stated: str, known: str) -> DataFrame:
     """Validity of statements in two times: the rectangles (_known_from, _known_to) x (_stated_from, _stated_to) in which ``stated`` is the latest.
 
     ``stated`` is a DATE, so after taking the first ``known`` (BIGINT) of each date a key holds at most one row per day
-    of the calendar, however many rows it has; only these are gathered per key.
+    of the calendar, however many rows it has; only these are gathered per key, and each is passed once.
     """
     first = statements.where(F.col(stated).isNotNull() & F.col(known).isNotNull()).groupBy(*keys, F.unix_date(stated).alias("_s")).agg(F.min(known).alias("_k"))
     lists = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_s", "_k"))).alias("_list"))
     fields = [lists.schema[k] for k in keys]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["_known_from bigint", "_known_to bigint", "_stated_from bigint", "_stated_to bigint"])
+    names = ["_known_from", "_known_to", "_stated_from", "_stated_to"]
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} bigint" for n in names])
 
     def rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = {k: [] for k in (*keys, "_known_from", "_known_to", "_stated_from", "_stated_to")}
-            ids = [batch.column(k).to_pylist() for k in keys]
+            rows, found = [], []
             for row, pairs in enumerate(batch.column("_list").to_pylist()):
-                for kf, kt, sf, st in _steps([p["_s"] for p in pairs], [p["_k"] for p in pairs]):
-                    for k, values in zip(keys, ids):
-                        table[k].append(values[row])
-                    for name, value in (("_known_from", kf), ("_known_to", kt), ("_stated_from", sf), ("_stated_to", st)):
-                        table[name].append(value)
-            kinds = [batch.schema.field(k).type for k in keys] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(table.values(), kinds)], names=list(table))
+                own = list(steps([p["_s"] for p in pairs], [p["_k"] for p in pairs]))
+                found += own
+                rows += [row] * len(own)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], *[pa.array([f[i] for f in found], pa.int64()) for i in range(4)]], names=[*keys, *names])
 
     return lists.mapInArrow(rectangles, out)
 
@@ -129,15 +123,15 @@ def as_known(events: DataFrame, facts: DataFrame, keys: list[str], at: str, know
     ids = [f"_key{i}" for i in range(len(keys))]
     named = lambda df: [F.col(k).alias(i) for k, i in zip(keys, ids)]
     day = F.unix_date(stated_at).cast("bigint") if stated is not None else F.lit(None).cast("bigint")
-    asked = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_event"), *named(events), F.col(at).cast("bigint").alias("_at"), day.alias("_at_day"))
+    asked = settle(events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("_event"), *named(events), F.col(at).cast("bigint").alias("_at"), day.alias("_at_day")))  # read for its span and by the join
     said = facts.select(*named(facts), F.col(known).cast("bigint").alias("_known"), (F.col(stated) if stated is not None else F.lit(None)).cast("date").alias("_stated"), F.col(value).alias("_value")).where("_value IS NOT NULL AND _known IS NOT NULL")
     if stated is None:
         unique = said.groupBy(*ids, "_known").agg(F.max("_value").alias("_value"))
-        found = interval_join(asked, versions(unique, ids, "_known", small=small), ids, [("_at", "_known", "_until")], small)
+        found = interval_join(asked, settle(versions(unique, ids, "_known", small=small)), ids, [("_at", "_known", "_until")], small)
     else:
-        best = interval_join(asked, latest_known(said, ids, "_stated", "_known"), ids, [("_at", "_known_from", "_known_to"), ("_at_day", "_stated_from", "_stated_to")], small)
-        best = best.select("_event", *ids, "_at", F.col("_stated_from").alias("_day"))
+        best = interval_join(asked, settle(latest_known(said, ids, "_stated", "_known")), ids, [("_at", "_known_from", "_known_to"), ("_at_day", "_stated_from", "_stated_to")], small)
+        best = settle(best.select("_event", *ids, "_at", F.col("_stated_from").alias("_day")))
         unique = said.groupBy(*ids, F.unix_date("_stated").cast("bigint").alias("_day"), "_known").agg(F.max("_value").alias("_value"))
         inner = [*ids, "_day"]
-        found = interval_join(best, versions(unique, inner, "_known", small=small), inner, [("_at", "_known", "_until")], small)
+        found = interval_join(best, settle(versions(unique, inner, "_known", small=small)), inner, [("_at", "_known", "_until")], small)
     return found.select(*[F.col("_event").getField(c).alias(c) for c in events.columns if c != value], F.col("_value").alias(value))
