@@ -141,8 +141,8 @@ def test_own_words():
     flat = [w for s in subjects.own_sentences(text) for w in s]
     assert flat == ["own", "words", "here", "second", "one", "last"]
     assert subjects.own_sentences(None) == subjects.own_sentences(" \n ") == subjects.own_sentences("[quote]all[/quote]") == []
-    assert subjects.own_sentences("body\nmy closing line", frozenset(["my closing line"])) == [["body"]]
-    assert subjects.signature_lines("a\n[sig]Some 12 [b]Line[/b][/sig]") == ["some # line"]
+    assert subjects.own_sentences("body\nmy closing line", frozenset([subjects.line_hash("my closing line")])) == [["body"]]
+    assert subjects.signature_lines("a\n[sig]Some 12 [b]Line[/b][/sig]") == [subjects.line_hash("some 7 LINE")]
 
 
 def test_quotes_of_any_depth():
@@ -153,6 +153,20 @@ def test_quotes_of_any_depth():
     assert [w for s in subjects.own_sentences("own\n[quote=x]cited\n\nown") for w in s] == ["own", "own"]
 
 
+def test_signatures_sent_or_joined(spark):
+    """More signature lines than the former limit of 2,000; the table joined gives the same as the table sent."""
+    lines = [f"motto {'abcdefghij'[i // 1000]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for i in range(2_300)]
+    rows = [f"word here\n[sig]{x}[/sig]" for x in lines for _ in range(3)] + [f"own text\n\n{x}\n " for x in lines] + ["[b]tags[/b]\nbody\nseen once", "x\n[sig]seen once[/sig]", None, "", "\n"]
+    df = spark.createDataFrame(list(enumerate(rows)), "_id bigint, _text string").repartition(4)
+    both = []
+    for sent in (None, 10):
+        out = subjects._reduced(df, sent)
+        both.append({x._id: x._own for x in out.where("_bucket IS NULL").collect()})
+        assert out.select(F.explode(F.arrays_zip("_bucket", "_n")).alias("c")).where(f"c._bucket = {subjects.BUCKETS}").agg(F.sum("c._n")).first()[0] == len(rows)
+    assert both[0] == both[1] and len(both[0]) == len(rows)
+    assert all(both[0][6_900 + i] == ["own text"] for i in range(2_300)) and both[0][9_200] == ["tags", "body", "seen once"]
+
+
 def test_gradient_is_the_slope_of_the_loss():
     import numpy as np
 

@@ -5,8 +5,9 @@ is the mean of its words' vectors, a word's the mean of the vectors of itself an
 table. Each subject has an independent logistic output per sentence; a post's output combines its sentences by a
 soft maximum, so that one sentence on a second subject isn't lost in a long post.
 
-Training sums the gradients of the partitions at every step and applies them to the one model that is sent out again; the
-model has a fixed size. Every document is scored.
+At every step of the training each partition works out the gradient of its documents; the partitions' gradients are added up
+block by block before they reach the driver, which moves the one model and sends it out again. What the driver gets in a step
+is of the size of the model, which is fixed, whatever the number of partitions. Every document is scored.
 
 Defined cases: NULL, empty and blank posts, and posts without own words have no subject; labels of documents that have no
 row, and of subjects not asked for, are left out; a NULL label counts as a vote for no subject; without any label there is
@@ -27,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import settle
+from tidemark.operators.sequence import lookup
+from tidemark.session import settle, shuffle_parts
 
 #: Size of the hashed table and of the vectors, character n-grams, steps and step size of training, the cutoff of an output.
-BUCKETS, DIM, GRAMS, STEPS, RATE, CUTOFF = 1 << 16, 16, (3, 4, 5), 80, 0.05, 0.25
+BUCKETS, DIM, GRAMS, STEPS, RATE, CUTOFF = 1 << 16, 16, (3, 4, 5), 24, 0.15, 0.25
 #: How close the soft maximum over sentences is to the greatest one, and the rate below which a word counts in full.
 SHARPNESS, COMMON = 4.0, 0.003
-#: Most labelled documents that are learned from (chosen by hash, so evenly), and partitions of training.
-MOST_LABELLED, TRAIN_PARTS = 30_000, 6
-#: A closing line is a signature if it is among the most frequent ones in marked signatures, at most so many, each seen so often.
-MOST_SIGNATURES, SIGNATURE_SEEN = 2_000, 3
+#: Most labelled documents that are learned from (chosen by hash, so evenly), those of a partition, and the buckets of a block of gradients.
+MOST_LABELLED, PART_LABELLED, BLOCK = 30_000, 1_500, 1 << 11
+#: A closing line is a signature if so many posts mark it as one. A table of up to so many such lines is sent to the tasks, a larger one is joined.
+SIGNATURE_SEEN, SIGNATURES_SENT = 3, 200_000
 
 #: Opening and closing tags that can enclose a quote; those of the last kind do so only with the word in the opening tag.
 _QUOTE_TAGS = [re.compile(r"\[(/?)(quote)[^\]]*\]", re.I), re.compile(r"<(/?)(blockquote)[^>]*>", re.I), re.compile(r"<(/?)div([^>]*)>", re.I)]
@@ -46,6 +48,9 @@ _RULE = re.compile(r"^\s*(?:-{2,3}|_{3,}|—{1,3}|={3,}|\*{3,})\s*$")
 _WROTE = re.compile(r"^\s*\S{1,40}(?: \S{1,20})? (?:wrote|schrieb|escribió|写道)\s*[:：]\s*$", re.I)
 _TAG = re.compile(r"\[/?(?:url|b|i|u|s|color|size|font|img|code|quote|sig|list|\*)\b[^\]]*\]|</?[a-zA-Z][^<>]{0,200}>", re.I)
 _BREAK = re.compile(r"<br\s*/?>|</p>|\r\n?|[\u2028\u2029\x85\x0b\x0c]", re.I)
+_ODD_BREAK = re.compile("[<\r\u2028\u2029\x85\x0b\x0c]")
+#: What every text with a marked signature contains.
+_MARKED = r"(?i)\[sig\]|--|___|—|===|\*\*\*"
 _LINK = re.compile(r"https?://\S+|www\.\S+", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _HAN = re.compile(r"[㐀-鿿]+")
@@ -73,26 +78,38 @@ def _without_quotes(text: str, tags: re.Pattern[str]) -> str:
 
 
 def _lines(text: str) -> tuple[list[str], list[str]]:
-    """(own lines, marked signature lines), quotes taken off, tags left in."""
-    t = _BREAK.sub("\n", text)
-    for tags in _QUOTE_TAGS:
-        t = _without_quotes(t, tags)
-    t = _OPEN_QUOTE.sub("\n", t)
-    signs = [line for m in _SIGNATURE.findall(t) for line in m.split("\n")]
+    """(own lines, marked signature lines), quotes taken off, tags left in. Patterns are only tried on texts that hold their first characters."""
+    t = _BREAK.sub("\n", text) if _ODD_BREAK.search(text) else text
+    square, angle = "[" in t, "<" in t
+    for tags, able in zip(_QUOTE_TAGS, (square, angle, angle)):
+        if able:
+            t = _without_quotes(t, tags)
+    if square or angle:
+        t = _OPEN_QUOTE.sub("\n", t)
+    signs: list[str] = []
+    if square:
+        signs = [line for m in _SIGNATURE.findall(t) for line in m.split("\n")]
+        t = _SIGNATURE.sub("\n", t)
     own = []
-    lines = _SIGNATURE.sub("\n", t).split("\n")
+    lines = t.split("\n")
     for n, line in enumerate(lines):
-        if _RULE.match(line) and 0 < sum(1 for x in lines[n + 1 :] if x.strip()) <= 3:
+        bare = line.strip()
+        if bare[:1] in _RULE_SIGNS and _RULE.match(line) and 0 < sum(1 for x in lines[n + 1 :] if x.strip()) <= 3:
             signs += lines[n + 1 :]
             break
-        if line.lstrip().startswith((">", "&gt;", "|", "»")) or _WROTE.match(line):
+        if bare.startswith((">", "&gt;", "|", "»")) or (bare[-1:] in (":", "：") and _WROTE.match(line)):
             continue
         own.append(line)
     return own, signs
 
 
+_RULE_SIGNS = frozenset("-_—=*")
+
+
 def _plain(text: str) -> str:
-    return unicodedata.normalize("NFKC", html.unescape(text)).lower()
+    if "&" in text:
+        text = html.unescape(text)
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
 def plain_line(line: str) -> str:
@@ -100,24 +117,48 @@ def plain_line(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", _plain(_TAG.sub("", line)))).strip()
 
 
-def signature_lines(text: str | None) -> list[str]:
-    return [p for p in map(plain_line, _lines(text)[1] if text else []) if p]
+def line_hash(line: str) -> int:
+    """A signed 64-bit hash of the line for comparison; 0 if there is nothing in it."""
+    import xxhash
 
+    plain = plain_line(line)
+    return (xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1) - (1 << 63) if plain else 0
 
-def own_sentences(text: str | None, signatures: frozenset[str] = frozenset()) -> list[list[str]]:
-    """The words of each sentence of the post's own text."""
-    if not text or not text.strip():
-        return []
-    lines = _lines(text)[0]
-    while lines and (not lines[-1].strip() or plain_line(lines[-1]) in signatures):
-        lines.pop()
+
+def signature_lines(text: str | None) -> list[int]:
+    return [h for h in map(line_hash, _lines(text)[1] if text else []) if h]
+
+
+def own_lines(text: str | None) -> list[str]:
+    return _lines(text)[0] if text and text.strip() else []
+
+
+def without_signature(lines: list[str], signatures: frozenset[int]) -> list[str]:
+    """The lines without those at the end that are blank or signatures."""
+    n = len(lines)
+    while n and (not lines[n - 1].strip() or (h := line_hash(lines[n - 1])) == 0 or h in signatures):
+        n -= 1
+    return lines[:n]
+
+
+def sentences(lines: list[str]) -> list[list[str]]:
+    """The words of each sentence of a post's own lines."""
     out = []
     for line in lines:
-        for part in _END.split(html.unescape(_TAG.sub(" ", line))):
-            words = []
-            part = _plain(_LINK.sub(" hyperlink ", part))
+        if "[" in line or "<" in line:
+            line = _TAG.sub(" ", line)
+        if "&" in line:
+            line = html.unescape(line)
+        for part in _END.split(line):
+            part = _plain(part)
+            if "http" in part or "www." in part:
+                part = _LINK.sub(" hyperlink ", part)
+            ascii_only, words = part.isascii(), []
             for w in _WORD.findall(part):
-                runs = _HAN.findall(w)
+                if w.isalpha() and ascii_only:
+                    words.append(w)
+                    continue
+                runs = () if ascii_only else _HAN.findall(w)
                 if runs:
                     for r in runs:
                         words += [r[i : i + 2] for i in range(len(r) - 1)] or [r]
@@ -130,6 +171,11 @@ def own_sentences(text: str | None, signatures: frozenset[str] = frozenset()) ->
     return out
 
 
+def own_sentences(text: str | None, signatures: frozenset[int] = frozenset()) -> list[list[str]]:
+    """The words of each sentence of the post's own text."""
+    return sentences(without_signature(own_lines(text), signatures))
+
+
 def _hash(s: str) -> int:
     import xxhash
 
@@ -293,53 +339,87 @@ def votes(labels: DataFrame, ident: str, subject: str, rater: str, subjects: lis
     return told.groupBy("_id").agg(shares.alias("_votes"))
 
 
-def _reduced(documents: DataFrame, signatures: frozenset[str]) -> DataFrame:
-    """(_id, _own): the sentences of each document as words joined by blanks."""
+def _signatures(documents: DataFrame) -> DataFrame:
+    """(_hash) of the lines that at least SIGNATURE_SEEN posts mark as their signature, counted over all posts."""
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [[" ".join(s) for s in own_sentences(t, signatures)] for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(own, pa.list_(pa.string()))], names=["_id", "_own"])
+            found = [x for t in b.column("_text").to_pylist() for x in set(signature_lines(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["_hash"])
 
-    return documents.mapInArrow(reduce, f"_id {documents.schema['_id'].dataType.simpleString()}, _own array<string>")
+    marked = documents.where(F.col("_text").rlike(_MARKED)).select("_text")
+    return marked.mapInArrow(lines, "_hash bigint").groupBy("_hash").count().where(F.col("count") >= SIGNATURE_SEEN).select("_hash")
 
 
-def _unpack(column: pa.Array) -> list[list[list[str]]]:
-    return [[s.split(" ") for s in own] for own in column.to_pylist()]
+class _Counter:
+    """In how many documents each bucket's words occur; comes out as one row at the end of a partition."""
 
+    def __init__(self) -> None:
+        self.seen, self.buckets = np.zeros(BUCKETS + 1, np.int64), {}
 
-def common_signatures(documents: DataFrame) -> frozenset[str]:
-    """The most frequent lines of the signatures that posts mark as such, counted over all posts."""
+    def add(self, own: list[list[str]]) -> None:
+        known = self.buckets
+        at = {known[w] if w in known else known.setdefault(w, _hash(w)) for s in own for w in s}
+        self.seen[list(at)] += 1
+        self.seen[BUCKETS] += 1
+        if len(known) > 500_000:
+            known.clear()
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(self, kind: pa.DataType) -> pa.RecordBatch:
+        at = np.flatnonzero(self.seen)
+        return pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([None], pa.list_(pa.string())), pa.array([at], pa.list_(pa.int64())), pa.array([self.seen[at]], pa.list_(pa.int64()))], names=["_id", "_own", "_bucket", "_n"])
+
+
+def _reduce(rows: DataFrame, column: str, sentences_of) -> DataFrame:
+    """(_id, _own, _bucket, _n): each document's own sentences as words joined by blanks, and a row of word counts (_bucket, _n) per partition; settled."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, kind = _Counter(), None
         for b in batches:
-            found = [x for t in b.column("_text").to_pylist() for x in set(signature_lines(t))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["_line"])
+            kind, packed = b.column("_id").type, []
+            for row in zip(*[b.column(c).to_pylist() for c in column.split()]):
+                own = sentences_of(*row)
+                counter.add(own)
+                packed.append([" ".join(s) for s in own])
+            none = pa.nulls(len(packed), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(packed, pa.list_(pa.string())), none, none], names=["_id", "_own", "_bucket", "_n"])
+        if kind is not None:
+            yield counter.row(kind)
+
+    return settle(rows.select("_id", *column.split()).mapInArrow(reduce, f"_id {rows.schema['_id'].dataType.simpleString()}, _own array<string>, _bucket array<bigint>, _n array<bigint>"))
+
+
+def _reduced(documents: DataFrame, sent: int | None = None) -> DataFrame:
+    """``_reduce`` of the documents without their signatures."""
+    found = _signatures(documents)
+    some = [r["_hash"] for r in found.limit((SIGNATURES_SENT if sent is None else sent) + 1).collect()]
+    if len(some) <= (SIGNATURES_SENT if sent is None else sent):
+        signatures = documents.sparkSession.sparkContext.broadcast(frozenset(some))
+        return _reduce(documents, "_text", lambda text: own_sentences(text, signatures.value))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [own_lines(t) for t in b.column("_text").to_pylist()]
+            hashes = [[line_hash(x) for x in own] for own in lines]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_id"), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], names=["_row", "_id", "_lines", "_hashes"])
+
+    numbered = documents.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", "_text")
+    parts = settle(numbered.mapInArrow(split, f"_row bigint, _id {documents.schema['_id'].dataType.simpleString()}, _lines array<string>, _hashes array<bigint>"))
+    lines = parts.select("_row", F.posexplode("_hashes").alias("_at", "_hash")).where("_hash <> 0")
+    other = lookup(lines, settle(found).withColumn("_sign", F.lit(True)), ["_hash"]).where("_sign IS NULL")
+    kept = parts.join(other.groupBy("_row").agg((F.max("_at") + 1).alias("_keep")), "_row", "left").withColumn("_keep", F.coalesce("_keep", F.lit(0)))
+    return _reduce(kept, "_lines _keep", lambda own, keep: sentences(own[:keep]))
 
-    seen = documents.select("_text").mapInArrow(lines, "_line string").groupBy("_line").count().where(F.col("count") >= SIGNATURE_SEEN)
-    return frozenset(r["_line"] for r in seen.orderBy(F.desc("count"), "_line").limit(MOST_SIGNATURES).collect())
+
+def _unpack(column: pa.Array) -> list[list[list[str]]]:
+    return [[s.split(" ") for s in own] for own in column.to_pylist()]
 
 
 def rarity(reduced: DataFrame) -> np.ndarray:
     """The weight of a word by its bucket: near 1 for rare words, small for those in many documents; counted over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, cache = np.zeros(BUCKETS + 1, np.int64), 0, {}
-        for b in batches:
-            for own in b.column("_own").to_pylist():
-                n += 1
-                words = {w for s in own for w in s.split(" ")}
-                for bucket in {cache[w] if w in cache else cache.setdefault(w, _hash(w)) for w in words}:
-                    seen[bucket] += 1
-            if len(cache) > 500_000:
-                cache.clear()
-        seen[BUCKETS] = n
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["_bucket", "_n"])
-
-    rows = reduced.select("_own").mapInArrow(count, "_bucket int, _n bigint").groupBy("_bucket").agg(F.sum("_n").alias("_n")).collect()  # at most BUCKETS + 1 rows
+    counts = reduced.where("_bucket IS NOT NULL").select(F.explode(F.arrays_zip("_bucket", "_n")).alias("_c")).groupBy("_c._bucket").agg(F.sum("_c._n").alias("_n"))
     seen = np.zeros(BUCKETS + 1)
-    for r in rows:
+    for r in counts.collect():  # at most BUCKETS + 1 rows
         seen[r["_bucket"]] = r["_n"]
     return (COMMON / (COMMON + seen[:BUCKETS] / max(seen[BUCKETS], 1))).astype(np.float32)
 
@@ -347,13 +427,22 @@ def rarity(reduced: DataFrame) -> np.ndarray:
 _parsed: dict[tuple[str, int], Batch] = {}
 
 
-def train(reduced: DataFrame, ballots: DataFrame, subjects: list[str], weights: np.ndarray, most: int = MOST_LABELLED, parts: int = TRAIN_PARTS, steps: int = STEPS) -> Model | None:
+def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The sum of one block's gradients."""
+    total = sum(np.frombuffer(x, np.float32) for x in table.column("_g").to_pylist())
+    return pa.table({"_block": pa.array([key[0].as_py()], pa.int32()), "_g": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(reduced: DataFrame, ballots: DataFrame, subjects: list[str], weights: np.ndarray, most: int = MOST_LABELLED, steps: int = STEPS) -> Model | None:
     """Fit on the labelled documents (at most ``most``, chosen by hash); None if there are none."""
-    chosen = ballots.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = settle(reduced.join(chosen, "_id").where(F.size("_own") > 0).select("_own", "_votes").repartition(parts))
+    chosen = settle(ballots.orderBy(F.xxhash64("_id"), "_id").limit(most))
+    spark = reduced.sparkSession
+    parts = max(1, min(shuffle_parts(spark), -(-chosen.count() // PART_LABELLED)))
+    rows = settle(reduced.where(F.size("_own") > 0).join(chosen, "_id").select("_own", "_votes").repartition(parts))
     if rows.isEmpty():
         return None
-    context, run = reduced.sparkSession.sparkContext, uuid.uuid4().hex
+    context, run = spark.sparkContext, uuid.uuid4().hex
+    weights_sent = context.broadcast(weights)
 
     def gradients(model: Model) -> list[tuple]:
         sent = context.broadcast((model.table, model.out, model.bias))
@@ -373,23 +462,26 @@ def train(reduced: DataFrame, ballots: DataFrame, subjects: list[str], weights:
                 _parsed[place] = b
             b = _parsed[place]
             if b.n_docs:
-                touched, table, out, bias, loss, weight = gradient(b, *sent.value)
-                packed = [x.tobytes() for x in (touched, table, out, bias)]
-                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in packed], pa.array([loss]), pa.array([weight])], names=["t", "e", "o", "b", "l", "w"])
+                touched, part, out, bias, loss, weight = gradient(b, *sent.value)
+                table = np.zeros((BUCKETS, DIM), np.float32)
+                table[touched] = part
+                blocks = [*table.reshape(-1, BLOCK * DIM), np.concatenate([out.ravel(), bias.ravel(), np.asarray([loss, weight], np.float32)])]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["_block", "_g"])
 
-        found = rows.mapInArrow(work, "t binary, e binary, o binary, b binary, l double, w double").collect()  # one row per partition, as large as the model
+        found = rows.mapInArrow(work, "_block int, _g binary").groupBy("_block").applyInArrow(_added, "_block int, _g binary").collect()  # the size of the model
         sent.destroy()
-        floats = lambda x, *shape: np.frombuffer(bytes(x), np.float32).reshape(shape)
-        return [(np.frombuffer(bytes(r["t"]), np.int64), floats(r["e"], -1, DIM), floats(r["o"], DIM, -1), floats(r["b"], -1), r["l"], r["w"]) for r in found]
+        at = {r["_block"]: np.frombuffer(bytes(r["_g"]), np.float32) for r in found}
+        last, k = at.pop(BUCKETS // BLOCK), len(subjects)
+        table = np.concatenate([at[i] for i in range(BUCKETS // BLOCK)]).reshape(BUCKETS, DIM)
+        return [(np.arange(BUCKETS), table, last[: DIM * k].reshape(DIM, k), last[DIM * k : DIM * k + k], float(last[-2]), float(last[-1]))]
 
-    weights_sent = context.broadcast(weights)
     return fit(subjects, weights, gradients, steps)
 
 
 def classify(documents: DataFrame, ident: str, text: str, labels: DataFrame, label_ident: str, label_subject: str, rater: str, subjects: list[str], cutoff: float = CUTOFF, most: int = MOST_LABELLED, steps: int = STEPS) -> DataFrame:
     """(ident, subject, score) for every document and subject whose output reaches ``cutoff``."""
     rows = documents.where(F.col(ident).isNotNull()).select(F.col(ident).alias("_id"), F.col(text).cast("string").alias("_text"))
-    reduced = settle(_reduced(rows, common_signatures(rows)))
+    reduced = _reduced(rows)
     weights = rarity(reduced)
     model = train(reduced, votes(labels, label_ident, label_subject, rater, subjects), subjects, weights, most, steps=steps) if subjects else None
     kind = reduced.schema["_id"].dataType.simpleString()
@@ -409,4 +501,4 @@ def classify(documents: DataFrame, ident: str, text: str, labels: DataFrame, lab
             if len(known) > 200_000:
                 known.clear()
 
-    return reduced.mapInArrow(score, f"_id {kind}, subject string, score double").withColumnRenamed("_id", ident)
+    return reduced.where("_bucket IS NULL").select("_id", "_own").mapInArrow(score, f"_id {kind}, subject string, score double").withColumnRenamed("_id", ident)
