@@ -54,6 +54,7 @@ _MARKED = r"(?i)\[sig\]|--|___|—|===|\*\*\*"
 _LINK = re.compile(r"https?://\S+|www\.\S+", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _HAN = re.compile(r"[㐀-鿿]+")
+_SPECIAL = re.compile(r"[\d㐀-鿿]")
 _END = re.compile(r"[.!?。！？…;；]+(?:\s|$)|[。！？；]")
 _LEET = str.maketrans("0134578", "oieastb")
 
@@ -153,12 +154,13 @@ def sentences(lines: list[str]) -> list[list[str]]:
             part = _plain(part)
             if "http" in part or "www." in part:
                 part = _LINK.sub(" hyperlink ", part)
-            ascii_only, words = part.isascii(), []
+            if not _SPECIAL.search(part):
+                if words := _WORD.findall(part):
+                    out.append(words)
+                continue
+            words = []
             for w in _WORD.findall(part):
-                if w.isalpha() and ascii_only:
-                    words.append(w)
-                    continue
-                runs = () if ascii_only else _HAN.findall(w)
+                runs = _HAN.findall(w)
                 if runs:
                     for r in runs:
                         words += [r[i : i + 2] for i in range(len(r) - 1)] or [r]
