@@ -41,6 +41,23 @@ def test_trailing_totals_of_nothing(spark):
     assert trailing_totals(df, "e", "d", ["m"], [Days(7, "w")], sessions).count() == 0
 
 
+def test_extreme_amounts_enter_and_leave(spark, tmp_path):
+    """Amounts and returns that no decimal holds count in their windows and leave nothing behind."""
+    from tidemark.plans import market
+
+    sessions, work = cal(spark, 45)
+    sessions.write.parquet(f"{tmp_path}/trade_calendar.parquet")
+    rows = [(i, "000001", datetime(d.year, d.month, d.day, 10), 10.0, 1.0, 1e300 if i == 3 else 1e22 if i == 4 else 7.25, 1e13 if i == 5 else 0.5, datetime(2024, 6, 1)) for i, d in enumerate(work)]
+    spark.createDataFrame(rows, "price_id bigint, code string, date timestamp_ntz, close double, volume double, amount double, pct_change double, loaded_ts timestamp_ntz").write.parquet(f"{tmp_path}/prices.parquet")
+    got = {x.day: x for x in market.trailing(spark, str(tmp_path)).collect()}
+    assert got[work[3]].amount_20s == 1e300 + 3 * 7.25 and math.isclose(got[work[5]].ret_20s, 1e11) and got[work[5]].n_ret_20s == 6
+    for i in (40, 44):
+        x = got[work[i]]
+        assert x.amount_20s == 145.0 and math.isclose(x.ret_20s, 0.1) and abs(x.ret_std_20s) < 1e-9 and x.n_ret_20s == 20 and math.isclose(x.compound_20s, 1.005**20 - 1)
+    few = {x.day: x for x in market.trailing(spark, str(tmp_path), market.WINDOWS[2:], True).collect()}
+    assert sorted(few) == work and all(few[d].amount_20s == got[d].amount_20s for d in work)
+
+
 def test_grid_equals_brute_force(spark, small_chunks):
     sessions, work = cal(spark, 12)
     r = random.Random(5)

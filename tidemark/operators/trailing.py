@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sessions import day_index
+
 
 @dataclass(frozen=True)
 class Days:
@@ -33,12 +35,12 @@ class Sessions:
     name: str
 
 
-def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str], windows: list[Days | Sessions], sessions: DataFrame, until: Column | None = None) -> DataFrame:
+def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str], windows: list[Days | Sessions], sessions: DataFrame, until: Column | None = None, on_sessions: bool = False) -> DataFrame:
     """One row per entity and day from its first day to ``until`` (the last session by default): ``{measure}_{window}`` totals and ``n_{measure}_{window}`` counts, ``active`` (the day has a row) and ``since`` (the entity's first day).
 
     ``daily`` should hold one row per entity and day (a partial aggregate of any number of readings), so that an entity has
     as many rows as there are days and no key grows with its readings. Decimal measures make the totals exact.
-    ``sessions`` is the calendar (session_date, session_idx), a small table.
+    ``sessions`` is the calendar (session_date, session_idx), a small table. With ``on_sessions`` only the days of sessions come out, with ``session_idx``.
     """
     ends = sessions.select(F.col("session_idx").alias("_end_idx"), F.col("session_date").alias("_end_date"))
     rows = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(F.col(entity).alias("_e"), F.col(day).cast("date").alias("_d"), *[F.col(m).alias(f"_m_{m}") for m in measures])
@@ -69,5 +71,11 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str]
     next_at = F.lead("_at").over(in_time)
     totals = steps.select("_e", "_at", F.coalesce(F.date_sub(next_at, 1), F.greatest("_at", end)).alias("_to"), (F.col("_active") == 1).alias("_active"), F.min("_at").over(Window.partitionBy("_e")).alias("_since"), *[F.coalesce(F.sum(f"_s_{n}").over(so_far), F.lit(0)).alias(n) for n in names])
     spread = totals.withColumn("_to", F.least("_to", F.greatest(end, F.lit("1970-01-01").cast("date")))).where("_to >= _at")
-    days = spread.withColumn("_day", F.explode(F.sequence("_at", "_to")))
-    return days.select(F.col("_e").alias(entity), F.col("_day").alias(day), (F.coalesce("_active", F.lit(False)) & (F.col("_day") == F.col("_at"))).alias("active"), F.col("_since").alias("since"), *names)
+    if on_sessions:
+        index = day_index(sessions)
+        first, final = index.select(F.col("day").alias("_at"), F.col("idx_ge").alias("_i")), index.select(F.col("day").alias("_to"), F.col("idx_le").alias("_j"))
+        held = spread.join(first, "_at").join(final, "_to").where("_i <= _j").withColumn("session_idx", F.explode(F.sequence("_i", "_j")))
+        days, more = held.join(sessions.select("session_idx", F.col("session_date").alias("_day")), "session_idx"), ["session_idx"]
+    else:
+        days, more = spread.withColumn("_day", F.explode(F.sequence("_at", "_to"))), []
+    return days.select(F.col("_e").alias(entity), F.col("_day").alias(day), (F.coalesce("_active", F.lit(False)) & (F.col("_day") == F.col("_at"))).alias("active"), F.col("_since").alias("since"), *more, *names)

@@ -19,19 +19,36 @@ WINDOWS = [Days(7, "7d"), Days(30, "30d"), Sessions(20, "20s")]
 ADV_TOLERANCE, RATE_TOLERANCE, LEAST_RETURNS = 0.005, 0.0005, 10
 
 
-def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per code and session: amount, and the session's return with what its trailing statistics need.
+#: Amounts and returns below these are added up in decimals, so that what leaves a window takes off exactly what it brought, however
+#: many there are. Greater ones, which no market has, are added up as doubles beside them.
+DECIMAL_AMOUNT, DECIMAL_RETURN = 1e24, 1e8
+MEASURES = ["amount", "amount_over", "ret", "ret_sq", "ret_over", "ret_sq_over", "log_growth", "ruin", "flip"]
 
-    Amounts, returns and their squares are decimals, so that what leaves a window takes off exactly what it brought. A
-    return of 10^10 or more counts as missing.
-    """
+
+def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per code and session: amount, and the session's return with what its trailing statistics need."""
     held = on_session(current_readings(read(spark, sf_dir, "prices"), ["amount", "pct_change"]), calendar(spark, sf_dir))
-    growth = 1 + finite("pct_change") / 100
-    amount = finite("amount").try_cast("decimal(24,4)")
-    by_day = held.groupBy("code", "session_date").agg(F.coalesce(F.sum(amount), F.lit(0).cast("decimal(24,4)")).cast("decimal(24,4)").alias("amount"), F.product(growth).alias("_g"))
-    g, ret = F.col("_g"), (F.col("_g") - 1).try_cast("decimal(28,18)")
-    square = F.when(ret.isNotNull(), ((F.col("_g") - 1) * (F.col("_g") - 1)).try_cast("decimal(35,18)"))
-    return by_day.select("code", F.col("session_date").alias("day"), "amount", ret.alias("ret"), square.alias("ret_sq"), F.when(g != 0, F.ln(F.abs(g))).alias("log_growth"), F.when(g == 0, 1).alias("ruin"), F.when(g < 0, 1).alias("flip"))
+    amount, growth = finite("amount"), 1 + finite("pct_change") / 100
+    exact = lambda x, most, kind: F.when(F.abs(x) < most, x).try_cast(kind)
+    over = lambda x, most: F.when(F.abs(x) >= most, x)
+    total = F.coalesce(F.sum(exact(amount, DECIMAL_AMOUNT, "decimal(28,4)")), F.lit(0)).cast("decimal(38,4)")
+    by_day = held.groupBy("code", "session_date").agg(total.alias("amount"), F.sum(over(amount, DECIMAL_AMOUNT)).alias("amount_over"), F.product(growth).alias("_g"))
+    g = F.col("_g")
+    r, square = g - 1, (g - 1) * (g - 1)
+    in_range = lambda x, y: F.when(F.abs(r) < DECIMAL_RETURN, x).otherwise(y)
+    return by_day.select(
+        "code",
+        F.col("session_date").alias("day"),
+        "amount",
+        "amount_over",
+        in_range(r, None).try_cast("decimal(28,18)").alias("ret"),
+        in_range(square, None).try_cast("decimal(35,18)").alias("ret_sq"),
+        in_range(None, r).alias("ret_over"),
+        in_range(None, square).alias("ret_sq_over"),
+        F.when(g != 0, F.ln(F.abs(g))).try_cast("decimal(28,18)").alias("log_growth"),
+        F.when(g == 0, 1).alias("ruin"),
+        F.when(g < 0, 1).alias("flip"),
+    )
 
 
 def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,23 +58,25 @@ def p1_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[(F.round(c, digits(c)) + 0.0).alias(c) if k == "double" else F.col(c) for c, k in rows.dtypes])
 
 
-def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trailing(spark: SparkSession, sf_dir: str, windows: list[Days | Sessions] | None = None, on_sessions: bool = False) -> DataFrame:
     """Totals and averages of amount and returns per code and day over 7 and 30 days and 20 sessions, days without trade included.
 
     Averages of amount count days without activity as 0, those of returns are over the sessions that have one.
     ``n_ret_*`` counts these; fewer than one (two for the deviation) gives NULL.
     """
-    measures = ["amount", "ret", "ret_sq", "log_growth", "ruin", "flip"]
-    totals = trailing_totals(session_activity(spark, sf_dir), "code", "day", measures, WINDOWS, calendar(spark, sf_dir))
-    columns = ["code", "day", "active", "since"]
-    for w in WINDOWS:
-        n, total, squares = (F.col(f"{x}_{w.name}").cast("double") for x in ("n_ret", "ret", "ret_sq"))
+    windows = WINDOWS if windows is None else windows
+    totals = trailing_totals(session_activity(spark, sf_dir), "code", "day", MEASURES, windows, calendar(spark, sf_dir), on_sessions=on_sessions)
+    columns = ["code", "day", "active", "since", *(["session_idx"] if on_sessions else [])]
+    for w in windows:
+        both = lambda x: F.col(f"{x}_{w.name}").cast("double") + F.col(f"{x}_over_{w.name}")  # noqa: B023, E731
+        n = (F.col(f"n_ret_{w.name}") + F.col(f"n_ret_over_{w.name}")).cast("double")
+        amount, total, squares = both("amount"), both("ret"), both("ret_sq")
         spread = F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0)))
-        compound = F.when(F.col(f"ruin_{w.name}") > 0, 0.0).otherwise(F.exp(f"log_growth_{w.name}") * (1 - 2 * F.pmod(F.col(f"flip_{w.name}"), F.lit(2)))) - 1
+        compound = F.when(F.col(f"ruin_{w.name}") > 0, 0.0).otherwise(F.exp(F.col(f"log_growth_{w.name}").cast("double")) * (1 - 2 * F.pmod(F.col(f"flip_{w.name}"), F.lit(2)))) - 1
         columns += [
-            F.col(f"amount_{w.name}").cast("double").alias(f"amount_{w.name}"),
-            (F.col(f"amount_{w.name}").cast("double") / w.length).alias(f"amount_avg_{w.name}"),
-            F.col(f"n_ret_{w.name}"),
+            amount.alias(f"amount_{w.name}"),
+            (amount / w.length).alias(f"amount_avg_{w.name}"),
+            n.cast("bigint").alias(f"n_ret_{w.name}"),
             F.when(n > 0, total).alias(f"ret_{w.name}"),
             F.when(n > 0, total / n).alias(f"ret_avg_{w.name}"),
             F.when(n > 1, spread).alias(f"ret_std_{w.name}"),
@@ -67,9 +86,9 @@ def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored trailing values of ``liquidity`` that the recomputed ones contradict."""
+    """Stored trailing values of ``liquidity`` that the recomputed ones contradict; only the window they need is worked out, on sessions."""
     sessions = calendar(spark, sf_dir)
-    totals = trailing(spark, sf_dir).join(sessions, F.col("day") == F.col("session_date")).select("code", "session_date", "session_idx", "since", "amount_avg_20s", "n_ret_20s", "ret_std_20s", "compound_20s")
+    totals = trailing(spark, sf_dir, WINDOWS[2:], True).select("code", F.col("day").alias("session_date"), "session_idx", "since", "amount_avg_20s", "n_ret_20s", "ret_std_20s", "compound_20s")
     first = sessions.select(F.col("session_date").alias("since"), F.col("session_idx").alias("_first_idx"))
     right = totals.join(first, "since").where("session_idx - _first_idx >= 20")
     stored = read(spark, sf_dir, "liquidity").select(F.col("liq_id").cast("bigint").alias("liq_id"), canonical_code("code").alias("code"), F.col("date").cast("date").alias("session_date"), *[finite(c).alias(f"_{c}") for c in ("adv20", "volatility_20d", "momentum_20d")])
