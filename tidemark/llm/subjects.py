@@ -158,16 +158,16 @@ def sentences(lines: list[str]) -> list[list[str]]:
                 if words := _WORD.findall(part):
                     out.append(words)
                 continue
+            plain = lambda w: w if w.isalpha() or not any(map(str.isdigit, w)) else w.translate(_LEET)
             words = []
-            for w in _WORD.findall(part):
+            for w in _WORD.findall(part) if _HAN.search(part) else ():
                 runs = _HAN.findall(w)
                 if runs:
                     for r in runs:
                         words += [r[i : i + 2] for i in range(len(r) - 1)] or [r]
-                elif w.isdigit():
-                    continue
-                else:
-                    words.append(w.translate(_LEET) if any(c.isdigit() for c in w) else w)
+                elif not w.isdigit():
+                    words.append(plain(w))
+            words = words or [plain(w) for w in _WORD.findall(part) if not w.isdigit()]
             if words:
                 out.append(words)
     return out
