@@ -16,19 +16,30 @@ def test_cache_round_trip(spark, tmp_path):
         return pd.DataFrame({"a": [1, "x", None], "b": [1.0, 2.0, 3.0]})
 
     waits = []
-    get = lambda **k: cache.fetch(spark, str(tmp_path), "bars", {"code": "1"}, call, sleep=waits.append, **k)
-    assert [r.a for r in get().orderBy("b").collect()] == ["1", "x", None] and len(calls) == 2 and waits == [1.0]
+    store = cache.Store(spark, str(tmp_path), sleep=waits.append)
+    get = lambda **k: store.get("bars", {"code": "1"}, call, **k)
+    assert [r.a for r in get().orderBy("b").collect()] == ["1", "x", None] and len(calls) == 2 and waits == [1.5]
     get()
     assert len(calls) == 2
     get(force=True)
     assert len(calls) == 3
-    (tmp_path / "bars" / "broken.meta.json").write_text("{")
-    listed = cache.cached(spark, str(tmp_path)).collect()
-    assert [(r.interface, r.rows) for r in listed] == [("bars", 3)]
-    assert cache.cached(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "_notes" / "broken.json").write_text("{")
+    listed = store.listing().collect()
+    assert [(r.interface, r.params, r.rows, r.columns) for r in listed] == [("bars", '{"code": "1"}', 3, ["a", "b"])]
+    assert cache.Store(spark, str(tmp_path / "none")).listing().count() == 0
     with pytest.raises(cache.SourceError):
-        cache.fetch(spark, str(tmp_path), "other")
-    assert cache.cache_key("a", {"x": 1, "y": 2}) == cache.cache_key("a", {"y": 2, "x": 1}) != cache.cache_key("b", {"x": 1, "y": 2})
+        store.get("other")
+
+    def down(**params):
+        raise OSError("down")
+
+    waits.clear()
+    with pytest.raises(cache.SourceError, match="down"):
+        store.get("gone", call=down)
+    assert waits == [1.5, 1.5**2, 1.5**3]
+    a, b, c = (cache.Request(i, p).name for i, p in (("a", {"x": 1, "y": 2}), ("a", {"y": 2, "x": 1}), ("b", {"x": 1, "y": 2})))
+    assert a == b != c and len(cache.Request("a", {"x": "long " * 50}).name) <= 73
+    assert store.get("none", call=lambda: pd.DataFrame({"a": [None], "b": [True]})).first().asDict() == {"a": None, "b": True}
 
 
 def test_fallback_breaker_bulk(spark):
@@ -54,8 +65,9 @@ def test_files(spark, tmp_path):
     files.save_csv(df, str(tmp_path / "c"))
     assert sorted(files.load_csv(spark, str(tmp_path / "c"), "k string, v double").collect()) == sorted(df.collect())
     assert files.load_csv(spark, str(tmp_path / "none"), "k string") is None
-    files.save_json(files.Settings(), str(tmp_path / "s.json"))
-    assert files.load_json(str(tmp_path / "s.json"))["lag"] == 4 and files.load_json(str(tmp_path / "x.json")) is None
+    files.save_json(spark, files.Settings(), str(tmp_path / "s.json"))
+    files.save_json(spark, files.Settings(), str(tmp_path / "s.json"))
+    assert files.load_json(spark, str(tmp_path / "s.json"))["lag"] == 4 and files.load_json(spark, str(tmp_path / "x.json")) is None
     assert files.Settings().fingerprint() == files.Settings().fingerprint() != files.Settings(lag=1).fingerprint()
     assert files.markdown_table(["a"], [("x|y",), (None,)]).splitlines()[2] == "| x\\|y |"
 

@@ -1,78 +1,109 @@
-"""A file cache of fetched tables: parquet with a provenance sidecar each, retries, bulk fetching, a breaker."""
+"""A store of fetched tables on the session's file system: one parquet table per request, notes on where each came from, bulk fetching, a breaker.
+
+    root/<interface>/<request>/     the table
+    root/_notes/*.json              one note per request, read together as the listing
+"""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import re
 import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
-from pathlib import Path
+from hashlib import sha256
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-META_SCHEMA = "interface string, params string, rows bigint, version string, fetched_at string, sha256 string, columns array<string>"
+from tidemark.sources import storage
+
+NOTE = "interface string, params string, rows bigint, version string, fetched_at string, sha256 string, columns array<string>"
+#: How much of a request can be read in its name, and the digits of the hash that tells requests apart.
+READABLE, DIGITS = 60, 12
 
 
 class SourceError(RuntimeError):
-    """A source that failed after all its retries."""
-
-
-def cache_key(interface: str, params: dict | None = None) -> str:
-    """A readable part of up to 60 characters and 12 digits of a hash over the sorted parameters."""
-    text = json.dumps(params or {}, sort_keys=True, ensure_ascii=False, default=str)
-    digest = hashlib.sha256(f"{interface}|{text}".encode()).hexdigest()[:12]
-    readable = re.sub(r"[^0-9A-Za-z_-]+", "-", "-".join(str(v) for _, v in sorted((params or {}).items()))).strip("-")[:60]
-    return f"{readable}-{digest}" if readable else digest
-
-
-def _plain(frame: pd.DataFrame) -> pd.DataFrame:
-    """Columns with values of several kinds become text, so that they fit one column type."""
-    out = frame.copy()
-    for c in out.columns[out.dtypes == object]:
-        if out[c].dropna().map(type).nunique() > 1:
-            out[c] = out[c].map(lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else str(v))
-    return out
-
-
-def fetch(spark: SparkSession, root: str, interface: str, params: dict | None = None, call: Callable[..., pd.DataFrame] | None = None, force: bool = False, retries: int = 4, backoff: float = 1.5, version: str = "", sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """The cached table of a call, fetched and stored first if it isn't there or ``force`` is set."""
-    base = Path(root) / interface / cache_key(interface, params)
-    data, meta = base.with_suffix(".parquet"), base.with_suffix(".meta.json")
-    if force or not data.exists():
-        if call is None:
-            raise SourceError(f"{interface} isn't cached and there is nothing to call")
-        frame, last = None, None
-        for attempt in range(max(1, retries)):
+    """A source that failed after all its tries."""
+
+
+@dataclass(frozen=True)
+class Request:
+    interface: str
+    params: dict = field(default_factory=dict)
+
+    @property
+    def text(self) -> str:
+        """The parameters in one spelling, whatever their order."""
+        return json.dumps(self.params, sort_keys=True, ensure_ascii=False, default=str)
+
+    @property
+    def name(self) -> str:
+        values = "_".join(str(self.params[k]) for k in sorted(self.params))
+        mark = sha256(f"{self.interface} {self.text}".encode()).hexdigest()[:DIGITS]
+        return re.sub("[^0-9A-Za-z]+", "_", values)[:READABLE].strip("_") + "." + mark
+
+
+def columnar(frame: pd.DataFrame) -> pa.Table:
+    """A column that holds values of several kinds, which no one type fits, becomes text; so does one without any value."""
+
+    def column(values: pd.Series) -> pa.Array:
+        try:
+            found = pa.array(values, from_pandas=True)
+            if not pa.types.is_null(found.type):
+                return found
+        except (pa.ArrowInvalid, pa.ArrowTypeError):
+            pass
+        return pa.array([None if pd.isna(v) else str(v) for v in values], pa.string())
+
+    return pa.table({str(name): column(frame[name]) for name in frame.columns})
+
+
+class Store:
+    """Tables by request. ``root`` must be a place that the executors reach too."""
+
+    def __init__(self, spark: SparkSession, root: str, tries: int = 4, backoff: float = 1.5, sleep: Callable[[float], None] = time.sleep):
+        self.spark, self.root, self.tries, self.backoff, self.sleep = spark, root.rstrip("/"), max(1, tries), backoff, sleep
+
+    def get(self, interface: str, params: dict | None = None, call: Callable[..., pd.DataFrame] | None = None, force: bool = False, version: str = "") -> DataFrame:
+        """The stored table of a request, fetched first if it isn't there or ``force`` is set."""
+        request = Request(interface, params or {})
+        table = f"{self.root}/{interface}/{request.name}"
+        if force or not storage.exists(self.spark, f"{table}/_SUCCESS"):
+            if call is None:
+                raise SourceError(f"{interface} isn't stored and there is nothing to call")
+            self._keep(request, table, columnar(self._asked(request, call)), version)
+        return self.spark.read.parquet(table)
+
+    def _asked(self, request: Request, call: Callable[..., pd.DataFrame]) -> pd.DataFrame:
+        waits = [self.backoff**n for n in range(1, self.tries)]
+        for wait in [*waits, None]:
             try:
-                frame = call(**(params or {}))
-                break
+                return call(**request.params)
             except Exception as error:  # a source can fail in any way
-                last = error
-                if attempt + 1 < retries:
-                    sleep(backoff**attempt)
-        if frame is None:
-            raise SourceError(f"{interface}: {last}") from last
-        data.parent.mkdir(parents=True, exist_ok=True)
-        part = data.with_suffix(".part")
-        _plain(frame).to_parquet(part, index=False)
-        os.replace(part, data)
-        note = {"interface": interface, "params": json.dumps(params or {}, sort_keys=True, ensure_ascii=False, default=str), "rows": len(frame), "version": version, "fetched_at": datetime.now(timezone.utc).isoformat(), "sha256": hashlib.sha256(data.read_bytes()).hexdigest(), "columns": [str(c) for c in frame.columns]}
-        meta.write_text(json.dumps(note, ensure_ascii=False))
-    return spark.read.parquet(str(data))
-
-
-def cached(spark: SparkSession, root: str) -> DataFrame:
-    """The sidecars as a table; unreadable ones are left out."""
-    if not any(Path(root).glob("*/*.meta.json")):
-        return spark.createDataFrame([], META_SCHEMA)
-    rows = spark.read.schema(META_SCHEMA + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/*.meta.json")
-    return rows.where(F.col("_corrupt_record").isNull() & F.col("interface").isNotNull()).drop("_corrupt_record")
+                if wait is None:
+                    raise SourceError(f"{request.interface}: {error}") from error
+            self.sleep(wait)
+        raise AssertionError
+
+    def _keep(self, request: Request, table: str, found: pa.Table, version: str) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, found.schema) as writer:
+            writer.write_table(found)
+        self.spark.createDataFrame(found).coalesce(1).write.mode("overwrite").parquet(table)
+        note = dict(interface=request.interface, params=request.text, rows=found.num_rows, version=version, fetched_at=datetime.now(timezone.utc).isoformat(), sha256=sha256(sink.getvalue()).hexdigest(), columns=found.column_names)
+        storage.write_text(self.spark, f"{self.root}/_notes/{request.interface}.{request.name}.json", json.dumps(note, ensure_ascii=False))
+
+    def listing(self) -> DataFrame:
+        """The notes as a table; unreadable ones are left out."""
+        if not storage.exists(self.spark, f"{self.root}/_notes"):
+            return self.spark.createDataFrame([], NOTE)
+        rows = self.spark.read.schema(NOTE + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(f"{self.root}/_notes")
+        return rows.where(F.col("_corrupt_record").isNull() & F.col("interface").isNotNull()).drop("_corrupt_record")
 
 
 class Breaker:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from dataclasses import asdict, dataclass, field, is_dataclass
 from hashlib import sha256
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources import storage
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,7 +37,7 @@ def save_panel(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def load_panel(spark: SparkSession, path: str) -> DataFrame:
-    if "://" not in path and not Path(path).exists():
+    if not storage.exists(spark, path):
         raise FileNotFoundError(path)
     return spark.read.parquet(path)
 
@@ -50,30 +49,18 @@ def save_csv(df: DataFrame, path: str) -> None:
 
 def load_csv(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """None if the file is missing or empty."""
-    p = Path(path)
-    files = [p] if p.is_file() else list(p.glob("*.csv"))
-    if not any(f.stat().st_size for f in files):
+    if not storage.exists(spark, path) or spark.read.text(path).isEmpty():
         return None
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def save_json(value: object, path: str) -> None:
-    atomic_text(path, json.dumps(asdict(value) if is_dataclass(value) else value, ensure_ascii=False, indent=1, default=str))
-
-
-def load_json(path: str) -> object | None:
-    p = Path(path)
-    return json.loads(p.read_text()) if p.is_file() and p.stat().st_size else None
+def save_json(spark: SparkSession, value: object, path: str) -> None:
+    storage.write_text(spark, path, json.dumps(asdict(value) if is_dataclass(value) else value, ensure_ascii=False, indent=1, default=str))
 
 
-def atomic_text(path: str, text: str) -> None:
-    """Write beside the target and rename, so that readers see the old or the new text."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, part = tempfile.mkstemp(dir=target.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(part, target)
+def load_json(spark: SparkSession, path: str) -> object | None:
+    text = storage.read_text(spark, path)
+    return json.loads(text) if text else None
 
 
 def markdown_table(headers: list[str], rows: list[tuple]) -> str:
