@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import packing, subjects, tokens
 from tidemark.llm.cutoff import cutoffs, holding_scores
 from tidemark.llm.nearest import nearest
-from tidemark.session import micros
+from tidemark.session import micros, settle
 from tidemark.sources.tables import canonical_code, read
 
 #: Problem 2: the tolerance in hours.
@@ -71,6 +71,29 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("containers", "pieces", "tokens", "fullest", F.ceil(F.col("tokens") / CONTAINER_TOKENS).alias("least_containers"), (F.col("tokens") / (F.col("containers") * CONTAINER_TOKENS)).alias("fill"))
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what must hold: every post is in a container or several in a row, none is split that fits one, none lost, and no container is too full."""
+    packed = settle(p9_pack(spark, sf_dir))
+    sizes = tokens.encode(read(spark, sf_dir, "documents"), "doc_id", "text", tokens.vocabulary(spark), count=True)
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pieces"), F.sum("n_tokens").alias("_packed"))
+    both = sizes.join(per, "doc_id", "full_outer")
+    posts = both.agg(F.count("n").alias("posts"), F.count_if(F.col("_packed").isNull()).alias("missing"), F.count_if(F.col("n").isNull()).alias("unknown"), F.count_if(F.col("n") != F.col("_packed")).alias("other_size"), F.count_if((F.col("n") <= CONTAINER_TOKENS) & (F.col("_pieces") > 1)).alias("split_needlessly"))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("_load")).agg(F.count_if(F.col("_load") > CONTAINER_TOKENS).alias("over_full"))
+    return posts.withColumn("_one", F.lit(1)).join(full.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def p10_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what must hold: as many posts and characters as the corpus has, no subject or post that isn't there, no subject of a blank post, none twice."""
+    found = settle(p10_scores(spark, sf_dir))
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct("subject").alias("_subjects"), F.min("score").alias("_least"), F.max("score").alias("_most"))
+    both = texts.join(per, "doc_id", "full_outer")
+    known = read(spark, sf_dir, "subjects").select("subject").distinct()
+    strange = found.join(known, "subject", "left_anti").agg(F.count(F.lit(1)).alias("strange_subjects")).withColumn("_one", F.lit(1))
+    sums = both.agg(F.count_if(F.col("text").isNotNull() | F.col("_rows").isNull()).alias("_a"), F.count(F.lit(1)).alias("posts"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.count_if(F.col("_rows").isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) == "")).alias("blank_with_subject"), F.count_if(F.col("_rows") != F.col("_subjects")).alias("twice"), F.count_if((F.col("_least") < subjects.CUTOFF) | (F.col("_most") > 1)).alias("out_of_range"))
+    return sums.drop("_a").withColumn("_one", F.lit(1)).join(strange, "_one").drop("_one")
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = sorted(r["subject"] for r in read(spark, sf_dir, "subjects").select("subject").where("subject IS NOT NULL").distinct().collect())  # the fixed list of areas
     return subjects.classify(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "subject_labels"), "doc_id", "subject", "rater", names)
@@ -87,7 +110,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count(F.lit(1)).alias("posts"), F.sum("chars").alias("chars"))
 
 
-QUERIES = {name: globals()[name] for name in ("p2_found", "p2_nearest", "p4_found", "p4_cutoffs", "p8_ids", "p9_pack", "p9_fill", "p10_found", "p10_makeup")}
+QUERIES = {name: globals()[name] for name in ("p2_found", "p2_nearest", "p4_found", "p4_cutoffs", "p8_ids", "p9_pack", "p9_fill", "p9_check", "p10_found", "p10_makeup", "p10_check")}
 
 HELD = """
 held AS (SELECT * FROM engine QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY scored_ts DESC) = 1),
@@ -102,6 +125,8 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(tradable_
     "p2_nearest": """WITH ev AS (SELECT DISTINCT event_id, code, tradable_ts FROM event_panel WHERE tradable_ts IS NOT NULL)
 SELECT event_id, liq_id, (epoch_us(l.date) - epoch_us(tradable_ts)) / 1e6 AS distance_s, float_mcap FROM ev JOIN (SELECT DISTINCT * FROM liquidity) l ON l.code = ev.code AND l.float_mcap IS NOT NULL AND l.date BETWEEN tradable_ts - INTERVAL 36 HOUR AND tradable_ts + INTERVAL 36 HOUR
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(tradable_ts) - epoch_us(l.date)), l.date, liq_id) = 1""",
+    "p9_check": "SELECT count(*) AS posts, 0 AS missing, 0 AS unknown, 0 AS other_size, 0 AS split_needlessly, 0 AS over_full FROM documents",
+    "p10_check": "SELECT count(*) AS posts, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, 0 AS blank_with_subject, 0 AS twice, 0 AS out_of_range, 0 AS strange_subjects FROM documents",
     "p4_found": f"WITH {HELD} SELECT cand_id FROM pos WHERE r <= greatest(1, ceil(n * target_pct / 100.0))",
     "p4_cutoffs": f"""WITH {HELD},
 k AS (SELECT run_id, cohort, any_value(target_pct) AS target_pct, min(score) AS cutoff, any_value(n) AS n_scored, count(*) AS n_kept, any_value(n_candidates) AS n_candidates, any_value(n_selected) AS n_selected FROM pos WHERE r <= greatest(1, ceil(n * target_pct / 100.0)) GROUP BY run_id, cohort)
