@@ -35,8 +35,8 @@ class Sessions:
     name: str
 
 
-def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str], windows: list[Days | Sessions], sessions: DataFrame, until: Column | None = None, on_sessions: bool = False) -> DataFrame:
-    """One row per entity and day from its first day to ``until`` (the last session by default): ``{measure}_{window}`` totals and ``n_{measure}_{window}`` counts, ``active`` (the day has a row) and ``since`` (the entity's first day).
+def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str], windows: list[Days | Sessions], sessions: DataFrame, until: Column | None = None, on_sessions: bool = False, counted: list[str] | None = None) -> DataFrame:
+    """One row per entity and day from its first day to ``until`` (the last session by default): ``{measure}_{window}`` totals and ``n_{measure}_{window}`` counts (of ``counted`` measures, all by default), ``active`` (the day has a row) and ``since`` (the entity's first day).
 
     ``daily`` should hold one row per entity and day (a partial aggregate of any number of readings), so that an entity has
     as many rows as there are days and no key grows with its readings. Decimal measures make the totals exact.
@@ -44,6 +44,7 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str]
     """
     ends = sessions.select(F.col("session_idx").alias("_end_idx"), F.col("session_date").alias("_end_date"))
     rows = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(F.col(entity).alias("_e"), F.col(day).cast("date").alias("_d"), *[F.col(m).alias(f"_m_{m}") for m in measures])
+    rows = rows.repartition("_e")  # an entity holds a row per day, and all that follows is within it
     with_idx = rows.join(sessions.select(F.col("session_date").alias("_sd"), F.col("session_idx").alias("_si")), F.col("_d") == F.col("_sd"), "left")
     expiries = []
     for i, w in enumerate(windows):
@@ -57,12 +58,15 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, measures: list[str]
     deltas = with_idx.withColumn("_x", F.explode(moments)).where("_x.at IS NOT NULL").withColumn("_at", F.col("_x.at")).withColumn("_kind", F.col("_x.kind"))
     sums, names = [], []
     for i, w in enumerate(windows):
-        counted = F.lit(True) if isinstance(w, Days) else F.col("_si").isNotNull()
+        within = F.lit(True) if isinstance(w, Days) else F.col("_si").isNotNull()
         for m in measures:
             value = F.col(f"_m_{m}")
-            signed = lambda v: F.when(counted & (F.col("_kind") == -1), v).when(counted & (F.col("_kind") == i), -v)  # noqa: B023, E731
-            sums += [F.sum(signed(value)).alias(f"_s_{m}_{w.name}"), F.sum(signed(F.when(value.isNotNull(), 1))).alias(f"_s_n_{m}_{w.name}")]
-            names += [f"{m}_{w.name}", f"n_{m}_{w.name}"]
+            signed = lambda v: F.when(within & (F.col("_kind") == -1), v).when(within & (F.col("_kind") == i), -v)  # noqa: B023, E731
+            sums.append(F.sum(signed(value)).alias(f"_s_{m}_{w.name}"))
+            names.append(f"{m}_{w.name}")
+            if counted is None or m in counted:
+                sums.append(F.sum(signed(F.when(value.isNotNull(), 1))).alias(f"_s_n_{m}_{w.name}"))
+                names.append(f"n_{m}_{w.name}")
     steps = deltas.groupBy("_e", "_at").agg(*sums, F.max(F.when(F.col("_kind") == -1, 1)).alias("_active"))
     in_time = Window.partitionBy("_e").orderBy("_at")
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -65,7 +65,7 @@ def trailing(spark: SparkSession, sf_dir: str, windows: list[Days | Sessions] |
     ``n_ret_*`` counts these; fewer than one (two for the deviation) gives NULL.
     """
     windows = WINDOWS if windows is None else windows
-    totals = trailing_totals(session_activity(spark, sf_dir), "code", "day", MEASURES, windows, calendar(spark, sf_dir), on_sessions=on_sessions)
+    totals = trailing_totals(session_activity(spark, sf_dir), "code", "day", MEASURES, windows, calendar(spark, sf_dir), on_sessions=on_sessions, counted=["ret", "ret_over"])
     columns = ["code", "day", "active", "since", *(["session_idx"] if on_sessions else [])]
     for w in windows:
         both = lambda x: F.col(f"{x}_{w.name}").cast("double") + F.col(f"{x}_over_{w.name}")  # noqa: B023, E731
@@ -136,14 +136,20 @@ def _hot_codes(spark: SparkSession, sf_dir: str) -> list[int]:
     return hot_hashes(read(spark, sf_dir, "prices").select(canonical_code("code").alias("code")), ["code"])
 
 
-def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per code and session between its first and last traded reading, filled and marked where it had none."""
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_grid(_traded(spark, sf_dir), "code", "date", "close", "volume", calendar(spark, sf_dir), hot=_hot_codes(spark, sf_dir))
 
 
+def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per code and session between its first and last traded reading, filled and marked where it had none; means to six decimals, coverage to nine, volumes to two."""
+    digits = {"mean_value": 6, "coverage": 9, "total_amount": 2}
+    rows = _grid(spark, sf_dir)
+    return rows.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions that the grid had to fill."""
-    return p5_grid(spark, sf_dir).where("status = 'filled'").select("code", F.date_format("session_date", "yyyy-MM-dd").alias("session_date"))
+    return _grid(spark, sf_dir).where("status = 'filled'").select("code", F.date_format("session_date", "yyyy-MM-dd").alias("session_date"))
 
 
 #: Problem 6: physical limits of a close, the spike threshold in median changes, the least stuck runs, the band of limit ratios.

@@ -85,3 +85,59 @@ SELECT entity, attr, v AS value, strftime(seen, '%Y-%m-%d') AS valid_from, strft
 SQL["scenario_rollup"] = f"""SELECT split_part(scenario, ':', 1) AS dimension, count(*) AS variants, round(avg(net_annual), 4) AS mean, round(avg(CAST(net_annual > 0 AS INT)), 4) AS positive_share FROM ({SQL["scenario_metrics"]}) GROUP BY 1"""
 SQL["findings"] = f"""WITH i AS ({SQL["ic_statistics"]}), m AS ({SQL["scenario_metrics"]})
 SELECT scenario, mean_ic, t_stat, net_annual, net_information_ratio, CASE WHEN mean_ic > 0 AND t_stat >= 2 AND net_annual > 0 AND net_information_ratio > 0 THEN 'confirmed' WHEN mean_ic > 0 AND t_stat >= 2 THEN 'informative, not profitable' WHEN net_annual > 0 AND net_information_ratio > 0 THEN 'profitable, not informative' ELSE 'rejected' END AS verdict FROM i JOIN m ON m.scenario = 'horizon:' || horizon"""
+
+SQL["p5_grid"] = f"""WITH {READINGS},
+t AS (SELECT code, date AS a, session_idx AS i, max(close) AS v, sum(volume) AS q FROM sess WHERE close IS NOT NULL AND volume > 0 GROUP BY ALL),
+u AS (SELECT *, lead(a) OVER w AS z, coalesce(lead(i) OVER w, i) AS j FROM t WINDOW w AS (PARTITION BY code ORDER BY a)),
+c AS (SELECT u.*, k.session_date AS day, k.session_idx AS n, CAST(k.session_date AS TIMESTAMP) AS d0, CAST(k.session_date AS TIMESTAMP) + INTERVAL 1 DAY AS d1 FROM u JOIN trade_calendar k ON k.session_idx BETWEEN u.i AND u.j),
+h AS (SELECT *, greatest(epoch_us(least(coalesce(z, d1), d1)) - epoch_us(greatest(a, d0)), 0)::DOUBLE AS held FROM c),
+g AS (SELECT code, day, count(*) FILTER (n = i) AS n_readings, arg_max(v, a) AS last_value, sum(held * v) / nullif(sum(held), 0) AS mean, sum(q) FILTER (n = i) AS total_amount, sum(held) / 86400000000 AS coverage FROM h GROUP BY code, day)
+SELECT code, CAST(day AS DATE) AS session_date, n_readings, last_value, round(coalesce(mean, last_value), 6) AS mean_value, round(total_amount, 2) AS total_amount, round(coverage, 9) AS coverage, CASE WHEN n_readings > 0 THEN 'observed' ELSE 'filled' END AS status FROM g"""
+
+
+def _passes(passes: int = 3, reach: int = 4) -> str:
+    """CTEs s1 to s{passes} of the repeated outlier tests over e, each with what they take out."""
+    over = "OVER (PARTITION BY code ORDER BY date, price_id)"
+    near = lambda side, v, k: "coalesce(" + ", ".join(f"{side}({v}, {i}) {over}" for i in range(1, k + 1)) + ")"
+    part = lambda b: f"(CASE WHEN {b} IS NULL THEN 0 ELSE th * greatest(least({b}, 3 * sc), -3 * sc) END)"
+    steps = {"0": ("d", "p1"), "1": ("n1", "d"), "2": ("n2", "n1"), "-1": ("p1", "p2")}
+
+    def beyond(step: str, sign: str, fit: bool) -> str:
+        d, before = steps[step]
+        e = part(before) if fit else "0"
+        return f"coalesce({sign}({d} - {e}) + abs({e}) > 12 * sc, false)"
+
+    def reversed_move(fit: bool) -> str:
+        return " OR ".join(f"({beyond(a, s, fit)} AND {beyond(b, r, fit)})" for a, b in (("0", "1"), ("0", "2"), ("-1", "1")) for s, r in (("", "-"), ("-", "")))
+
+    out = []
+    for t in range(1, passes + 1):
+        k = 1 if t == 1 else reach
+        if t > 1:
+            out += [
+                f"a{t} AS (SELECT code, date, price_id, x, th, sc, strict, gone, shift OR (large AND NOT new AND NOT coalesce(lag(new) {over}, false) AND NOT coalesce(lead(new) {over}, false)) AS shift FROM s{t - 1})",
+                f"b{t} AS (SELECT *, CASE WHEN gone IS NULL THEN CASE WHEN shift THEN 0 ELSE x - {near('lag', 'CASE WHEN gone IS NULL THEN x END', k)} END END AS d FROM a{t})",
+                f"c{t} AS (SELECT *, {near('lag', 'd', k)} AS p1, {near('lead', 'd', k)} AS n1 FROM b{t})",
+            ]
+        source = "e" if t == 1 else f"c{t}"
+        out.append(f"f{t} AS (SELECT *, {near('lag', 'CASE WHEN gone IS NULL THEN p1 END', k)} AS p2, {near('lead', 'CASE WHEN gone IS NULL THEN n1 END', k)} AS n2 FROM {source})")
+        strict = f"{reversed_move(False)}" if t == 1 else "strict"
+        out.append(f"g{t} AS (SELECT * REPLACE ({strict} AS strict), gone IS NULL AND ({reversed_move(True)}) AS new, gone IS NULL AND coalesce(abs(d - {part('p1')}) > 12 * sc, false) AS large FROM f{t})")
+        out.append(f"s{t} AS (SELECT * REPLACE (CASE WHEN new THEN {t} ELSE gone END AS gone) FROM g{t})")
+    return ",\n".join(out)
+
+
+SQL["p6_flags"] = SQL["p6_found"].partition("ok AS (SELECT code, date, price_id, ln(close)")[0] + f"""
+ok AS (SELECT code, date, price_id, ln(close) AS x FROM t WHERE close > 0 AND close <= 1000000),
+e0 AS (SELECT *, x - lag(x) OVER (PARTITION BY code ORDER BY date, price_id) AS d FROM ok),
+e1 AS (SELECT *, lag(d) OVER w AS p1, lead(d) OVER w AS n1 FROM e0 WINDOW w AS (PARTITION BY code ORDER BY date, price_id)),
+fit AS (SELECT code, median(abs(d)) AS sc, coalesce(sin(avg(sign(d) * sign(p1)) FILTER (d * p1 <> 0) * pi() / 2) * count(*) FILTER (d * p1 <> 0) / (count(*) FILTER (d * p1 <> 0) + 30), 0) AS th FROM e1 GROUP BY code),
+e AS (SELECT e1.*, th, sc, NULL::INT AS gone, false AS shift, false AS strict FROM e1 JOIN fit USING (code)),
+{_passes()},
+q AS""" + SQL["p6_found"].partition("q AS")[2].partition("SELECT DISTINCT tbl, row_id FROM (")[0] + """SELECT DISTINCT tbl, code, row_id, reason, in_pass, strict FROM (
+SELECT 'prices' AS tbl, code, price_id AS row_id, 'limit' AS reason, 1 AS in_pass, true AS strict FROM t WHERE close <= 0 OR close > 1000000
+UNION ALL SELECT 'prices', code, price_id, 'stuck', 1, true FROM t WHERE price_id IN (SELECT price_id FROM stuck)
+UNION ALL SELECT 'prices', code, price_id, 'spike', gone, strict FROM s3 WHERE gone IS NOT NULL
+UNION ALL SELECT 'feed', code, quote_id, 'limit', 1, true FROM q JOIN qm USING (code) WHERE limit_up <= 0 OR abs(limit_up / nullif(limit_down, 0) / usual - 1) > 0.03
+UNION ALL SELECT 'feed', code, quote_id, 'stuck', 1, true FROM qn WHERE n >= 6 AND limit_up IS NOT NULL AND limit_down IS NOT NULL
+UNION ALL SELECT 'feed', code, quote_id, 'action', 1, true FROM qn WHERE m >= 4 AND corporate_action)"""
