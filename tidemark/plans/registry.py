@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, panel, panel_sql
+from tidemark.plans import market, panel, panel_sql, raw, raw_sql
 from tidemark.sources.tables import PLAIN_FORMS, WIDE_FORMS
 
 QUERIES = {name: getattr(market, name) for name in ("p1_found", "p1_trailing", "p3_found", "p3_known", "p5_found", "p5_grid", "p6_found", "p6_flags", "p7_found", "p7_versions")}
 
-QUERIES |= {name: getattr(panel, name) for name in panel.NAMES}
+QUERIES |= {name: getattr(panel, name) for name in panel.NAMES} | {name: getattr(raw, name) for name in raw.NAMES}
 
 #: Current readings in canonical form, as SQL.
 READINGS = r"""
@@ -63,7 +63,7 @@ steps AS (SELECT *, lag(v) OVER (PARTITION BY entity, attr ORDER BY seen, v) AS
 SELECT DISTINCT entity, attr, strftime(seen, '%Y-%m-%d') AS valid_from FROM steps WHERE p IS NULL OR p <> v""",
 }
 SQL["p7_found"] = SQL["p7_found"].replace("'WIDE'", f"'{WIDE_FORMS}'").replace("'PLAIN'", "'" + PLAIN_FORMS.replace("'", "''") + "'")
-SQL |= panel_sql.SQL
+SQL |= panel_sql.SQL | raw_sql.SQL
 
 _WINDOW = "coalesce(sum(a) OVER {w}, 0) AS amount_{n}, count(r) OVER {w} AS n_ret_{n}, sum(r) OVER {w} AS ret_{n}, stddev_samp(r) OVER {w} AS ret_std_{n}, product(1 + r) OVER {w} - 1 AS compound_{n}"
 _SHOWN = "round(amount_{n}, 4) AS amount_{n}, round(amount_{n} / {k}, 4) AS amount_avg_{n}, n_ret_{n}, round(ret_{n}, 10) AS ret_{n}, round(ret_{n} / nullif(n_ret_{n}, 0), 12) AS ret_avg_{n}, round(ret_std_{n}, 10) AS ret_std_{n}, round(compound_{n}, 10) AS compound_{n}"

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import parse_number, zfill
+from tidemark.functions.scalars import parse_number, strip_exchange, zfill
 from tidemark.operators.security import first_per_code
 from tidemark.session import require_columns
 
@@ -69,25 +69,55 @@ def one_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return ranked.where("_n = 1").drop("_n")
 
 
-def financials(raw: DataFrame, report_date: str) -> DataFrame:
-    rows = parse(raw, Layout(FINANCIALS, ["股票代码"]), report_date=F.lit(report_date).cast("date"))
+def _day(report_date: str | Column) -> Column:
+    return (F.lit(report_date) if isinstance(report_date, str) else report_date).cast("date")
+
+
+def financials(raw: DataFrame, report_date: str | Column) -> DataFrame:
+    """One row per code and report date; ``report_date`` is that of the whole table, or its column."""
+    rows = parse(raw, Layout(FINANCIALS, ["股票代码"]), report_date=_day(report_date))
     return one_per(rows, ["code", "report_date"], [F.col(c).asc_nulls_last() for c in ("name", "eps", "revenue", "net_profit")])
 
 
-def announcements(raw: DataFrame, report_date: str) -> DataFrame:
+def announcements(raw: DataFrame, report_date: str | Column) -> DataFrame:
     """Rows with an actual disclosure day; ``schedule_changes`` counts the filled change columns."""
     changes = [F.col(f"`{c}`").isNotNull().cast("int") for c in raw.columns if SCHEDULE_CHANGE in c]
-    rows = parse(raw, Layout(ANNOUNCEMENTS, ["股票代码", "实际披露时间"]), report_date=F.lit(report_date).cast("date"), schedule_changes=sum(changes, F.lit(0)))
+    rows = parse(raw, Layout(ANNOUNCEMENTS, ["股票代码", "实际披露时间"]), report_date=_day(report_date), schedule_changes=sum(changes, F.lit(0)))
     return rows.where("actual_disclosure_date IS NOT NULL").withColumn("ann_ts", F.col("actual_disclosure_date"))
 
 
-def bars_a(raw: DataFrame, code: str) -> DataFrame:
-    return parse(raw, Layout(BARS_A, ["日期"]), code=zfill(F.lit(code)), source=F.lit("a")).where("date IS NOT NULL")
+def _code(code: str | Column) -> Column:
+    return zfill(F.lit(code) if isinstance(code, str) else code)
+
+
+def bars_a(raw: DataFrame, code: str | Column) -> DataFrame:
+    return parse(raw, Layout(BARS_A, ["日期"]), code=_code(code), source=F.lit("a")).where("date IS NOT NULL")
+
+
+def adjusted_bars(raw: DataFrame, code: str | Column, adjust: str = "hfq") -> DataFrame:
+    """Bars that the vendor adjusted, with how in ``adjust``."""
+    if adjust not in ("qfq", "hfq"):
+        raise ValueError("adjust must be qfq or hfq")
+    return bars_a(raw, code).withColumn("adjust", F.lit(adjust))
+
+
+def spot_quotes(first: DataFrame | None, second: DataFrame | None) -> DataFrame:
+    """The first vendor's quotes, or those of the second if it has none: (code, price) with the exchange taken off the symbol."""
+    raw = first if first is not None else second
+    if raw is None:
+        raise ValueError("neither source has quotes")
+    return raw.select(strip_exchange(F.col("代码")).alias("code"), parse_number(F.col("最新价")).alias("price")).where("code IS NOT NULL")
+
+
+def calendar_scan(raw: DataFrame, column: str = "trade_date") -> DataFrame:
+    """(session_date, session_idx) from a vendor's calendar; without the named column the first one is taken."""
+    days = raw.select(_date(F.col(f"`{column if column in raw.columns else raw.columns[0]}`")).alias("session_date")).where("session_date IS NOT NULL").distinct()
+    return days.withColumn("session_idx", F.row_number().over(Window.orderBy("session_date")) - 1)  # one row per session
 
 
-def bars_b(raw: DataFrame, code: str) -> DataFrame:
+def bars_b(raw: DataFrame, code: str | Column) -> DataFrame:
     """The other vendor's bars: turnover as a fraction becomes percent, the change is derived from the last known close."""
-    rows = parse(raw, Layout(BARS_B, ["date"]), code=zfill(F.lit(code)), source=F.lit("b")).where("date IS NOT NULL")
+    rows = parse(raw, Layout(BARS_B, ["date"]), code=_code(code), source=F.lit("b")).where("date IS NOT NULL")
     w = Window.partitionBy("code").orderBy("date")
     known = F.last("close", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     moved = rows.withColumn("turnover", F.col("turnover") * 100).withColumn("_c", known)
@@ -103,9 +133,9 @@ def bars_with_fallback(first: DataFrame | None, second: DataFrame | None) -> Dat
     return first.unionByName(second.join(first.select("code", "date").distinct(), ["code", "date"], "left_anti"), allowMissingColumns=True)
 
 
-def corporate_actions(raw: DataFrame, report_date: str) -> DataFrame:
+def corporate_actions(raw: DataFrame, report_date: str | Column) -> DataFrame:
     """Amounts per ten shares become amounts per share; a label tells which kinds an action has."""
-    rows = parse(raw, Layout(ACTIONS, ["代码"]), report_date=F.lit(report_date).cast("date"))
+    rows = parse(raw, Layout(ACTIONS, ["代码"]), report_date=_day(report_date))
     per_share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / 10
     rows = rows.withColumn("cash_dividend_per_share", per_share("_cash")).withColumn("share_ratio", per_share("_shares")).drop("_cash", "_shares")
     shares, cash = F.col("share_ratio") > 0, F.col("cash_dividend_per_share") > 0
@@ -136,8 +166,8 @@ def name_changes(raw: DataFrame) -> DataFrame:
     return one_per(rows, ["code", "change_date"], [F.col("name_after").desc_nulls_last(), F.col("name_before").desc_nulls_last()])
 
 
-def eps_history(raw: DataFrame, code: str, since: int = 2015) -> DataFrame:
-    rows = parse(raw, Layout(EPS_HISTORY, ["报告期", "基本每股收益"]), code=zfill(F.lit(code)))
+def eps_history(raw: DataFrame, code: str | Column, since: int = 2015) -> DataFrame:
+    rows = parse(raw, Layout(EPS_HISTORY, ["报告期", "基本每股收益"]), code=_code(code))
     return rows.where(F.year("report_date") >= since)
 
 
