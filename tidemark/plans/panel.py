@@ -391,12 +391,17 @@ def scenario_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank coefficients of the out-of-sample predictions and of the surprise alone, per report date."""
-    rows = _analysis(spark, sf_dir)
-    columns = ["sue", "revenue_growth", "log_mcap", "momentum_20d", "volatility_20d"]
-    told = rows.join(models.walk_forward(rows, columns, "ret_10", "report_date", "ridge", 4, 30), "event_id")
-    long = factor.unpivot(settle(told), ["report_date", "ret_10"], {"model": "prediction", "surprise": "sue"}, "score", "_v")
-    return rounded(factor.ic_by(long, ["score", "report_date"], "_v", "ret_10", True, LEAST_PAIRS))
+    """The panel joined with the runs' scores as predictions: their rank coefficients, and the surprise's over the same events, per run and report date."""
+    latest = F.max(F.struct("scored_ts", finite("score").alias("score"), "run_id", "event_id")).alias("_l")
+    held = read(spark, sf_dir, "engine").where("cand_id IS NOT NULL").groupBy("cand_id").agg(latest).groupBy("_l.run_id", "_l.event_id").agg(F.max("_l.score").alias("prediction"))
+    told = settle(_analysis(spark, sf_dir).join(held, "event_id"))
+    long = factor.unpivot(told, ["run_id", "report_date", "ret_10"], {"prediction": "prediction", "surprise": "sue"}, "score", "_v")
+    return rounded(factor.ic_by(long, ["run_id", "score", "report_date"], "_v", "ret_10", True, LEAST_PAIRS))
+
+
+def ridge_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward ridge predictions from the surprise alone."""
+    return rounded(models.walk_forward(_analysis(spark, sf_dir), ["sue"], "ret_10", "report_date", "ridge", 4, 30), 5)
 
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,5 +530,5 @@ listed_events survivorship limit_hits suspended_sessions features features_befor
 delayed_entries forward_rates surprises seasonal_surprises signal_coverage eps_check cross_section recent_neutral ic_by_period ic_tables
 ic_table_summary ic_statistics decay quantile_periods quantile_summary regressions regression_terms regression_single regression_means
 cohort_results scenario_metrics scenario_rollup findings selected_weights monthly_turnover monthly_capacity monthly_active inverse_volatility
-capped_weights round_trip_costs prediction_scores order_requests trading_costs title_corrections correction_counts code_sets audit_sample
+capped_weights round_trip_costs prediction_scores ridge_single order_requests trading_costs title_corrections correction_counts code_sets audit_sample
 best_candidates split_blocks present_features ridge_predictions boosted_predictions""".split()

@@ -277,6 +277,20 @@ SELECT event_id, round(unexpected, 6) AS unexpected, round(deviation, 6) AS devi
     "ic_table_summary": TABLES + """, ok AS (SELECT * FROM tb WHERE ic IS NOT NULL)
 SELECT signal, horizon, group_type, count(*) AS periods, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(CAST(ic > 0 AS INT)), 6) AS positive_rate, round(min(ic), 6) AS min_ic, round(max(ic), 6) AS max_ic, round(CASE WHEN count(*) >= 3 AND stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END, 6) AS icir, round(CASE WHEN count(*) >= 3 AND stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * sqrt(count(*)) END, 6) AS t_stat FROM ok GROUP BY ALL""",
     "capped_weights": CAPPED,
+    "prediction_scores": ANALYSIS + """, hd AS (SELECT * FROM engine QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY scored_ts DESC, score DESC) = 1),
+pd AS (SELECT run_id, event_id, max(score) FILTER (isfinite(score)) AS prediction FROM hd GROUP BY ALL),
+sc AS (SELECT run_id, report_date, ret_10, unnest(['prediction', 'surprise']) AS score, unnest([prediction, sue]) AS v FROM ana JOIN pd USING (event_id)),
+rk AS (SELECT *, rank() OVER (PARTITION BY run_id, score, report_date ORDER BY v) + (count(*) OVER (PARTITION BY run_id, score, report_date, v) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY run_id, score, report_date ORDER BY ret_10) + (count(*) OVER (PARTITION BY run_id, score, report_date, ret_10) - 1) / 2.0 AS rb FROM sc WHERE v IS NOT NULL AND ret_10 IS NOT NULL)
+SELECT run_id, score, report_date, count(*) AS n, CASE WHEN count(*) >= 20 AND min(v) < max(v) AND min(ret_10) < max(ret_10) THEN round(corr(ra, rb), 6) END AS ic FROM rk GROUP BY ALL""",
+    "ridge_single": ANALYSIS + """, ok AS (SELECT event_id, report_date, sue, ret_10 AS y FROM ana WHERE ret_10 IS NOT NULL),
+dd AS (SELECT report_date, row_number() OVER (ORDER BY report_date) - 1 AS r, count(*) OVER () AS t FROM (SELECT DISTINCT report_date FROM ok)),
+bl AS (SELECT report_date, CASE WHEN r < (t % 4) * (t // 4 + 1) THEN r // (t // 4 + 1) ELSE (t % 4) + (r - (t % 4) * (t // 4 + 1)) // (t // 4) END AS b FROM dd),
+te AS (SELECT b, min(report_date) AS a, max(report_date) AS z FROM bl WHERE b > 0 GROUP BY b),
+tr AS (SELECT te.b, ok.* FROM te JOIN ok ON ok.report_date < te.a - 30),
+kept AS (SELECT b, row_number() OVER (ORDER BY b) AS fold, coalesce(median(sue), 0) AS med FROM tr GROUP BY b HAVING count(*) >= 0.3 * (SELECT count(*) FROM ok)),
+st AS (SELECT tr.b, any_value(fold) AS fold, any_value(med) AS med, avg(coalesce(sue, med)) AS m, coalesce(nullif(stddev_samp(coalesce(sue, med)), 0), 1) AS s, avg(y) AS ym FROM tr JOIN kept USING (b) GROUP BY tr.b),
+w AS (SELECT tr.b, sum((coalesce(sue, med) - m) / s * (y - ym)) / (sum(((coalesce(sue, med) - m) / s) ** 2) + 1) AS w FROM tr JOIN st USING (b) GROUP BY tr.b)
+SELECT event_id, CAST(fold AS INT) AS fold, round(ym + w * (coalesce(sue, med) - m) / s, 5) AS prediction FROM ok JOIN te ON ok.report_date BETWEEN te.a AND te.z JOIN st ON st.b = te.b JOIN w ON w.b = te.b""",
     "round_trip_costs": """WITH p AS (SELECT DISTINCT lpad(regexp_replace(translate(code, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), 6, '0') AS code, date, loaded_ts, price_id, amount FROM prices),
 b AS (SELECT code, amount AS b, true AS ib FROM p QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC, loaded_ts DESC NULLS LAST, price_id DESC) = 1),
 s AS (SELECT code, min(momentum_20d * adv20) AS s, true AS isd FROM liquidity GROUP BY code),
