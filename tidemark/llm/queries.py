@@ -56,6 +56,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read(spark, sf_dir, "documents"), "doc_id", "text", tokens.vocabulary(spark))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what must hold: every document has ids, and the bytes of the ids joined are the text (empty for NULL)."""
+    ranks, texts = tokens.vocabulary(spark), read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = tokens.decode(tokens.encode(texts, "doc_id", "text", ranks), "doc_id", "ids", ranks).withColumnRenamed("text", "_back")
+    both = texts.join(back, "doc_id", "full_outer")
+    same = F.col("_back") == F.coalesce("text", F.lit(""))
+    return both.agg(F.count("_back").alias("documents"), F.count_if(F.col("_back").isNull()).alias("missing"), F.count_if(~F.coalesce(same, F.lit(False))).alias("unequal"))
+
+
 def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each post (or piece of one over a container) with its tokens and its container."""
     sizes = tokens.encode(read(spark, sf_dir, "documents"), "doc_id", "text", tokens.vocabulary(spark), count=True)
@@ -110,7 +119,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count(F.lit(1)).alias("posts"), F.sum("chars").alias("chars"))
 
 
-QUERIES = {name: globals()[name] for name in ("p2_found", "p2_nearest", "p4_found", "p4_cutoffs", "p8_ids", "p9_pack", "p9_fill", "p9_check", "p10_found", "p10_makeup", "p10_check")}
+QUERIES = {name: globals()[name] for name in ("p2_found", "p2_nearest", "p4_found", "p4_cutoffs", "p8_ids", "p8_check", "p9_pack", "p9_fill", "p9_check", "p10_found", "p10_makeup", "p10_check")}
 
 HELD = """
 held AS (SELECT * FROM engine QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY scored_ts DESC) = 1),
@@ -125,6 +134,7 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(tradable_
     "p2_nearest": """WITH ev AS (SELECT DISTINCT event_id, code, tradable_ts FROM event_panel WHERE tradable_ts IS NOT NULL)
 SELECT event_id, liq_id, (epoch_us(l.date) - epoch_us(tradable_ts)) / 1e6 AS distance_s, float_mcap FROM ev JOIN (SELECT DISTINCT * FROM liquidity) l ON l.code = ev.code AND l.float_mcap IS NOT NULL AND l.date BETWEEN tradable_ts - INTERVAL 36 HOUR AND tradable_ts + INTERVAL 36 HOUR
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(tradable_ts) - epoch_us(l.date)), l.date, liq_id) = 1""",
+    "p8_check": "SELECT count(*) AS documents, 0 AS missing, 0 AS unequal FROM documents",
     "p9_check": "SELECT count(*) AS posts, 0 AS missing, 0 AS unknown, 0 AS other_size, 0 AS split_needlessly, 0 AS over_full FROM documents",
     "p10_check": "SELECT count(*) AS posts, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, 0 AS blank_with_subject, 0 AS twice, 0 AS out_of_range, 0 AS strange_subjects FROM documents",
     "p4_found": f"WITH {HELD} SELECT cand_id FROM pos WHERE r <= greatest(1, ceil(n * target_pct / 100.0))",

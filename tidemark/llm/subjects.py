@@ -19,7 +19,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -426,9 +425,6 @@ def rarity(reduced: DataFrame) -> np.ndarray:
     return (COMMON / (COMMON + seen[:BUCKETS] / max(seen[BUCKETS], 1))).astype(np.float32)
 
 
-_parsed: dict[tuple[str, int], Batch] = {}
-
-
 def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The sum of one block's gradients."""
     total = sum(np.frombuffer(x, np.float32) for x in table.column("_g").to_pylist())
@@ -440,30 +436,31 @@ def train(reduced: DataFrame, ballots: DataFrame, subjects: list[str], weights:
     chosen = settle(ballots.orderBy(F.xxhash64("_id"), "_id").limit(most))
     spark = reduced.sparkSession
     parts = max(1, min(shuffle_parts(spark), -(-chosen.count() // PART_LABELLED)))
-    rows = settle(reduced.where(F.size("_own") > 0).join(chosen, "_id").select("_own", "_votes").repartition(parts))
+    context, fields = spark.sparkContext, ["feats", "feat_word", "words", "word_sentence", "word_weight", "sentence_doc", "votes"]
+    weights_sent = context.broadcast(weights)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = list(batches)
+        own = [d for b in tables for d in _unpack(b.column("_own"))]
+        if own:
+            b = batch(own, weights_sent.value)
+            b.votes = np.asarray([v for t in tables for v in t.column("_votes").to_pylist()], np.float32)
+            yield pa.RecordBatch.from_arrays([*[pa.array([getattr(b, f).tobytes()], pa.binary()) for f in fields], pa.array([b.n_docs], pa.int32())], names=[*fields, "n"])
+
+    # one row per partition: its documents in index form, so that a step only reads arrays
+    told = reduced.where(F.size("_own") > 0).join(chosen, "_id").select("_own", "_votes").repartition(parts)
+    rows = settle(told.mapInArrow(index, ", ".join(f"{f} binary" for f in fields) + ", n int"))
     if rows.isEmpty():
         return None
-    context, run = spark.sparkContext, uuid.uuid4().hex
-    weights_sent = context.broadcast(weights)
 
     def gradients(model: Model) -> list[tuple]:
         sent = context.broadcast((model.table, model.out, model.bias))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            place = (run, TaskContext.get().partitionId())
-            if place not in _parsed:  # a worker that serves the partition again needn't parse it again
-                tables = list(batches)
-                own = [d for b in tables for d in _unpack(b.column("_own"))]
-                b = batch(own, weights_sent.value)
-                b.votes = np.asarray([v for t in tables for v in t.column("_votes").to_pylist()], np.float32).reshape(len(own), len(subjects))
-                b.weight = np.ones(len(own), np.float32)
-                for old in [k for k in _parsed if k[0] != run]:
-                    del _parsed[old]
-                _parsed[place] = b
-            b = _parsed[place]
-            if b.n_docs:
+            for row in (r for b in batches for r in b.to_pylist()):
+                ints = [np.frombuffer(row[f], np.int64) for f in ("feats", "feat_word", "words", "word_sentence", "sentence_doc")]
+                b = Batch(*ints[:4], np.frombuffer(row["word_weight"], np.float32), ints[4], row["n"])
+                b.votes, b.weight = np.frombuffer(row["votes"], np.float32).reshape(row["n"], -1), np.ones(row["n"], np.float32)
                 touched, part, out, bias, loss, weight = gradient(b, *sent.value)
                 table = np.zeros((BUCKETS, DIM), np.float32)
                 table[touched] = part
