@@ -231,9 +231,14 @@ def test_side_costs(spark):
     assert got["a"] == pytest.approx(0.0011) and got["d"] == pytest.approx(0.0006) and got["e"] == pytest.approx(0.0008)
 
 
-def test_mean_variance():
-    w = portfolio.mean_variance(np.array([0.1, 0.0]), np.eye(2) * 0.04, 1.0, 0.8)
-    assert np.allclose(w, [0.8, 0.2], atol=1e-4)
+def test_mean_variance(spark):
+    mu = spark.createDataFrame([("p", "a", 0.1), ("p", "b", 0.0), ("q", "a", None), ("q", "b", None), ("q", "c", None)], "k string, n string, expected double")
+    cov = spark.createDataFrame([("p", "a", "a", 0.04), ("p", "b", "b", 0.04), ("q", "a", "a", 0.01), ("q", "b", "b", 0.02), ("q", "c", "c", 0.04), ("q", "a", "zz", 9.0)], "k string, i string, j string, cov double")
+    got = {(x.k, x.n): x.weight for x in portfolio.mean_variance(mu, cov, "k", "n", aversion=1.0, most=0.8).collect()}
+    assert got["p", "a"] == pytest.approx(0.8, abs=1e-4) and got["p", "b"] == pytest.approx(0.2, abs=1e-4)
+    assert [got["q", n] for n in "abc"] == pytest.approx([4 / 7, 2 / 7, 1 / 7], abs=1e-3)  # least variance
+    held = {x.n: x.weight for x in portfolio.mean_variance(mu.where("k = 'q'"), cov, "k", "n", least=0.3).collect()}
+    assert held == pytest.approx({"a": 0.4, "b": 0.3, "c": 0.3}, abs=1e-3)
 
 
 def test_turnover_and_weights(spark):
@@ -268,10 +273,19 @@ def test_folds_leave_a_gap(spark):
     assert len(got) == 4
     for train, test in got:
         assert (test.agg(F.min("d")).first()[0] - train.agg(F.max("d")).first()[0]).days > 2
-    net = models.fit_net(np.linspace(-1, 1, 50)[:, None], np.linspace(-1, 1, 50) ** 2)
-    assert abs(net.predict(np.array([[0.5]]))[0] - 0.25) < 0.1
-    with pytest.raises(ValueError):
-        models.fit_net(np.array([[np.nan]]), np.array([1.0]))
+    curve = spark.createDataFrame([(x, x * x) for x in map(float, np.linspace(-1, 1, 60))], "x double, y double").repartition(2)
+    net = models.fit_net(curve, ["x"], "y", (16, 8), 60, 0.05)
+    got = models.predict_net(spark.createDataFrame([(0.5,), (None,)], "x double"), net, ["x"]).collect()
+    assert abs(got[0].prediction - 0.25) < 0.1 and got[1].prediction is None
+    for wrong in (curve.withColumn("y", F.lit(float("nan"))), curve.where("false")):
+        with pytest.raises(ValueError):
+            models.fit_net(wrong, ["x"], "y")
+    x, y = np.random.default_rng(1).normal(size=(5, 3)), np.arange(5.0)
+    ws = [np.random.default_rng(2).normal(size=s) for s in ((3, 4), (4,), (4, 1), (1,))]
+    loss = lambda w: ((models.Net(w).predict(x) - y) ** 2).sum()
+    up = [w.copy() for w in ws]
+    up[0][1, 2] += 1e-6
+    assert (loss(up) - loss(ws)) / 1e-6 == pytest.approx(models.net_slope(ws, x, y)[0][1, 2], rel=1e-3, abs=1e-3)
     with pytest.raises(ValueError):
         models.feature_columns(df, ["fwd_ret_5"])
 

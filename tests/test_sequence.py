@@ -60,3 +60,21 @@ def test_exact_median_and_quantiles(spark):
     probs = [0, 0.01, 0.2, 0.5, 0.95, 1]
     for x in S.exact_quantiles(df, ["k"], "v", probs, "q").collect():
         assert np.allclose(x.q, np.quantile(by[x.k], probs))
+
+
+def test_positions_of_a_key_with_any_name(spark):
+    for name in ("_all", "_here", "_key0"):
+        df = spark.createDataFrame([("a", i) for i in range(20)] + [(None, 3)], f"`{name}` string, i int").repartition(3)
+        assert sorted((x.i, x.p) for x in S.positions(df, [name], [F.col("i")], "p").where(f"`{name}` IS NOT NULL").collect()) == [(i, i) for i in range(20)]
+
+
+def test_keys_beyond_the_bound_stay_whole(spark, small_chunks, monkeypatch):
+    """More large keys than are split: the others are sorted in one place, and no row is lost."""
+    monkeypatch.setattr(S, "HOT_PER_PARTITION", 1)  # four of the nine with the tests' partitions
+    rows = [(f"k{k}", i) for k in range(9) for i in range(20 + k)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(3)
+    hot = S.hot_hashes(df, ["k"], 10)
+    assert len(hot) == S.shuffle_parts(spark) < 9
+    cut = S.chunked(df, ["k"], [F.col("i")], 1, 10)
+    got = cut.withColumn("p", F.lag("i").over(S.chunk_window(["k"], [F.col("i")]))).where("_own").select("k", "i", "p").collect()
+    assert sorted((x.k, x.i, x.p) for x in got if x.i) == sorted((k, i, i - 1) for k, i in rows if i) and len(got) == len(rows)

@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import functions as F
 
 from tidemark.operators.grid import to_grid
-from tidemark.operators.history import history
+from tidemark.operators.history import contents, depths, differing, history
 from tidemark.operators.spikes import fits, implausible, outliers
 from tidemark.operators.trailing import Days, Sessions, trailing_totals
 
@@ -233,6 +233,28 @@ def test_history_equals_brute_force(spark, small_chunks):
     assert history(df.where("false"), "k", "at", "v", "year(_at)").count() == 0
 
 
+def test_equal_branches_are_left(spark):
+    """Of a snapshot that repeats the last one no leaf is compared, of one with three changes three leaves at most."""
+    rows = [(f"k{i}", m, f"v{i}{'x' if m >= 3 and i in (7, 77, 777) else ''}") for i in range(1000) for m in (1, 2, 3, 4) for _ in range(2)]
+    df = spark.createDataFrame(rows, "k string, _period bigint, v string").select("_period", F.xxhash64("k").alias("_hash"), F.xxhash64("v").alias("_said"))
+    content = contents(df)
+    for levels in (depths(1000), depths(1000, 3), [1, 4, 5]):
+        open_leaves = dict(differing(content, levels).groupBy("_period").count().collect())
+        assert set(open_leaves) == {1, 3} and open_leaves[3] <= 3
+    assert depths(0) == [2] and depths(10**9)[-1] == 31 and depths(1000) == [8, 11]
+
+
+def test_two_values_in_one_snapshot(spark):
+    """The same two values in each of two months are four versions, in whichever order they came."""
+    at = lambda m, d: datetime(2024, m, d)
+    data = [("k", at(1, 2), "x"), ("k", at(1, 3), "y"), ("k", at(2, 2), "x"), ("k", at(2, 3), "y"), ("k", at(3, 1), "y"), ("l", at(1, 1), "x"), ("l", at(3, 1), "x")]
+    df = spark.createDataFrame(data, "k string, at timestamp_ntz, v string")
+    got = {(x.k, x.valid_from) for x in history(df, "k", "at", "v", "month(_at)").collect()}
+    assert got == {("k", at(1, 2)), ("k", at(1, 3)), ("k", at(2, 2)), ("k", at(2, 3)), ("l", at(1, 1))}
+    told = spark.createDataFrame([("k", at(1, 2), "x", at(5, 1)), ("k", at(1, 2), "y", at(4, 1)), ("k", at(1, 3), "x", at(1, 3))], "k string, at timestamp_ntz, v string, told timestamp_ntz")
+    assert [x.v for x in history(told, "k", "at", "v", "month(_at)", "told").collect()] == ["x"]
+
+
 def test_clashing_columns_pass_through(spark):
     rows = [("k", i, 5.0, "mine", 1, 2.5) for i in range(7)]
     df = spark.createDataFrame(rows, "code string, i int, v double, reason string, _chunk int, _e double")

@@ -40,14 +40,16 @@ def price_features(bars: DataFrame, adv_window: int = 20, momentum_window: int =
 def attach_before(events: DataFrame, bars: DataFrame, date: str, features: list[str]) -> DataFrame:
     """As-of join, strictly backward: each event with the features of its code's last bar before ``date``.
 
-    One exchange by code: events and bars are merged in order of time, and an event stands before the bars of its day.
+    The days asked for and the bars are merged in order of time, a day asked for before the bar of that day, so that a code holds two
+    rows per day at most, however many events it has. Events without a code or date get NULLs.
     """
     held_type = bars.select(F.struct(*features).alias("x")).schema["x"].dataType
-    e = events.select("code", F.col(date).alias("_t"), F.lit(0).alias("_kind"), F.struct(*events.columns).alias("_event"), F.lit(None).cast(held_type).alias("_bar"))
-    b = bars.select("code", F.col("date").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(e.schema["_event"].dataType).alias("_event"), F.struct(*features).alias("_bar"))
+    asked = events.select("code", F.col(date).alias("_t")).where("code IS NOT NULL AND _t IS NOT NULL").distinct()
+    asked = asked.withColumns({"_kind": F.lit(0), "_bar": F.lit(None).cast(held_type)})
+    known = bars.select("code", F.col("date").alias("_t"), F.lit(1).alias("_kind"), F.struct(*features).alias("_bar"))
     w = Window.partitionBy("code").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = e.unionByName(b).withColumn("_bar", F.last("_bar", True).over(w)).where("_kind = 0")
-    return held.select("_event.*", *[F.col(f"_bar.{c}").alias(c) for c in features])
+    held = asked.unionByName(known).withColumn("_bar", F.last("_bar", True).over(w)).where("_kind = 0").select(F.col("code").alias("_c"), "_t", "_bar")
+    return events.join(held, (F.col("code") == F.col("_c")) & (F.col(date) == F.col("_t")), "left").select(*[F.col(f"`{c}`") for c in events.columns], *[F.col(f"_bar.{c}").alias(c) for c in features])
 
 
 def limit_moves(bars: DataFrame, flagged: DataFrame | None = None, tolerance: float = 0.005) -> DataFrame:

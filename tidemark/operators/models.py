@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -100,7 +103,7 @@ def fit_linear(rows: DataFrame, target: str, alpha: float = 0.0):
     return LinearRegression(featuresCol="_x", labelCol=target, solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha / n * (spread or 1.0)).fit(rows)
 
 
-def fit_boosted(rows: DataFrame, target: str, trees: int = 30, rate: float = 0.05, depth: int = 4):
+def fit_boosted(rows: DataFrame, target: str, trees: int = 300, rate: float = 0.05, depth: int = 4):
     return GBTRegressor(featuresCol="_x", labelCol=target, maxIter=trees, stepSize=rate, maxDepth=depth, seed=42).fit(rows)
 
 
@@ -118,41 +121,82 @@ class Net:
         return x[:, 0]
 
 
-def fit_net(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] = (64, 32), epochs: int = 200, rate: float = 0.01) -> Net:
-    """Trained by full-batch Adam on a bounded sample; NaN is refused."""
-    if not (np.isfinite(x).all() and np.isfinite(y).all()):
-        raise ValueError("missing values")
+def net_slope(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The gradient of the sum of squared errors over the rows, per weight array."""
+    acts = [x]
+    for i in range(0, len(weights), 2):
+        z = acts[-1] @ weights[i] + weights[i + 1]
+        acts.append(np.maximum(z, 0) if i + 2 < len(weights) else z)
+    d, out = (acts[-1][:, 0] - y)[:, None] * 2, []
+    for layer in range(len(weights) // 2 - 1, -1, -1):
+        out = [acts[layer].T @ d, d.sum(0), *out]
+        d = (d @ weights[2 * layer].T) * (acts[layer] > 0)
+    return out
+
+
+def fit_net(rows: DataFrame, columns: list[str], target: str, hidden: tuple[int, ...] = (64, 32), epochs: int = 60, rate: float = 0.01) -> Net:
+    """Trained by full-batch Adam; each partition works out the gradient of its rows, which is of the size of the net whatever their number.
+
+    A NULL, NaN or infinite value in a column or the target is refused with ValueError, as is a table without rows.
+    """
+    numbers = [F.col(c).cast("double") for c in [*columns, target]]
+    held = settle(rows.select(F.array(*numbers[:-1]).alias("x"), numbers[-1].alias("y")))
+    bad = F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf")))
+    n, wrong = held.agg(F.count(F.lit(1)), bad).first()
+    if wrong or not n:
+        raise ValueError("missing values" if wrong else "no rows")
     rng = np.random.default_rng(42)
-    sizes = [x.shape[1], *hidden, 1]
-    ws: list[np.ndarray] = []
+    sizes, ws = [len(columns), *hidden, 1], []
     for a, b in zip(sizes, sizes[1:]):
         ws += [rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)]
+    context = rows.sparkSession.sparkContext
     m, v = [np.zeros_like(w) for w in ws], [np.zeros_like(w) for w in ws]
     for t in range(1, epochs + 1):
-        acts = [x]
-        for i in range(0, len(ws), 2):
-            z = acts[-1] @ ws[i] + ws[i + 1]
-            acts.append(np.maximum(z, 0) if i + 2 < len(ws) else z)
-        d = (acts[-1][:, 0] - y)[:, None] * (2 / len(y))
-        for layer in range(len(ws) // 2 - 1, -1, -1):
-            grads = [acts[layer].T @ d, d.sum(0)]
-            d = (d @ ws[2 * layer].T) * (acts[layer] > 0)
-            for j, g in enumerate(grads):
-                i = 2 * layer + j
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                ws[i] = ws[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        sent = context.broadcast(ws)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
+                part = net_slope(sent.value, x, np.asarray(batch.column("y"), float))  # noqa: B023
+                total = part if total is None else [a + b for a, b in zip(total, part)]
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([g.ravel() for g in total], pa.list_(pa.float64()))], names=["i", "g"])
+
+        found = held.mapInArrow(work, "i int, g array<double>").select("i", F.posexplode("g").alias("k", "g")).groupBy("i", "k").agg(F.sum("g").alias("g")).collect()  # a row per weight
+        sent.destroy()
+        slopes = [np.zeros(w.size) for w in ws]
+        for r in found:
+            slopes[r["i"]][r["k"]] = r["g"] / n
+        for i, g in enumerate(x.reshape(w.shape) for x, w in zip(slopes, ws)):
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.999 * v[i] + 0.001 * g * g
+            ws[i] = ws[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     return Net(ws)
 
 
-def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, model: str = "ridge", n: int = 5, purge_days: int = 60, alpha: float = 1.0) -> DataFrame:
+def predict_net(df: DataFrame, net: Net, columns: list[str], name: str = "prediction") -> DataFrame:
+    """``df`` with the net's prediction; NULL where a column is missing."""
+    sent = df.sparkSession.sparkContext.broadcast(net)
+
+    @F.pandas_udf("double")
+    def predicted(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.predict(np.stack(x.to_numpy())) if len(x) else [], dtype=float)
+
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    whole = ~F.exists(x, lambda v: v.isNull())
+    filled = F.transform(x, lambda v: F.coalesce(v, F.lit(0.0)))
+    return df.withColumn(name, F.when(whole, predicted(filled)))
+
+
+def walk_forward(df: DataFrame, columns: list[str], target: str, date: str, model: str = "ridge", n: int = 5, purge_days: int = 60, alpha: float = 1.0, trees: int = 300) -> DataFrame:
     """Out-of-sample predictions (event_id, fold, prediction) of each fold's model on its test block."""
     out = None
     df = settle(df)
     for fold, (train, test) in enumerate(folds(df.where(F.col(target).isNotNull()), date, n, purge_days)):
         scaler = Scaler.fit(train, columns)
         rows = _vectors(scaler.apply(train), columns)
-        fitted = fit_boosted(rows, target) if model == "boosted" else fit_linear(rows, target, alpha if model == "ridge" else 0.0)
+        fitted = fit_boosted(rows, target, trees) if model == "boosted" else fit_linear(rows, target, alpha if model == "ridge" else 0.0)
         part = fitted.transform(_vectors(scaler.apply(test), columns)).select("event_id", F.lit(fold + 1).alias("fold"), "prediction")
         out = part if out is None else out.unionByName(part)
     if out is None:

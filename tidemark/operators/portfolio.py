@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,23 +155,45 @@ def apply_constraints(weights: DataFrame, keys: list[str], ident: str, most: flo
     return rows.select(*keys, F.col("_id").alias(ident), F.col("_w").alias("weight"))
 
 
-def mean_variance(expected: np.ndarray, cov: np.ndarray, aversion: float = 5.0, most: float = 1.0, steps: int = 500) -> np.ndarray:
-    """Weights that maximise expected return less aversion / 2 times variance, in [0, most] with a sum of 1, by projected gradient."""
+def best_mix(expected: np.ndarray, cov: np.ndarray, aversion: float, low: np.ndarray, high: np.ndarray, steps: int = 500) -> np.ndarray:
+    """Weights in [low, high] with a sum of 1 that maximise expected return less aversion / 2 times variance, by projected gradient.
+
+    Bounds that allow no sum of 1 are widened to those that do.
+    """
+    low, high = (low, high) if low.sum() <= 1 <= high.sum() else (np.minimum(low, 0.0), np.maximum(high, 1.0))
 
     def project(v: np.ndarray) -> np.ndarray:
-        lo, hi = v.min() - most - 1, v.max() + 1
+        near, far = (v - high).min() - 1, (v - low).max() + 1
         for _ in range(100):
-            mid = (lo + hi) / 2
-            if np.clip(v - mid, 0, most).sum() > 1:
-                lo = mid
-            else:
-                hi = mid
-        return np.clip(v - hi, 0, most)
-
-    n = len(expected)
-    most = max(most, 1 / n)
-    w = np.full(n, 1 / n)
+            mid = (near + far) / 2
+            near, far = (mid, far) if np.clip(v - mid, low, high).sum() > 1 else (near, mid)
+        return np.clip(v - far, low, high)
+
+    w = project(np.full(len(expected), 1 / len(expected)))
     rate = 1 / (aversion * max(np.linalg.eigvalsh(cov).max(), 1e-12))
     for _ in range(steps):
         w = project(w + rate * (expected - aversion * cov @ w))
-    return w / w.sum() if w.sum() > 0 else w
+    return w
+
+
+def mean_variance(expected: DataFrame, covariances: DataFrame, key: str, ident: str, value: str = "expected", aversion: float = 5.0, least: float = 0.0, most: float = 1.0) -> DataFrame:
+    """(key, ident, weight) per portfolio from (key, ident, expected) and its covariances in long form, (key, i, j, cov).
+
+    A portfolio's matrix is dense, so its names are bounded by what one task can hold (a few thousand); portfolios run in
+    parallel. Missing covariances are 0, missing expectations too; names without an expectation row have no weight.
+    """
+    kinds = f"`{key}` {expected.schema[key].dataType.simpleString()}, `{ident}` {expected.schema[ident].dataType.simpleString()}, weight double"
+
+    def solve(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if names.empty:
+            return pd.DataFrame(columns=[key, ident, "weight"])
+        names = names.drop_duplicates(ident).sort_values(ident, ignore_index=True)
+        at = {n: k for k, n in enumerate(names[ident])}
+        cov = np.zeros((len(at), len(at)))
+        for i, j, c in zip(pairs["i"], pairs["j"], pairs["cov"]):
+            if i in at and j in at and c == c and c is not None:
+                cov[at[i], at[j]] = cov[at[j], at[i]] = c
+        w = best_mix(names[value].astype(float).fillna(0.0).to_numpy(), cov, aversion, np.full(len(at), least), np.full(len(at), most))
+        return pd.DataFrame({key: names[key], ident: names[ident], "weight": w})
+
+    return expected.groupBy(key).cogroup(covariances.groupBy(key)).applyInPandas(solve, kinds)

@@ -75,11 +75,12 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "
     """Each row's exact position (from 0) within its key; NULL keys are a key of their own. With ``hot`` empty, as ``hot_hashes`` found it, one sort per key will do."""
     if hot == []:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
-    ranked = ordered(df, keys, order)
-    where = offsets(ranked, keys).select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_part").alias("_o_part"), "_first", "_before")
+    own = [f"_key{i}" for i in range(len(keys))]
+    ranked = ordered(df.withColumns({o: F.col(k) for o, k in zip(own, keys)}), own, order)
+    where = offsets(ranked, own).select(*[F.col(o).alias(f"_o{o}") for o in own], F.col("_part").alias("_o_part"), "_first", "_before")
     match = F.col("_part") == F.col("_o_part")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    for o in own:
+        match = match & F.col(o).eqNullSafe(F.col(f"_o{o}"))
     return ranked.join(where, match).select(*df.columns, (F.col("_mid") - F.col("_first") + F.col("_before")).alias(name))
 
 

@@ -131,13 +131,9 @@ def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(calendar(spark, sf_dir), F.col("date").cast("date") == F.col("session_date"), "left_semi")
 
 
-def _hot_codes(spark: SparkSession, sf_dir: str) -> list[int]:
-    """Hashes of the codes with many readings, counted on the raw table's code column alone."""
-    return hot_hashes(read(spark, sf_dir, "prices").select(canonical_code("code").alias("code")), ["code"])
-
-
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_grid(_traded(spark, sf_dir), "code", "date", "close", "volume", calendar(spark, sf_dir), hot=_hot_codes(spark, sf_dir))
+    rows = settle(_traded(spark, sf_dir).select("code", "date", "close", "volume"))  # read for hot codes, and for theirs apart from the others
+    return to_grid(rows, "code", "date", "close", "volume", calendar(spark, sf_dir), hot=hot_hashes(rows, ["code"]))
 
 
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +162,7 @@ def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every implausible row of ``prices`` and ``feed`` with its reasons. Outliers of ``close`` are sought again after those found are
     taken out (3 passes); ``strict`` is false for those that the log changes of the whole series alone don't show.
     """
-    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES, hot=_hot_codes(spark, sf_dir))
+    prices = implausible(_traded(spark, sf_dir).drop("volume"), "code", ["date", "price_id"], "close", LEAST_PRICE, MOST_PRICE, SPIKE_TIMES, STUCK_CLOSES)
     quotes = settle(_quotes(spark, sf_dir))
     hot = hot_hashes(quotes, ["code"])
     usual = exact_median(quotes.select("code", "ratio"), ["code"], "ratio", "_usual")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import backtest, bars, crosssection, factor, fills, models, portfolio, security, sessions, signals
+from tidemark.operators.sequence import positions
 from tidemark.session import finite, settle
 from tidemark.sources.tables import calendar, canonical_code, current_readings, on_session, plain_name, read, traded
 
@@ -134,6 +135,12 @@ def limit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.limit_moves(daily_bars(spark, sf_dir)).where("hit_up OR hit_down").select("code", "date", "close", "up_price", "down_price", "hit_up", "hit_down"))
 
 
+def flagged_limit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``limit_hits`` with the narrower band for codes that ever were flagged."""
+    flagged = read(spark, sf_dir, "sample_audit").where(F.col("当时ST")).select(canonical_code("股票代码").alias("code"))
+    return rounded(bars.limit_moves(daily_bars(spark, sf_dir), flagged).where("hit_up OR hit_down").select("code", "date", "close", "up_price", "down_price", "hit_up", "hit_down"))
+
+
 def suspended_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.suspensions(daily_bars(spark, sf_dir), calendar(spark, sf_dir))
 
@@ -514,6 +521,27 @@ def present_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signals.coverage(_analysis(spark, sf_dir), ["sue", *bars.FEATURES, "ret_10"]).select("column", "rows", "present", "share"), 4)
 
 
+def panel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each event in the panel's order of entry day and code, by a sort over ranges."""
+    rows = filings(spark, sf_dir).where("tradable_date IS NOT NULL").select("event_id", "code", "tradable_date", F.lit(1).alias("_all"))
+    return positions(rows, ["_all"], [F.col("tradable_date"), F.col("code"), F.col("event_id")], "place").drop("_all")
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of the events that have at least half of them."""
+    rows = _analysis(spark, sf_dir)
+    columns = models.feature_columns(rows, ["sue", "revenue_growth", "net_profit_growth", "eps_growth", *CONTROLS, "log_adv20"])
+    return rounded(models.scorable(rows, columns).select("event_id", *columns))
+
+
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the later half of the report dates, imputed and scaled by the medians, means and deviations of the earlier half."""
+    rows, columns = _analysis(spark, sf_dir), ["sue", *CONTROLS]
+    placed = models.blocks(rows, "report_date", 2)
+    scaler = models.Scaler.fit(placed.where("block = 0"), columns)
+    return rounded(scaler.apply(placed.where("block = 1")).select("event_id", *[F.col(f"_z_{c}").alias(c) for c in columns]))
+
+
 def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _analysis(spark, sf_dir)
     columns = models.feature_columns(rows, ["sue", "revenue_growth", "log_mcap", "momentum_20d", "volatility_20d"])
@@ -522,13 +550,13 @@ def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["sue", "revenue_growth", "log_mcap", "momentum_20d", "volatility_20d"]
-    return rounded(models.walk_forward(models.scorable(_analysis(spark, sf_dir), columns), columns, "ret_10", "report_date", "boosted", 4, 30))
+    return rounded(models.walk_forward(models.scorable(_analysis(spark, sf_dir), columns), columns, "ret_10", "report_date", "boosted", 4, 30, trees=30))
 
 
 NAMES = """daily_bars calendar_shift tradable_dates session_counts sessions_after panel_audit coverage_audit names_then flag_counts unflagged_events
-listed_events survivorship limit_hits suspended_sessions features features_before adjusted_closes filled_events filled_audit return_coverage
+listed_events survivorship limit_hits flagged_limit_hits suspended_sessions features features_before adjusted_closes filled_events filled_audit return_coverage
 delayed_entries forward_rates surprises seasonal_surprises signal_coverage eps_check cross_section recent_neutral ic_by_period ic_tables
 ic_table_summary ic_statistics decay quantile_periods quantile_summary regressions regression_terms regression_single regression_means
 cohort_results scenario_metrics scenario_rollup findings selected_weights monthly_turnover monthly_capacity monthly_active inverse_volatility
-capped_weights round_trip_costs prediction_scores ridge_single order_requests trading_costs title_corrections correction_counts code_sets audit_sample
+capped_weights round_trip_costs prediction_scores ridge_single panel_order feature_matrix scaled_features order_requests trading_costs title_corrections correction_counts code_sets audit_sample
 best_candidates split_blocks present_features ridge_predictions boosted_predictions""".split()

@@ -189,6 +189,8 @@ SELECT event_id, coalesce(z <= disc, false) AS is_delisted FROM ev JOIN l USING
     "survivorship": f"""WITH {READINGS}, life AS (SELECT code, max(date) AS z FROM bars GROUP BY code HAVING max(date) < (SELECT max(d) FROM cal) - 40)
 SELECT count(*) AS events, count(DISTINCT code) AS codes, count(DISTINCT CASE WHEN z IS NOT NULL THEN code END) AS codes_delisted, count(z) AS events_delisted, round(count(DISTINCT CASE WHEN z IS NOT NULL THEN code END) / count(DISTINCT code), 6) AS share, CASE WHEN count(z) = 0 THEN '样本内无后来退市公司: 数据源疑似剔除退市股, 存在幸存者偏差' ELSE '样本包含后来退市公司' END AS finding FROM ev LEFT JOIN life USING (code)""",
     "limit_hits": f"WITH {READINGS}, {HITS} SELECT code, date, close, round(up, 6) AS up_price, round(down, 6) AS down_price, hit_up, hit_down FROM hits WHERE hit_up OR hit_down",
+    "flagged_limit_hits": f"""WITH {READINGS}, fl AS (SELECT DISTINCT "股票代码" AS code FROM sample_audit WHERE "当时ST"), {HITS.replace("ELSE 0.1::DOUBLE END", "WHEN code IN (SELECT code FROM fl) THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END")}
+SELECT code, date, close, round(up, 6) AS up_price, round(down, 6) AS down_price, hit_up, hit_down FROM hits WHERE hit_up OR hit_down""",
     "suspended_sessions": f"WITH {READINGS}, span AS (SELECT code, min(idx) AS a, max(idx) AS z FROM bars GROUP BY code) SELECT span.code, cal.d AS date FROM span JOIN cal ON cal.i BETWEEN a AND z ANTI JOIN bars ON bars.code = span.code AND bars.idx = cal.i",
     "features": f"WITH {READINGS}, {FEATURES} SELECT code, date, {r('adv20 float_mcap', 4)}, {r('prev_close volatility_20d momentum_20d log_mcap log_adv20', 8)} FROM logs",
     "features_before": f"WITH {READINGS}, {FEATURES} SELECT event_id, e.code, td AS tradable_date, {r('adv20 float_mcap', 4)}, {r('prev_close volatility_20d momentum_20d log_mcap log_adv20', 8)}, l.date AS bar_date FROM (SELECT * FROM ev WHERE td IS NOT NULL) e ASOF LEFT JOIN logs l ON l.code = e.code AND e.td > l.date",
@@ -277,6 +279,13 @@ SELECT event_id, round(unexpected, 6) AS unexpected, round(deviation, 6) AS devi
     "ic_table_summary": TABLES + """, ok AS (SELECT * FROM tb WHERE ic IS NOT NULL)
 SELECT signal, horizon, group_type, count(*) AS periods, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(CAST(ic > 0 AS INT)), 6) AS positive_rate, round(min(ic), 6) AS min_ic, round(max(ic), 6) AS max_ic, round(CASE WHEN count(*) >= 3 AND stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END, 6) AS icir, round(CASE WHEN count(*) >= 3 AND stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) * sqrt(count(*)) END, 6) AS t_stat FROM ok GROUP BY ALL""",
     "capped_weights": CAPPED,
+    "panel_order": f"WITH {READINGS} SELECT event_id, code, td AS tradable_date, row_number() OVER (ORDER BY td, code, event_id) - 1 AS place FROM ev WHERE td IS NOT NULL",
+    "feature_matrix": ANALYSIS + f"SELECT event_id, {r('sue revenue_growth net_profit_growth eps_growth log_mcap momentum_20d volatility_20d log_adv20')} FROM ana WHERE 2 * (" + " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in "sue revenue_growth net_profit_growth eps_growth log_mcap momentum_20d volatility_20d log_adv20".split()) + ") >= 8",
+    "scaled_features": ANALYSIS + """, dd AS (SELECT report_date, row_number() OVER (ORDER BY report_date) <= (count(*) OVER () + 1) // 2 AS early FROM (SELECT DISTINCT report_date FROM ana)),
+tr AS (SELECT ana.* FROM ana JOIN dd USING (report_date) WHERE early),
+md AS (SELECT """ + ", ".join(f"coalesce(median({c}), 0) AS m_{c}" for c in "sue log_mcap momentum_20d volatility_20d".split()) + """ FROM tr),
+st AS (SELECT """ + ", ".join(f"any_value(m_{c}) AS m_{c}, avg(coalesce({c}, m_{c})) AS a_{c}, coalesce(nullif(stddev_samp(coalesce({c}, m_{c})), 0), 1) AS s_{c}" for c in "sue log_mcap momentum_20d volatility_20d".split()) + """ FROM tr, md)
+SELECT event_id, """ + ", ".join(f"round((coalesce({c}, m_{c}) - a_{c}) / s_{c}, 6) AS {c}" for c in "sue log_mcap momentum_20d volatility_20d".split()) + " FROM ana JOIN dd USING (report_date), st WHERE NOT early",
     "prediction_scores": ANALYSIS + """, hd AS (SELECT * FROM engine QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY scored_ts DESC, score DESC) = 1),
 pd AS (SELECT run_id, event_id, max(score) FILTER (isfinite(score)) AS prediction FROM hd GROUP BY ALL),
 sc AS (SELECT run_id, report_date, ret_10, unnest(['prediction', 'surprise']) AS score, unnest([prediction, sue]) AS v FROM ana JOIN pd USING (event_id)),

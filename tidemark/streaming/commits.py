@@ -2,7 +2,8 @@
 
 A snapshot is applied if its session follows the last applied one; the same content again is a duplicate without effect;
 changed content for an applied session, sessions out of order and gaps are rejected. The state holds the last session
-and the digests of the applied ones, so replays after a failure give the same account.
+and the digests of the last KEPT applied ones, so replays after a failure give the same account; anything older is out of
+order, whatever it holds.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Sessions back from the last one of which an account keeps the digest.
+KEPT = 500
 OUT = "account string, session_idx int, digest string, status string, reason string, balance double"
 STATE = "last int, digests map<int,string>, balance double"
 
@@ -36,6 +39,7 @@ def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
             if status == "applied":
                 last, balance = int(session), balance + float(amount)
                 digests[int(session)] = digest
+                digests.pop(int(session) - KEPT, None)
             rows.append((key[0], int(session), digest, status, reason, balance))
         yield pd.DataFrame(rows, columns=["account", "session_idx", "digest", "status", "reason", "balance"])
     state.update((last, digests, balance))
