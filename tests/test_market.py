@@ -246,6 +246,32 @@ def test_turnover_and_weights(spark):
     assert {x.d: x.turnover for x in portfolio.turnover(df, "d", "n", "w").collect()} == {1: 0.5, 2: 0.5, 3: 1.0}
 
 
+def test_hot_groups_give_the_same(spark, small_chunks, monkeypatch):
+    r = random.Random(12)
+    rows = [(f"e{i}", r.choice("hhhhab"), r.choice(["x", "y", None]), None if r.random() < 0.1 else round(r.gauss(0, 1), 1), None if r.random() < 0.1 else r.gauss(0, 1), date(2024, r.choice([1, 2, 2, 2]), 5), r.choice([1e6, 1e8, None]), 0.02, False) for i in range(160)]
+    df = spark.createDataFrame(rows, "event_id string, k string, g string, v double, x double, tradable_date date, adv20 double, volatility_20d double, entry_blocked boolean").repartition(3)
+
+    def all_of(hot):
+        out = crosssection.enough(df, ["k"], "x", 5, hot)
+        out = crosssection.zscore(crosssection.winsorize(out, ["k"], "v", "w", 0.1, 0.9, hot), ["k"], "w", "z", hot)
+        out = crosssection.neutralize(crosssection.demean(out, ["k"], "g", "v", "d", hot), ["k"], "v", "x", "g", "n", hot=hot)
+        return crosssection.average_rank(crosssection.quantile_bucket(out, ["k"], "v", 3, "b", hot), ["k"], "v", "r", hot)
+
+    def near(a, b):
+        return len(a) == len(b) > 0 and all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) and isinstance(y, float) else x == y for p, q in zip(a, b) for x, y in zip(p, q))
+
+    many = sequence.hot_hashes(df, ["k"], 10)
+    assert many and near(*[sorted((tuple(x) for x in all_of(h).select("event_id", "w", "z", "d", "n", "b", "r").collect())) for h in ([], many)])
+    runs = [backtest.Scenario("a", "v", "x"), backtest.Scenario("b", "x", "v", 0.5)]
+    found = []
+    for small in (10, 50_000):
+        for module in (backtest, factor):
+            monkeypatch.setattr(module, "hot_hashes", lambda d, keys: sequence.hot_hashes(d, keys, small))  # noqa: B023
+        told = backtest.cohorts(df, runs)
+        found.append((sorted(tuple(x) for x in told.select("scenario", "cohort", "n", "k", "gross", "benchmark", "cost", "capacity", "adv_missing").collect()), sorted((tuple(x) for x in factor.ic_both(df, ["k"], "v", "x").collect())), sorted(tuple(x) for x in factor.quantile_returns(df, ["k"], "v", "x", 3).select("k", "bucket", "n", "median_ret").collect())))
+    assert all(near(a, b) for a, b in zip(*found))
+
+
 def test_backtest_cohorts(spark):
     rows = [(f"e{i}", date(2024, 1, 2), float(i), 0.01 * (i if i < 8 else 5), 1e12, 0.0, False) for i in range(10)]
     df = spark.createDataFrame(rows, "event_id string, tradable_date date, s double, r double, adv20 double, volatility_20d double, entry_blocked boolean")

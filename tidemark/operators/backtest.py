@@ -7,8 +7,9 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.portfolio import annualized_return, drawdown, information_ratio, nav, sharpe, tracking_error
-from tidemark.operators.sequence import exact_median, exact_quantiles, hot_hashes, positions
+from tidemark.operators.crosssection import with_quantiles, with_stats
+from tidemark.operators.portfolio import annualized_return, fall, information_ratio, nav, sharpe, tracking_error
+from tidemark.operators.sequence import exact_quantiles, hot_hashes, positions
 from tidemark.session import settle
 
 
@@ -61,15 +62,16 @@ def cohorts(events: DataFrame, scenarios: list[Scenario], least_names: int = 5)
     """
     keys = ["scenario", "cohort"]
     rows = settle(prepared(events, scenarios))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("benchmark"), F.greatest(F.lit(1), F.ceil(F.first("top") * F.count(F.lit(1)))).cast("bigint").alias("k")).where(F.col("n") >= least_names)
     hot = hot_hashes(rows, keys)
-    ranked = positions(rows, keys, [F.col("signal").desc(), F.col("event_id")], "_pos", hot)
-    chosen = settle(ranked.join(sizes, keys).where("_pos < k"))
-    adv, vol = exact_median(chosen, keys, "adv", "_adv", hot), exact_median(chosen, keys, "vol", "_vol", hot)
-    full = chosen.join(adv, keys, "left").join(vol, keys, "left").withColumn("_a", F.coalesce("adv", "_adv")).withColumn("_v", F.coalesce("vol", "_vol", F.lit(0.0)))
+    sized = with_stats(rows, keys, {"n": F.count(F.lit(1)), "benchmark": F.avg("ret")}, hot).where(F.col("n") >= least_names)
+    sized = sized.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("top") * F.col("n"))).cast("bigint"))
+    chosen = positions(sized, keys, [F.col("signal").desc(), F.col("event_id")], "_pos", hot).where("_pos < k")
+    chosen = settle(chosen) if hot else chosen
+    full = with_quantiles(with_quantiles(chosen, keys, "adv", [0.5], "_adv", hot), keys, "vol", [0.5], "_vol", hot)
+    full = full.withColumn("_a", F.coalesce("adv", F.get("_adv", F.lit(0)))).withColumn("_v", F.coalesce("vol", F.get("_vol", F.lit(0)), F.lit(0.0)))
     order = F.col("c_aum") / F.col("k")
     part = F.when(F.col("_a") > 0, F.least(order / F.col("_a"), F.col("c_participation")))
-    costed = full.withColumn("_part", part)
+    costed = full.withColumn("_part", part).withColumn("_roof", F.col("c_participation") * F.col("_a") * F.col("k"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     found = costed.groupBy(*keys).agg(
         F.first("n").alias("n"),
@@ -81,18 +83,20 @@ def cohorts(events: DataFrame, scenarios: list[Scenario], least_names: int = 5)
         (2 * zero(F.avg(F.col("c_half_spread") + F.col("c_slip") * F.col("_part")))).alias("slippage"),
         (2 * zero(F.avg(F.col("c_impact") * F.col("_v") * F.sqrt("_part")))).alias("impact"),
         F.count_if(F.col("adv").isNull()).alias("adv_missing"),
+        *([] if hot else [F.percentile("_roof", F.lit(CAPACITY_SHARE)).alias("capacity")]),
     )
-    roof = costed.select(*keys, (F.col("c_participation") * F.col("_a") * F.col("k")).alias("_roof"))
-    found = found.join(exact_quantiles(roof, keys, "_roof", [CAPACITY_SHARE], "_roofs", hot).select(*keys, F.col("_roofs")[0].alias("capacity")), keys, "left")
+    if hot:
+        found = found.join(exact_quantiles(costed, keys, "_roof", [CAPACITY_SHARE], "_roofs").select(*keys, F.col("_roofs")[0].alias("capacity")), keys, "left")
     total = F.col("commission") + F.col("tax") + F.col("slippage") + F.col("impact")
     return found.withColumn("cost", total).withColumn("active", F.col("gross") - F.col("benchmark")).withColumn("net", F.col("gross") - total)
 
 
 def metrics(results: DataFrame, keys: list[str], per_year: float = 12.0) -> DataFrame:
     """One row per scenario over its cohorts: returns, risk, drawdowns, hit rates, costs."""
-    results = settle(results)  # one row per scenario and cohort, read by each measure
     frame = results.withColumn("net_active", F.col("net") - F.col("benchmark"))
-    out = frame.groupBy(*keys).agg(
+    for r in ("gross", "net"):
+        frame = fall(nav(frame, keys, "cohort", r, f"_nav_{r}"), keys, "cohort", f"_nav_{r}", f"_fall_{r}")
+    return frame.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cohorts"),
         F.sum("n").alias("events"),
         F.avg("k").alias("mean_names"),
@@ -113,10 +117,9 @@ def metrics(results: DataFrame, keys: list[str], per_year: float = 12.0) -> Data
         F.avg((F.col("gross") > 0).cast("double")).alias("gross_hit_rate"),
         F.percentile("capacity", F.lit(0.5)).alias("capacity_median"),  # over cohorts, so over months
         F.try_divide(F.sum("adv_missing").cast("double"), F.greatest(F.sum("k"), F.lit(1))).alias("adv_missing_rate"),
+        F.min("_fall_gross").alias("gross_drawdown"),
+        F.min("_fall_net").alias("net_drawdown"),
     )
-    for r in ("gross", "net"):
-        out = out.join(drawdown(nav(results, keys, "cohort", r, "_nav"), keys, "cohort", "_nav", f"{r}_drawdown"), keys)
-    return out
 
 
 def rollup(measures: DataFrame, dimension: str, value: str) -> DataFrame:

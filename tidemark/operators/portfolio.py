@@ -37,10 +37,15 @@ def nav(returns: DataFrame, keys: list[str], order: str, r: str, name: str) -> D
     return returns.withColumn(name, F.when(F.min(gross).over(w) > 0, F.exp(F.sum(F.when(gross > 0, F.ln(gross))).over(w))).otherwise(0.0))
 
 
+def fall(navs: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``navs`` with how far each lies under the highest so far (0 or less)."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return navs.withColumn(name, F.try_divide(F.col(value), F.max(value).over(w)) - 1)
+
+
 def drawdown(navs: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
     """(keys, name): the deepest fall from an earlier high."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return navs.withColumn("_dd", F.try_divide(F.col(value), F.max(value).over(w)) - 1).groupBy(*keys).agg(F.min("_dd").alias(name))
+    return fall(navs, keys, order, value, "_dd").groupBy(*keys).agg(F.min("_dd").alias(name))
 
 
 def long_only(signals: DataFrame, keys: list[str], signal: str, benchmark: str, ident: str, top: float = 0.1) -> DataFrame:

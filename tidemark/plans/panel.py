@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import backtest, bars, crosssection, factor, fills, models, portfolio, security, sessions, signals
-from tidemark.operators.sequence import positions
+from tidemark.operators.sequence import hot_hashes, positions
 from tidemark.session import finite, settle
 from tidemark.sources.tables import calendar, canonical_code, current_readings, on_session, plain_name, read, traded
 
@@ -261,10 +261,12 @@ def _cross(spark: SparkSession, sf_dir: str, delayed: bool = False) -> DataFrame
     """``_analysis`` with the derived signals, which are NULL in periods with fewer than LEAST_PAIRS surprises."""
     key = ["report_date"]
     rows = _analysis(spark, sf_dir, delayed)
-    out = crosssection.winsorize(crosssection.enough(rows.withColumn("_sue", F.col("sue")), key, "_sue", LEAST_PAIRS), key, "_sue", "sue_w").drop("_sue")
-    out = crosssection.zscore(settle(out), key, "sue_w", "sue_z")
-    out = crosssection.demean(out, key, "industry", "sue_w", "sue_group")
-    out = crosssection.neutralize(out, key, "sue_w", "log_mcap", "industry", "sue_neutral")
+    hot = hot_hashes(rows, key)
+    out = crosssection.enough(rows.withColumn("_sue", F.col("sue")), key, "_sue", LEAST_PAIRS, hot)
+    out = crosssection.winsorize(out, key, "_sue", "sue_w", hot=hot).drop("_sue")
+    out = crosssection.zscore(settle(out) if hot else out, key, "sue_w", "sue_z", hot)
+    out = crosssection.demean(out, key, "industry", "sue_w", "sue_group", hot)
+    out = crosssection.neutralize(out, key, "sue_w", "log_mcap", "industry", "sue_neutral", hot=hot)
     return out.withColumns({c: F.round(c, 8) for c in ("sue_w", "sue_z", "sue_group", "sue_neutral")})
 
 
@@ -374,6 +376,7 @@ SCENARIOS = [
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohorts of all scenarios, those by year and by terciles of size and liquidity over all events among them (subsets of LEAST_EVENTS at least)."""
     rows = _cross(spark, sf_dir, True).withColumn("_all", F.lit(1)).withColumn("year", F.year("tradable_date"))
+    rows = settle(rows)
     for column, name in (("log_mcap", "size"), ("log_adv20", "liquidity")):
         rows = crosssection.quantile_bucket(rows, ["_all"], column, 3, name)
     rows = settle(rows)
