@@ -18,11 +18,17 @@ def trade_grid(bars: DataFrame, sessions: DataFrame, horizons: list[int], max_sh
     hits = limit_moves(bars, flagged).join(sessions, F.col("date") == F.col("session_date")).select("code", F.col("session_idx").alias("idx"), "close", "hit_up", "hit_down")
     last = sessions.agg(F.max("session_idx")).first()[0]
     spans = hits.groupBy("code").agg(F.min("idx").alias("_a")).select("code", F.explode(F.sequence("_a", F.lit(last))).alias("idx"))
-    w = Window.partitionBy("code").orderBy("idx")
-    free = lambda hit, *more: F.min(F.when(F.col("close").isNotNull() & ~F.col(hit), F.struct("idx", "close", *more))).over(w.rowsBetween(0, max_shift))
-    dense = spans.join(hits, ["code", "idx"], "left").withColumn("_sell", free("hit_down"))
-    dense = dense.withColumns({f"x_{h}": F.lead("_sell", h).over(w) for h in horizons})
-    return dense.select("code", "idx", free("hit_up", *[f"x_{h}" for h in horizons]).alias("fill"))
+    # from the last session back, the latest free one seen is the next one ahead
+    back = Window.partitionBy("code").orderBy(F.desc("idx"))
+
+    def ahead(df: DataFrame, name: str, hit: str, *more: str) -> DataFrame:
+        free = F.when(F.col("close").isNotNull() & ~F.col(hit), F.struct("idx", "close", *more))
+        seen = df.withColumn("_next", F.last(free, True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return seen.withColumn(name, F.when(F.col("_next.idx") - F.col("idx") <= max_shift, F.col("_next"))).drop("_next")
+
+    dense = ahead(spans.join(hits, ["code", "idx"], "left"), "_sell", "hit_down")
+    dense = dense.withColumns({f"x_{h}": F.lag("_sell", h).over(back) for h in horizons})
+    return ahead(dense, "fill", "hit_up", *[f"x_{h}" for h in horizons]).select("code", "idx", "fill")
 
 
 def resolve_fills(events: DataFrame, grid: DataFrame, sessions: DataFrame, date: str, horizons: list[int]) -> DataFrame:

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if
-
 #: A table of days up to this size (over 100 years) is broadcast.
 DAY_ROWS = 40_000
 
 
 def day_index(sessions: DataFrame, start: str = "1990-01-01", stop: str = "2050-12-31") -> DataFrame:
-    """Per calendar day of the span: idx_ge / idx_gt (first session on or after / after), idx_le / idx_lt (last on or before / before)."""
-    first, last, lo, hi = sessions.agg(F.min("session_date"), F.max("session_date"), F.min("session_idx"), F.max("session_idx")).first()
-    s = sessions.select("session_date", "session_idx")
-    following = s.select((F.col("session_idx") - 1).alias("session_idx"), F.col("session_date").alias("_next"))
-    on = s.select(F.col("session_date").alias("day"), F.col("session_idx").alias("idx_le"), F.col("session_idx").alias("idx_ge"))
-    gaps = s.join(following, "session_idx").where("datediff(_next, session_date) > 1")
-    gaps = gaps.select(F.explode(F.sequence(F.date_add("session_date", 1), F.date_sub("_next", 1))).alias("day"), F.col("session_idx").alias("idx_le"), (F.col("session_idx") + 1).alias("idx_ge"))
-    date = lambda d: F.lit(str(d)).cast("date")
-    span = lambda a, z: sessions.sparkSession.range(1).select(F.explode(F.sequence(a, z)).alias("day"))
-    none = F.lit(None).cast("int")
-    early = span(date(start), F.greatest(F.date_sub(date(first), 1), date(start))).where(F.col("day") < date(first)).select("day", none.alias("idx_le"), F.lit(lo).alias("idx_ge"))
-    late = span(F.least(F.date_add(date(last), 1), date(stop)), date(stop)).where(F.col("day") > date(last)).select("day", F.lit(hi).alias("idx_le"), none.alias("idx_ge"))
-    days = on.unionByName(gaps).unionByName(early).unionByName(late)
-    days = days.withColumn("is_session", F.coalesce(F.col("idx_le") == F.col("idx_ge"), F.lit(False)))
-    after = F.when(F.col("is_session"), F.when(F.col("idx_ge") < hi, F.col("idx_ge") + 1)).otherwise(F.col("idx_ge"))
-    before = F.when(F.col("is_session"), F.when(F.col("idx_le") > lo, F.col("idx_le") - 1)).otherwise(F.col("idx_le"))
-    return broadcast_if(days.withColumn("idx_gt", after).withColumn("idx_lt", before), DAY_ROWS)
+    """Per calendar day of the span: idx_ge / idx_gt (first session on or after / after), idx_le / idx_lt (last on or before / before), is_session.
+
+    The table has a row per day of the span, whatever the sessions, so it is made once and becomes part of the plan; ``sessions``
+    are read for it, at most one per day.
+    """
+    first, last = (date.fromisoformat(x).toordinal() for x in (start, stop))
+    if last - first >= DAY_ROWS:
+        raise ValueError(f"a span of at most {DAY_ROWS} days can be indexed")
+    own = sessions.select("session_date", "session_idx").distinct().orderBy("session_date").limit(DAY_ROWS).collect()
+    at, idx = np.array([r[0].toordinal() for r in own], int), np.array([r[1] for r in own], int)
+    days = np.arange(first, last + 1)
+    left, right = np.searchsorted(at, days, "left"), np.searchsorted(at, days, "right")
+
+    def numbers(place: np.ndarray) -> pa.Array:
+        out = (place < 0) | (place >= len(at))
+        return pa.array(np.where(out, 0, idx[np.clip(place, 0, len(at) - 1)] if len(at) else 0), pa.int32(), mask=out)
+
+    epoch = date(1970, 1, 1).toordinal()
+    table = {"day": pa.array((days - epoch).astype(np.int32), pa.int32()).cast(pa.date32()), "idx_le": numbers(right - 1), "idx_ge": numbers(left), "is_session": pa.array(left < right), "idx_gt": numbers(right), "idx_lt": numbers(left - 1)}
+    return F.broadcast(sessions.sparkSession.createDataFrame(pa.table(table)))
 
 
 def with_session(df: DataFrame, date: str, sessions: DataFrame, column: str, name: str) -> DataFrame:

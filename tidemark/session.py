@@ -52,11 +52,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def broadcast_if(df: DataFrame, limit: int) -> DataFrame:
-    """Hint a broadcast if at most ``limit`` rows are there (counted, stopping at limit + 1), else leave the choice open."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def finite(column: Column | str) -> Column:
     """A double with NaN and infinities as NULL."""
     c = (F.col(column) if isinstance(column, str) else column).cast("double")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if, finite
+from tidemark.session import finite
 
 #: Full-width digits and their plain forms, in order.
 WIDE_DIGITS = "".join(chr(0xFF10 + i) for i in range(10))
 #: Full-width forms of the printable ASCII characters, and the plain ones.
 WIDE_FORMS = "".join(chr(0xFF01 + i) for i in range(94))
 PLAIN_FORMS = "".join(chr(0x21 + i) for i in range(94))
-#: Calendars up to this many rows are broadcast (30,000 sessions are over a century).
+#: Calendars up to this many rows are part of the plan (30,000 sessions are over a century).
 CALENDAR_ROWS = 30_000
 
 
@@ -35,9 +36,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as (session_date, session_idx), small and so broadcast after a check of its size."""
-    table = read(spark, sf_dir, "trade_calendar").select(F.col("session_date").cast("date").alias("session_date"), F.col("session_idx").cast("int").alias("session_idx"))
-    return broadcast_if(table.where("session_date IS NOT NULL").dropDuplicates(["session_date"]), CALENDAR_ROWS)
+    """Sessions as (session_date, session_idx). Up to CALENDAR_ROWS rows are read once and become part of the plan; a longer table stays one."""
+    table = read(spark, sf_dir, "trade_calendar").select(F.col("session_date").cast("date").alias("session_date"), F.col("session_idx").cast("int").alias("session_idx")).where("session_date IS NOT NULL")
+    rows = table.limit(CALENDAR_ROWS + 1).collect()
+    if len(rows) > CALENDAR_ROWS:
+        return table.groupBy("session_date").agg(F.min("session_idx").alias("session_idx"))
+    held = {}
+    for r in rows:
+        held[r["session_date"]] = min(r["session_idx"], held.get(r["session_date"], r["session_idx"]))
+    days = sorted(held)
+    return F.broadcast(spark.createDataFrame(pa.table({"session_date": pa.array(days, pa.date32()), "session_idx": pa.array([held[d] for d in days], pa.int32())})))
 
 
 def current_readings(prices: DataFrame, columns: list[str]) -> DataFrame:
