@@ -1,7 +1,9 @@
+import duckdb
 import pandas as pd
 import pytest
 from datetime import date
 
+from tidemark.plans import raw, registry
 from tidemark.sources import cache, files, vendors
 from tidemark.streaming import commits
 
@@ -104,3 +106,67 @@ def test_commits_are_ordered_and_exactly_once(spark, tmp_path):
     assert got == sorted([("a", 1, "applied", ""), ("a", 2, "applied", ""), ("b", 7, "applied", ""), ("a", 2, "duplicate", ""), ("a", 3, "applied", ""), ("b", 9, "rejected", "gap"), ("a", 3, "rejected", "changed content"), ("a", 0, "rejected", "out of order"), ("b", 8, "applied", "")])
     batch = spark.read.parquet(str(tmp_path / "in"))
     assert {(r.account, r.sessions, r.gaps, r.changed) for r in commits.contiguous(batch).collect()} == {("a", 4, 0, 1), ("b", 3, 0, 0)}
+
+
+def committed(spark, folder):
+    return sorted(tuple(r) for r in raw.account_commits(spark, str(folder)).select("account", "session_idx", "status", "reason", "balance").collect())
+
+
+def test_account_commits_read_a_table_of_many_files(spark, tmp_path):
+    """A file, a folder of files and a folder without rows: the same commits as by SQL."""
+    rows = [(run, f"{2020 + m // 12}-{m % 12 + 1:02d}", m / 8) for run, months in ((1, range(30)), (2, [5, 6, 9, 10]), (3, [0])) for m in months]
+    table = spark.createDataFrame(rows, "run_id int, cohort string, gross_return double")
+    table.repartition(5).write.parquet(str(tmp_path / "many" / "backtest_cohorts.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one" / "made"))
+    next((tmp_path / "one" / "made").glob("part-*")).rename(tmp_path / "one" / "backtest_cohorts.parquet")
+    table.where("run_id = 0").write.parquet(str(tmp_path / "none" / "backtest_cohorts.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW backtest_cohorts AS SELECT * FROM '{tmp_path}/one/backtest_cohorts.parquet'")
+    want = sorted(db.execute(f"SELECT account, session_idx, status, reason, balance FROM ({registry.SQL['account_commits']})").fetchall())
+    assert len(want) == len(rows) and committed(spark, tmp_path / "many") == want and committed(spark, tmp_path / "one") == want
+    assert committed(spark, tmp_path / "none") == []
+
+
+def test_account_commits_of_accounts_over_several_arrow_batches(spark, tmp_path):
+    """Spark hands an account's snapshots over in pieces of the Arrow batches, in no order."""
+    rows = [(run, f"{2000 + m // 12}-{m % 12 + 1:02d}", 1.0) for m in reversed(range(40)) for run in range(3)]
+    spark.createDataFrame(rows, "run_id int, cohort string, gross_return double").repartition(3).write.parquet(str(tmp_path / "backtest_cohorts.parquet"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = committed(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == sorted((str(run), 24_001 + m, "applied", "", m + 1.0) for run in range(3) for m in range(40))
+
+
+def test_account_commits_round_halves_as_sql(spark, tmp_path):
+    """Amounts at a half of the sixth digit, exactly and all but."""
+    halves = [k * 1e-6 + n / 1e7 for k in range(0, 4_000, 7) for n in (-5, 5, 15)]
+    rows = [(n, "2020-01", x) for n, x in enumerate(halves)]
+    spark.createDataFrame(rows, "run_id int, cohort string, gross_return double").coalesce(1).write.parquet(str(tmp_path / "backtest_cohorts.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW backtest_cohorts AS SELECT * FROM '{tmp_path}/backtest_cohorts.parquet/*.parquet'")
+    want = sorted(db.execute(f"SELECT account, session_idx, status, reason, balance FROM ({registry.SQL['account_commits']})").fetchall())
+    assert committed(spark, tmp_path) == want
+
+
+def test_commits_in_shared_states_go_on_after_a_restart(spark, tmp_path, monkeypatch):
+    """Accounts of one bucket keep their own sessions, contents and balances, and only the digests of the last sessions."""
+    monkeypatch.setattr(commits, "KEPT", 3)
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def batch(state, rows):
+        rows = [(a, s, bytes([c]) * commits.WIDTH, 1.0) for a, s, c in rows]
+        (made,) = commits.fold((0,), iter([pd.DataFrame(rows, columns=["account", "session_idx", "digest", "amount"])]), state)
+        return list(made[["account", "session_idx", "status", "reason", "balance"]].itertuples(index=False, name=None))
+
+    state = State()
+    assert batch(state, [("b", 7, 1), *[("a", s, s) for s in (4, 2, 5, 3, 1)]]) == [*[("a", s, "applied", "", float(s)) for s in range(1, 6)], ("b", 7, "applied", "", 1.0)]
+    assert batch(state, [("a", 3, 3), ("a", 4, 9), ("a", 2, 2), ("b", 8, 1), ("c", 1, 1)]) == [("a", 2, "rejected", "out of order", 5.0), ("a", 3, "duplicate", "", 5.0), ("a", 4, "rejected", "changed content", 5.0), ("b", 8, "applied", "", 2.0), ("c", 1, "applied", "", 1.0)]
+    assert batch(state, [("a", 8, 8), ("a", 6, 6), ("b", 9, 2)]) == [("a", 6, "applied", "", 6.0), ("a", 8, "rejected", "gap", 6.0), ("b", 9, "applied", "", 3.0)]

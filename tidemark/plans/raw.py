@@ -194,14 +194,16 @@ def saved_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run as an account, each cohort as its month's snapshot, as a stream until all is read: what is applied, and what is rejected behind a gap."""
-    schema = spark.read.parquet(f"{sf_dir}/backtest_cohorts.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "backtest_cohorts.parquet").parquet(sf_dir)
+    schema = read(spark, sf_dir, "backtest_cohorts").schema
+    stream = spark.readStream.schema(schema).option("basePath", sf_dir).parquet(f"{sf_dir}/backtest_cohorts.parque[t]")  # a stream reads a pattern, or a folder, but no single file
     month = F.substring("cohort", 1, 4).cast("int") * 12 + F.substring("cohort", 6, 2).cast("int")
-    snapshots = stream.select(F.col("run_id").cast("string").alias("account"), month.alias("session_idx"), F.coalesce(F.round("gross_return", 6), F.lit(0.0)).alias("amount"), F.col("cohort").alias("payload"))
+    amount = F.round(F.col("gross_return") * 1e6) / 1e6  # halves as SQL rounds them: of the product, not of the decimal
+    snapshots = stream.select(F.col("run_id").cast("string").alias("account"), month.alias("session_idx"), F.coalesce(amount, F.lit(0.0)).alias("amount"), F.col("cohort").alias("payload"))
     path = shared_folder(spark, "commits")
-    run = commits.commits(snapshots).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    done = commits.commits(snapshots).select("account", "session_idx", "status", "reason", "balance")
+    run = done.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("account", "session_idx", "status", "reason", F.round("balance", 6).alias("balance"))
+    return spark.read.parquet(f"{path}/out").withColumn("balance", F.round("balance", 6))
 
 
 NAMES = """vendor_financials vendor_announcements told_filings built_panel vendor_bars vendor_adjusted vendor_actions vendor_listings vendor_delistings
